@@ -1 +1,234 @@
-def keep_identified(docs): return docs
+"""Language identification by unigram piece models summed over all segmentations.
+
+The pieces are those of a fixed public vocabulary (with a piece for every byte), without their word-start
+marks. Each language has a probability per piece. A word's probability in a language is the sum, over every
+way to cut it into pieces, of the product of their probabilities, by the forward algorithm; a text's is the
+product over its words. Piece probabilities come from expected counts (forward-backward) on labelled words.
+
+Words are runs of letters, lower-cased; bytes beyond ASCII count as letters. Runs over WORD_BYTES are cut into
+parts of that length, so the tables of the forward algorithm are bounded.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lumenframe.llm.text import HashStore, WordTable, ragged, range_hashes, slices, word_bounds
+
+VOCABULARY = "piece_bpe_32k.model"
+#: Labelled documents per language that the models learn from, those with the smallest hashes.
+SAMPLE_PER_LANGUAGE = 800
+ROUNDS = 3
+WORD_BYTES = 32
+PIECE_BYTES = 12
+#: Expected occurrences that every piece has beforehand.
+PRIOR_COUNT = 0.05
+#: Documents below this posterior are rejected by keep_identified.
+LEAST_SCORE = 0.4
+
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[65:91] = NOT_LETTER[97:123] = NOT_LETTER[128:] = False
+
+
+def pieces(vocabulary: str = VOCABULARY) -> list[bytes]:
+    """The vocabulary's pieces in lower case that may occur inside words, and all 256 bytes."""
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
+    found = {bytes([k]) for k in range(256)}
+    for k in range(model.get_piece_size()):
+        if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)):
+            raw = model.id_to_piece(k).replace("▁", "").lower().encode()
+            if 0 < len(raw) <= PIECE_BYTES and not NOT_LETTER[list(raw)].any():
+                found.add(raw)
+    return sorted(found)
+
+
+def letter_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, row = word_bounds(raw, offsets, NOT_LETTER)
+    if len(starts) and (ends - starts).max() > WORD_BYTES:
+        parts = -(-(ends - starts) // WORD_BYTES)
+        item, place = ragged(parts)
+        starts = starts[item] + place * WORD_BYTES
+        ends, row = np.minimum(starts + WORD_BYTES, ends[item]), row[item]
+    return starts, ends, row
+
+
+class Segmenter:
+    """Forward and backward sums over the segmentations of words."""
+
+    def __init__(self, known: list[bytes]):
+        raw = np.frombuffer(b"".join(known), np.uint8)
+        ends = np.cumsum([len(x) for x in known])
+        self.n = len(known)
+        self.store = HashStore(17)
+        self.store.insert(range_hashes(raw, ends - np.array([len(x) for x in known]), ends), np.arange(len(known), dtype=np.int32))
+
+    def lattices(self, words: list[bytes], most: int = 1 << 13) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Groups of words of one length: their numbers, and for each piece length the piece at each place (n if none)."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        for size in np.unique(length).tolist():
+            group = np.flatnonzero(length == size)
+            for k in range(0, len(group), most):
+                which = group[k : k + most]
+                raw = np.frombuffer(b"".join([words[i] for i in which.tolist()]), np.uint8)
+                table = []
+                for piece in range(1, min(size, PIECE_BYTES) + 1):
+                    starts = (np.arange(len(which))[:, None] * size + np.arange(size - piece + 1)).reshape(-1)
+                    found = self.store.find(range_hashes(raw, starts, starts + piece))
+                    found[found < 0] = self.n
+                    table.append(found.reshape(len(which), -1))
+                yield which, table
+
+    @staticmethod
+    def forward(table: list[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """alpha[position, word, language]; p has a last row of zeros."""
+        n, size = table[0].shape
+        alpha = np.zeros((size + 1, n, p.shape[1]))
+        alpha[0] = 1
+        for j in range(1, size + 1):
+            for piece in range(1, min(j, len(table)) + 1):
+                alpha[j] += alpha[j - piece] * p[table[piece - 1][:, j - piece]]
+        return alpha
+
+    def expected(self, words: list[bytes], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Expected number of each piece by language, for words seen counts[word, language] times."""
+        out = np.zeros((self.n + 1, p.shape[1]))
+        for which, table in self.lattices(words):
+            n, size = table[0].shape
+            alpha = self.forward(table, p)
+            beta = np.zeros_like(alpha)
+            beta[size] = 1
+            for i in range(size - 1, -1, -1):
+                for piece in range(1, min(size - i, len(table)) + 1):
+                    beta[i] += beta[i + piece] * p[table[piece - 1][:, i]]
+            scale = counts[which] / alpha[size]
+            for piece, at in enumerate(table, 1):
+                for i in range(at.shape[1]):
+                    mass = alpha[i] * p[at[:, i]] * beta[i + piece] * scale
+                    for k in range(p.shape[1]):
+                        out[:, k] += np.bincount(at[:, i], mass[:, k], self.n + 1)
+        return out
+
+    def log_probabilities(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(words), p.shape[1]), np.float32)
+        for which, table in self.lattices(words):
+            out[which] = np.log(self.forward(table, p)[-1])
+        return out
+
+
+def fit(words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Piece probabilities by language (one column each), with a last row of zeros."""
+    known = pieces(vocabulary)
+    segmenter = Segmenter(known)
+    p = np.full((len(known) + 1, counts.shape[1]), 1 / len(known))
+    p[-1] = 0
+    for _ in range(rounds):
+        p = segmenter.expected(words, counts, p)
+        p[:-1] += PRIOR_COUNT
+        p[-1] = 0
+        p /= p.sum(axis=0)
+    return p
+
+
+def in_training(key: Column) -> Column:
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 != 1, F.lit(False))
+
+
+def training_words(docs: DataFrame, key: str, text: str, lang: str, most: int) -> DataFrame:
+    """(lang, word, n) of at most `most` documents per language; the group limit cuts before the shuffle."""
+    labelled = docs.where(in_training(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    chosen = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("id").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, counts = b.column(0).to_pylist(), {}
+            for lo, _, raw, offsets in slices(pc.utf8_lower(b.column(1))):
+                starts, ends, row = letter_words(raw, offsets)
+                data = raw.tobytes()
+                for a, z, r in zip(starts.tolist(), ends.tolist(), row.tolist(), strict=True):
+                    k = (langs[lo + r], data[a:z])
+                    counts[k] = counts.get(k, 0) + 1
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in counts]), pa.array([x[1] for x in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
+
+    few = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    return few.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray | None]:
+    """The languages, sorted, and their piece probabilities; None without labelled words."""
+    seen = training_words(docs, key, text, lang, most).toPandas()
+    if not len(seen):
+        return [], None
+    langs = sorted(seen["lang"].unique())
+    words = sorted({bytes(x) for x in seen["word"]})
+    at = {w: i for i, w in enumerate(words)}
+    counts = np.zeros((len(words), len(langs)))
+    np.add.at(counts, ([at[bytes(w)] for w in seen["word"]], [langs.index(x) for x in seen["lang"]]), seen["n"].to_numpy(float))
+    return langs, fit(words, counts)
+
+
+_models: dict = {}
+
+
+def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, lang_pred, score.
+
+    The models learn from labelled documents whose crc32(key as text) mod 3 is not 1, at most `most` a
+    language. A prediction reads the text alone: the language with the largest posterior under equal
+    priors; score is that posterior. Ties go to the first language by name. Null texts and texts without a
+    letter give `und` and score 0, as do all if nothing is labelled. A null key counts as not held out.
+    Other columns are not read. An empty table gives an empty result.
+    """
+    langs, p = learn(docs, key, text, lang, most)
+    shared = docs.sparkSession.sparkContext.broadcast((langs, p))
+    token = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, p = shared.value
+        if p is not None and token not in _models:
+            segmenter = Segmenter(pieces())
+            _models.clear()
+            _models[token] = WordTable(lambda words: segmenter.log_probabilities(words, p), ids=False)
+        for b in batches:
+            n = len(b)
+            best, score = np.full(n, -1), np.zeros(n)
+            if p is not None:
+                table, column = _models[token], pc.utf8_lower(b.column(2))
+                for lo, hi, raw, offsets in slices(column):
+                    starts, ends, row = letter_words(raw, offsets)
+                    if not len(starts):
+                        continue
+                    index = table.index(raw, starts, ends)
+                    each = table.rows[index]
+                    total = np.stack([np.bincount(row, each[:, k], hi - lo) for k in range(len(langs))], axis=1)
+                    total -= total.max(axis=1, keepdims=True)
+                    posterior = np.exp(total)
+                    posterior /= posterior.sum(axis=1, keepdims=True)
+                    some = np.bincount(row, minlength=hi - lo) > 0
+                    plain = np.bincount(row, raw[starts] < 128, hi - lo) > 0
+                    for i in np.flatnonzero(some & ~plain).tolist():  # bytes beyond ASCII need not be letters
+                        some[i] = any(c.isalpha() for c in column[lo + i].as_py())
+                    best[lo:hi] = np.where(some, posterior.argmax(axis=1), -1)
+                    score[lo:hi] = np.where(some, posterior.max(axis=1), 0)
+            names = [langs[k] if k >= 0 else "und" for k in best.tolist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", key)
+
+
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs whose language is identified with a posterior of `least` or more, with their columns."""
+    gone = identify(docs, key, text, lang).where(f"lang_pred = 'und' OR score < {least}").select(key).distinct()
+    return docs.join(gone, key, "left_anti").select(*docs.columns)
