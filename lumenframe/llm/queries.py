@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.audio import store_as_audio
 from lumenframe.llm.exact_dedup import exact_dedup
+from lumenframe.llm.html_extract import extract
 from lumenframe.llm.langid import identify
+from lumenframe.llm.lm_score import cross_entropy_difference
 from lumenframe.llm.minhash import near_duplicates
 from lumenframe.llm.mixing import mix
 from lumenframe.llm.packing import pack_texts
@@ -47,6 +50,19 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_as_audio(_table(spark, sf_dir, "documents"), with_media=False)
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled as of good quality."""
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -55,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_minhash": op7_minhash,
+    "op8_html": op8_html,
+    "op9_audio": op9_audio,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES: dict[str, str] = {
