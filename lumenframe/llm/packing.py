@@ -12,6 +12,7 @@ depends on the partition's rows alone, so a lost task gives the same rows again.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.text import WordTable, slices, word_bounds
+from lumenframe.llm.text import IS_SPACE, WordTable, slices, word_bounds
 
 SEQUENCE_TOKENS = 4096
 SEQUENCE_SEGMENTS = 256
@@ -33,20 +34,73 @@ VOCABULARY = "word_bpe_49k.json"
 _tables: dict[str, WordTable] = {}
 
 
+#: How many new units the tokenizer sees at a time.
+JOINED = 4096
+# Classes of bytes: blank, letter, digit, other sign, and those that keep a word whole (apostrophes, beyond ASCII).
+_BLANK, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
+_CLASS = np.full(256, _SIGN, np.uint8)
+_CLASS[IS_SPACE] = _BLANK
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[48:58] = _DIGIT
+_CLASS[128:] = _CLASS[39] = _WHOLE
+
+
+def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the units whose ids, one after another, are those of the texts.
+
+    The tokenizer's normaliser and splitter never join across ASCII white space, and within words of ASCII without
+    apostrophes they split runs of letters, single digits and runs of other signs. Other words stay whole.
+    """
+    starts, ends, row = word_bounds(raw, offsets)
+    if not len(starts):
+        return starts, ends, row
+    kind = _CLASS[raw]
+    whole = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum(kind == _WHOLE, out=whole[1:])
+    begin = np.zeros(len(raw) + 1, bool)
+    begin[1:-1] = (kind[1:] != _BLANK) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+    keep = np.flatnonzero(whole[ends] > whole[starts])
+    for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True):
+        begin[a:b] = False
+    begin[starts] = True
+    first = np.flatnonzero(begin)
+    word = np.searchsorted(starts, first, "right") - 1
+    return first, np.minimum(np.append(first[1:], len(raw)), ends[word]), row[word]
+
+
 def word_ids(vocabulary: str = VOCABULARY) -> WordTable:
-    """The tokenizer's ids per word. Its normaliser and pre-tokenizer never join across ASCII white space,
-    so a text's ids are those of its words one after another."""
+    """The tokenizer's ids per unit, as a bounded cache."""
     if vocabulary not in _tables:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
         tokenizer.encode_special_tokens = True
-
-        def make(words: list[bytes]) -> list:
-            return [x.ids for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-
-        _tables[vocabulary] = WordTable(make, ids=True)
+        last = np.zeros(tokenizer.get_vocab_size(), bool)
+        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+        def make(found: list[bytes]) -> list:
+            """Plain units go through the tokenizer many at a time; the ids of each end with one that ends a word."""
+            out: list = [None] * len(found)
+            texts = [w.decode("utf-8", "replace") for w in found]
+            plain = [k for k, w in enumerate(texts) if ("'" not in w if w.isascii() else w.isalpha() and w.lower().isalpha())]
+            for lo in range(0, len(plain), JOINED):
+                part = plain[lo : lo + JOINED]
+                ids = np.array(tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False).ids, np.uint32)
+                ends = np.flatnonzero(last[ids]) + 1
+                if len(ends) != len(part):  # a unit that the tokenizer splits after all: each by itself, below
+                    continue
+                flat, at = ids.tolist(), 0
+                for k, end in zip(part, ends.tolist(), strict=True):
+                    out[k] = flat[at:end]
+                    at = end
+            others = [k for k, x in enumerate(out) if x is None]
+            for k, x in zip(others, tokenizer.encode_batch_fast([texts[k] for k in others], add_special_tokens=False), strict=True):
+                out[k] = x.ids
+            return out
+
+        _tables[vocabulary] = WordTable(make, ids=True, lower=True)
     return _tables[vocabulary]
 
 
@@ -180,7 +234,7 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for lo, hi, raw, offsets in slices(b.column(1)):
-                starts, ends, row = word_bounds(raw, offsets)
+                starts, ends, row = units(raw, offsets)
                 flat, length = table.gather(table.index(raw, starts, ends)) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 per_row = np.bincount(row, weights=length, minlength=hi - lo).astype(np.int64) if len(row) else np.zeros(hi - lo, np.int64)
                 at = 0

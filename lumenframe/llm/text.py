@@ -7,6 +7,7 @@ SLICE_BYTES plus the longest single text.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,8 +153,8 @@ class WordTable:
     #: Stored ids at which the cache starts anew.
     MOST_IDS = 1 << 24
 
-    def __init__(self, make: Callable[[list[bytes]], list], ids: bool, bits: int = 20):
-        self.make, self.ids, self.store = make, ids, HashStore(bits)
+    def __init__(self, make: Callable[[list[bytes]], list], ids: bool, bits: int = 20, lower: bool = False):
+        self.make, self.ids, self.store, self.lower = make, ids, HashStore(bits), lower
         self.reset()
 
     def reset(self) -> None:
@@ -176,7 +177,7 @@ class WordTable:
         made = self.make(words)
         if self.ids:
             length = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.concatenate([np.asarray(x, np.uint32) for x in made]) if len(made) else np.zeros(0, np.uint32)
+            flat = np.fromiter(chain.from_iterable(made), np.uint32, int(length.sum()))
             at = self.used + np.cumsum(length) - length
             self._grow("at", self.n + len(made), at)
             self._grow("length", self.n + len(made), length)
@@ -191,7 +192,7 @@ class WordTable:
 
     def index(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row number of each word (valid until the next call)."""
-        h = range_hashes(raw, starts, ends)
+        h = range_hashes(raw, starts, ends, self.lower)
         out = self.store.find(h)
         new = np.flatnonzero(out < 0)
         if len(new):
