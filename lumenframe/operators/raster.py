@@ -98,8 +98,13 @@ def shifted(df: DataFrame, value: str, dx: int, dy: int, name: str) -> DataFrame
     return df.withColumn(name, F.lead(value, dx or dy).over(Window.partitionBy(*by).orderBy(order)))
 
 
-def neighbours(df: DataFrame, value: str = "v") -> DataFrame:
-    """Adds the 3 x 3 neighbourhood as nw, n, ne, w, e, sw, s, se; null outside the raster. One shuffle per axis."""
+def neighbours(df: DataFrame, value: str = "v", complete: bool = False) -> DataFrame:
+    """Adds the 3 x 3 neighbourhood as nw, n, ne, w, e, sw, s, se; null outside the raster. One shuffle per axis.
+
+    complete=True says that no raster lacks pixels; else absent pixels are filled in first, and left out again.
+    """
+    if not complete:
+        return neighbours(filled(df, value), value, True).where(F.col(value).isNotNull())
     columns = Window.partitionBy("image_id", "x").orderBy("y")
     rows = Window.partitionBy("image_id", "y").orderBy("x")
     df = df.withColumns({"n": F.lag(value).over(columns), "s": F.lead(value).over(columns)})

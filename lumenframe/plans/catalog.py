@@ -1,6 +1,6 @@
 """All queries: importing the modules registers them."""
 
-from lumenframe.plans import colour, curves, imaging, rasters, structures  # noqa: F401
+from lumenframe.plans import colour, curves, imaging, more, rasters, structures  # noqa: F401
 from lumenframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

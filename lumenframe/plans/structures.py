@@ -28,12 +28,12 @@ def _binary(spark, sf_dir):
 
 @query("graph_connected_4", _components_sql("abs(p.x - q.x) + abs(p.y - q.y) = 1"))
 def connected4(spark, sf_dir):
-    return graph.connected_values(_binary(spark, sf_dir), "v", False, 3)
+    return graph.connected_per_image(_binary(spark, sf_dir), "v", False, 3)
 
 
 @query("graph_connected_8", _components_sql("abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1"))
 def connected8(spark, sf_dir):
-    return graph.connected_values(_binary(spark, sf_dir), "v", True, 3)
+    return graph.connected_per_image(_binary(spark, sf_dir), "v", True, 3)
 
 
 _LB = f"l AS (SELECT image_id, CAST((x // 5) + 7 * (y // 6) + (v // 128) AS INTEGER) AS label, x, y, r, g, b FROM ({PIXELS_SQL}))"
