@@ -3,21 +3,24 @@
 1. Each text gives its set of word shingles (as 64-bit hashes), BANDS * ROWS minima, a band key per ROWS
    minima, and the low 2 bits of each minimum packed into one signature.
 2. Texts with the same set are one class member from here on.
-3. Members that share a band key are candidates: first each with the smallest member of its bucket. The
-   signatures estimate similarity by bit counts, corrected for chance collisions of 2-bit values; pairs far
-   below the threshold go. The others are confirmed on the full sets, and linked members joined into components.
-4. Buckets that still hold several components are cut into blocks; the signatures of each two blocks are
-   compared in numpy, and pairs of different components go the same way of estimate and confirmation. So
-   every two members of a bucket have been compared or were already in one component; no bucket is capped.
-
-With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8; the estimate is let
-off by 6 standard deviations.
+3. Members that share a band key are candidates: first each with a leader of its bucket, the member with the
+   smallest hash under one of LEADERS seeds, so that a group meets few leaders, but not one only. The signatures
+   estimate similarity by bit counts, corrected for chance collisions of 2-bit values; pairs far below the
+   threshold go. The others are confirmed on the full sets, and linked members joined into components.
+4. Buckets that still hold several components are cut into blocks; FINE times longer signatures of their members
+   are compared in numpy for each two blocks, and pairs of different components go the same way of estimate
+   and confirmation. So every two members of a bucket have been compared or were already in one component; no
+   bucket is capped.
+
+With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8; the estimates are let
+off by 6 standard deviations, and by 5 with the longer signatures.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,19 +29,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.components import components
-from lumenframe.llm.session import checkpointed
+from lumenframe.llm.session import bounded_batches, checkpointed
 from lumenframe.llm.text import mix64, range_hashes, slices, stream64, word_bounds
 
 BANDS, ROWS, BITS = 32, 4, 2
 PERMUTATIONS = BANDS * ROWS
-#: The estimate counts a pair out below this; six standard deviations below 0.8.
-ESTIMATE_FLOOR = 0.55
+LEADERS, FINE = 4, 8
+#: The estimates count a pair out when it is more than this below the threshold.
+SLACK, FINE_SLACK = 0.25, 0.075
 #: Members of a block of a bucket.
 BLOCK = 256
 #: Shingles that are hashed by all permutations at a time.
-_STEP = 4096
-_A = stream64(PERMUTATIONS, 101) | np.uint64(1)
-_B = stream64(PERMUTATIONS, 202)
+_STEP = 512
+_A = stream64(FINE * PERMUTATIONS, 101) | np.uint64(1)
+_B = stream64(FINE * PERMUTATIONS, 202)
 
 
 def shingle_hashes(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -63,10 +67,10 @@ def shingle_hashes(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarr
                 yield lo + i, np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
+def minima(shingles: np.ndarray, n: int = PERMUTATIONS) -> np.ndarray:
+    out = np.full(n, np.iinfo(np.uint64).max)
     for k in range(0, len(shingles), _STEP):
-        np.minimum(out, (shingles[k : k + _STEP, None] * _A + _B).min(axis=0), out=out)
+        np.minimum(out, (shingles[k : k + _STEP, None] * _A[:n] + _B[:n]).min(axis=0), out=out)
     return out
 
 
@@ -83,7 +87,7 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for k in range(a.shape[1]):
         x = a[:, None, k] ^ b[None, :, k]
         differ += np.bitwise_count((x | (x >> np.uint64(1))) & odd).astype(np.int16)
-    agree, chance = 1 - differ / PERMUTATIONS, 0.5**BITS
+    agree, chance = 1 - differ / (32 * a.shape[1]), 0.5**BITS
     return (agree - chance) / (1 - chance)
 
 
@@ -126,8 +130,9 @@ def _place(column: str):
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(doc_id, set_id, n_shingles, shingles) of the documents named in wanted (doc_id), and of few others.
+def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, fine: bool) -> DataFrame:
+    """Of the documents named in wanted (doc_id), and of few others: doc_id, set_id, n_shingles and either the
+    shingles or the longer signature.
 
     The wanted ids go to the tasks as a bit map of fixed size, so texts are read where they lie, not shuffled.
     """
@@ -136,7 +141,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words:
     bits = np.zeros(MAP_BITS // 64, np.int64)
     bits[cells["w"].to_numpy(int)] = cells["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    schema = "doc_id long, set_id binary, n_shingles long, shingles binary"
+    schema = "doc_id long, set_id binary, n_shingles long, " + ("signature array<long>" if fine else "shingles binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -147,7 +152,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words:
             for i, s in shingle_hashes(few.column(2), words):
                 if len(s):
                     raw = s.tobytes()
-                    out.append((ids[i], hashlib.blake2b(raw, digest_size=16).digest(), len(s), raw))
+                    out.append((ids[i], hashlib.blake2b(raw, digest_size=16).digest(), len(s), packed_bits(minima(s, FINE * PERMUTATIONS)) if fine else raw))
                     held += len(raw)
                 if held > 1 << 22:
                     yield _batch(out, schema)
@@ -156,7 +161,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, words:
                 yield _batch(out, schema)
 
     read = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return read.select("doc_id", _place("doc_id").alias("p"), "text").mapInArrow(run, schema)
+    found = read.select("doc_id", _place("doc_id").alias("p"), "text").mapInArrow(run, schema)
+    return checkpointed(found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_id"]))
 
 
 def _similar(percent: int):
@@ -194,14 +200,14 @@ def _native_estimate(x: str, y: str):
     return ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
 
 
-def _block_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(floor: float, pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidate pairs of two blocks of a bucket (or within one) that lie in different components."""
     first = pdf[pdf["side"] == 0]
     second = first if (pdf["bi"].iloc[0] == pdf["bj"].iloc[0]) else pdf[pdf["side"] == 1]
     if not len(first) or not len(second):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     sig = lambda x: np.stack(x["signature"].to_numpy()).view(np.uint64)
-    near = estimates(sig(first), sig(second)) >= ESTIMATE_FLOOR
+    near = estimates(sig(first), sig(second)) >= floor
     near &= first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :]
     i, j = np.nonzero(near)
     a, b = first["doc_id"].to_numpy()[i], second["doc_id"].to_numpy()[j]
@@ -218,6 +224,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     with two texts belongs to the component of each of its rows). Null keys are not grouped: such rows
     have a null component_id and are kept. Other columns are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     sketch = checkpointed(sketches(docs, key, text, words))
     some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     by_set = some.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
@@ -227,27 +234,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = shingle_sets(docs, wanted, key, text, words).join(wanted, "doc_id", "left_semi")
-        return checkpointed(_confirmed(pairs, checkpointed(sets.dropDuplicates(["doc_id", "set_id"])), percent))
+        return checkpointed(_confirmed(pairs, second_pass(docs, wanted, key, text, words, False), percent))
 
     keys = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = keys.groupBy("band", "key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    in_buckets = checkpointed(keys.join(buckets.select("band", "key", "lead", "n"), ["band", "key"]))
-    pairs = in_buckets.where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = F.min(F.struct(F.xxhash64("doc_id", F.col("band") % LEADERS).alias("h"), "doc_id"))["doc_id"]
+    buckets = keys.groupBy("band", "key").agg(first.alias("lead"), F.count("*").alias("n")).where("n > 1")
+    in_buckets = checkpointed(keys.join(buckets.hint("merge"), ["band", "key"]))
+    pairs = in_buckets.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
     a = signed.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
     b = signed.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    likely = pairs.join(b, "b").join(a, "a").where(_native_estimate("sig_a", "sig_b") >= ESTIMATE_FLOOR).select("a", "b")
+    likely = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(_native_estimate("sig_a", "sig_b") >= percent / 100 - SLACK).select("a", "b")
     links = confirmed(checkpointed(likely))
     found = components(links)
 
-    comp = in_buckets.where("n > 2").join(found, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id"))
+    comp = in_buckets.where("n > 2").join(found.hint("merge"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id"))
     mixed = comp.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high")
     open_ = comp.select("band", "key", "doc_id", "comp").join(mixed.select("band", "key", F.ceil(F.col("m") / BLOCK).alias("nb")), ["band", "key"])
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb"))).join(signed.withColumnRenamed("sig", "signature"), "doc_id")
+    open_ = checkpointed(open_.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb"))))
+    fine = second_pass(docs, open_.select("doc_id").distinct(), key, text, words, True)
+    open_ = open_.join(fine.select("doc_id", "signature"), "doc_id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other")
     dealt = open_.select("band", "key", "doc_id", "comp", "signature", "block", other)
     dealt = dealt.select("band", "key", "doc_id", "comp", "signature", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = dealt.groupBy("band", "key", "bi", "bj").applyInPandas(_block_pairs, "a long, b long").distinct()
+    more = dealt.groupBy("band", "key", "bi", "bj").applyInPandas(partial(_block_pairs, percent / 100 - FINE_SLACK), "a long, b long").distinct()
     more = checkpointed(more)
     if not more.isEmpty():
         found = components(links.unionByName(confirmed(more)))

@@ -16,3 +16,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint(eager=True)
+
+
+#: Rows and bytes of an Arrow batch: texts and shingle sets can be long.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df itself, after bounding the session's Arrow batches; a bound on bytes that the session has set stays."""
+    conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if size not in conf.getAll:
+        conf.set(size, str(BATCH_BYTES))
+    return df
