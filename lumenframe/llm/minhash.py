@@ -7,13 +7,13 @@
    smallest hash under one of LEADERS seeds, so that a group meets few leaders, but not one only. The signatures
    estimate similarity by bit counts, corrected for chance collisions of 2-bit values; pairs far below the
    threshold go. The others are confirmed on the full sets, and linked members joined into components.
-4. Buckets that still hold several components are cut into blocks; FINE times longer signatures of their members
-   are compared in numpy for each two blocks, and pairs of different components go the same way of estimate
-   and confirmation. So every two members of a bucket have been compared or were already in one component; no
-   bucket is capped.
+4. Buckets that still hold several components are cut into blocks; each two blocks are compared in numpy: pairs
+   of different components, in the first band that they share, by the same estimate and then by their sets with
+   hashes cut to 32 bits. What passes is confirmed on the full sets. So every two members of a bucket have been
+   compared or were already in one component; no bucket is capped.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no band with probability 5e-8; the estimates are let
-off by 6 standard deviations, and by 5 with the longer signatures.
+off by 6 standard deviations.
 """
 
 from __future__ import annotations
@@ -34,15 +34,16 @@ from lumenframe.llm.text import mix64, range_hashes, slices, stream64, word_boun
 
 BANDS, ROWS, BITS = 32, 4, 2
 PERMUTATIONS = BANDS * ROWS
-LEADERS, FINE = 4, 8
-#: The estimates count a pair out when it is more than this below the threshold.
-SLACK, FINE_SLACK = 0.25, 0.075
+LEADERS = 4
+#: An estimate counts a pair out when it is more than this below the threshold; so does a similarity by 32-bit hashes,
+#: in which a set of 20,000 shingles has less than one false one.
+SLACK, SHORT_SLACK = 0.25, 0.005
 #: Members of a block of a bucket.
 BLOCK = 256
 #: Shingles that are hashed by all permutations at a time.
 _STEP = 512
-_A = stream64(FINE * PERMUTATIONS, 101) | np.uint64(1)
-_B = stream64(FINE * PERMUTATIONS, 202)
+_A = stream64(PERMUTATIONS, 101) | np.uint64(1)
+_B = stream64(PERMUTATIONS, 202)
 
 
 def shingle_hashes(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -130,9 +131,9 @@ def _place(column: str):
     return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
 
 
-def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, fine: bool) -> DataFrame:
-    """Of the documents named in wanted (doc_id), and of few others: doc_id, set_id, n_shingles and either the
-    shingles or the longer signature.
+def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, short: bool) -> DataFrame:
+    """Of the documents named in wanted (doc_id): doc_id, set_id, n_shingles and the sorted shingles, of 64 or (short)
+    32 bits.
 
     The wanted ids go to the tasks as a bit map of fixed size, so texts are read where they lie, not shuffled.
     """
@@ -141,7 +142,7 @@ def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words:
     bits = np.zeros(MAP_BITS // 64, np.int64)
     bits[cells["w"].to_numpy(int)] = cells["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    schema = "doc_id long, set_id binary, n_shingles long, " + ("signature array<long>" if fine else "shingles binary")
+    schema = "doc_id long, set_id binary, n_shingles long, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +153,7 @@ def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words:
             for i, s in shingle_hashes(few.column(2), words):
                 if len(s):
                     raw = s.tobytes()
-                    out.append((ids[i], hashlib.blake2b(raw, digest_size=16).digest(), len(s), packed_bits(minima(s, FINE * PERMUTATIONS)) if fine else raw))
+                    out.append((ids[i], hashlib.blake2b(raw, digest_size=16).digest(), len(s), np.unique(s.astype(np.uint32)).tobytes() if short else raw))
                     held += len(raw)
                 if held > 1 << 22:
                     yield _batch(out, schema)
@@ -200,16 +201,33 @@ def _native_estimate(x: str, y: str):
     return ((1 - differ / PERMUTATIONS) - chance) / (1 - chance)
 
 
-def _block_pairs(floor: float, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Candidate pairs of two blocks of a bucket (or within one) that lie in different components."""
+def _block_pairs(percent: int, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Likely links of two blocks of a bucket (or within one) between different components."""
+    band, same = int(pdf["band"].iloc[0]), pdf["bi"].iloc[0] == pdf["bj"].iloc[0]
     first = pdf[pdf["side"] == 0]
-    second = first if (pdf["bi"].iloc[0] == pdf["bj"].iloc[0]) else pdf[pdf["side"] == 1]
+    second = first if same else pdf[pdf["side"] == 1]
     if not len(first) or not len(second):
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    sig = lambda x: np.stack(x["signature"].to_numpy()).view(np.uint64)
-    near = estimates(sig(first), sig(second)) >= floor
-    near &= first["comp"].to_numpy()[:, None] != second["comp"].to_numpy()[None, :]
+    sig = lambda x: np.stack(x["sig"].to_numpy()).view(np.uint64)
+    comp = [x["comp"].to_numpy() for x in (first, second)]
+    size = [x["n_shingles"].to_numpy() for x in (first, second)]
+    near = estimates(sig(first), sig(second)) >= percent / 100 - SLACK
+    near &= comp[0][:, None] != comp[1][None, :]
+    near &= 100 * np.minimum.outer(size[0], size[1]) >= percent * np.maximum.outer(size[0], size[1])
+    if same:
+        near = np.triu(near)
     i, j = np.nonzero(near)
+    if band and len(i):  # an earlier band that both share has compared them
+        bands = [np.stack(x["bands"].to_numpy())[:, :band] for x in (first, second)]
+        new = np.array([not (bands[0][p] == bands[1][q]).any() for p, q in zip(i.tolist(), j.tolist(), strict=True)])
+        i, j = i[new], j[new]
+    sets = [[np.frombuffer(x, np.uint32) for x in part["shingles"]] for part in (first, second)]
+    keep = []
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = sets[0][p], sets[1][q]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        keep.append(both >= (percent / 100 - SHORT_SLACK) * (len(x) + len(y) - both))
+    i, j = i[np.array(keep, bool)], j[np.array(keep, bool)]
     a, b = first["doc_id"].to_numpy()[i], second["doc_id"].to_numpy()[j]
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
@@ -251,12 +269,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     mixed = comp.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high")
     open_ = comp.select("band", "key", "doc_id", "comp").join(mixed.select("band", "key", F.ceil(F.col("m") / BLOCK).alias("nb")), ["band", "key"])
     open_ = checkpointed(open_.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb"))))
-    fine = second_pass(docs, open_.select("doc_id").distinct(), key, text, words, True)
-    open_ = open_.join(fine.select("doc_id", "signature"), "doc_id")
+    short = second_pass(docs, open_.select("doc_id").distinct(), key, text, words, True)
+    traits = reps.select("doc_id", "set_id", F.col("signature").alias("sig"), "bands").dropDuplicates(["doc_id", "set_id"])
+    open_ = open_.distinct().join(short.join(traits, ["doc_id", "set_id"]).hint("merge"), "doc_id")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other")
-    dealt = open_.select("band", "key", "doc_id", "comp", "signature", "block", other)
-    dealt = dealt.select("band", "key", "doc_id", "comp", "signature", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = dealt.groupBy("band", "key", "bi", "bj").applyInPandas(partial(_block_pairs, percent / 100 - FINE_SLACK), "a long, b long").distinct()
+    payload = ["band", "key", "doc_id", "comp", "n_shingles", "sig", "bands", "shingles"]
+    dealt = open_.select(*payload, "block", other).select(*payload, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    more = dealt.groupBy("band", "key", "bi", "bj").applyInPandas(partial(_block_pairs, percent), "a long, b long").distinct()
     more = checkpointed(more)
     if not more.isEmpty():
         found = components(links.unionByName(confirmed(more)))
