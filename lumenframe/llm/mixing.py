@@ -62,25 +62,26 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
 
 
 def schedule(per: DataFrame) -> DataFrame:
-    """position, skey, rank: every rank below a source's slots once, in low-discrepancy order; null positions come last."""
+    """position, skey, rank (and the source's slots, blocks and rest): every rank below slots once, in low-discrepancy
+    order; null positions come last. Sides whose size estimates are too low (points are exploded) are merge-joined."""
     ordered = Window.orderBy("skey")
     whole = F.sum("slots").over(Window.partitionBy())
     upto = F.sum("slots").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    cum = per.where("slots > 0").select("skey", "slots", whole.alias("whole"), ((upto - F.col("slots")) / whole).alias("lo"), (upto / whole).alias("hi"))
-    cells = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1))))).select("skey", "slots", "lo", "hi", "cell")
+    cum = per.where("slots > 0").select("skey", "slots", "blocks", "rest", whole.alias("whole"), ((upto - F.col("slots")) / whole).alias("lo"), (upto / whole).alias("hi"))
+    cells = cum.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1))))).select("skey", "slots", "blocks", "rest", "lo", "hi", "cell")
     total = per.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("whole")).where("whole > 0")
     chunks = total.select("whole", F.explode(F.sequence(F.lit(0), F.floor((F.col("whole") - 1) / CHUNK))).alias("chunk")).repartition("chunk")
     points = chunks.select("chunk", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("whole"), (F.col("chunk") + 1) * CHUNK) - 1)).alias("position"))
     points = points.withColumn("u", (F.col("position") + 1) * F.lit(GOLDEN) % 1.0).withColumn("cell", F.floor(F.col("u") * GRID))
-    drawn = points.join(cells, "cell").where("u >= lo AND u < hi").select("position", "chunk", "skey", "slots")
+    drawn = points.join(cells.hint("merge"), "cell").where("u >= lo AND u < hi").select("position", "chunk", "skey", "slots", "blocks", "rest")
     counts = drawn.groupBy("skey", "chunk").agg(F.count("*").alias("n"))
     base = counts.withColumn("base", F.sum("n").over(Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("skey", "chunk", "base")
     rank = F.row_number().over(Window.partitionBy("skey", "chunk").orderBy("position")) - 1
-    ranked = drawn.withColumn("place", rank).join(base, ["skey", "chunk"]).select("position", "skey", (F.col("base") + F.col("place")).alias("rank"), "slots").where("rank < slots")
+    ranked = drawn.withColumn("place", rank).join(base.hint("merge"), ["skey", "chunk"]).select("position", "skey", (F.col("base") + F.col("place")).alias("rank"), "slots", "blocks", "rest").where("rank < slots")
     got = counts.groupBy("skey").agg(F.sum("n").alias("got"))
     short = per.where("slots > 0").join(got, "skey", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < slots")
-    extra = short.select(F.lit(None).cast("long").alias("position"), "skey", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("rank"))
-    return ranked.select("position", "skey", "rank").unionByName(extra)
+    extra = short.select(F.lit(None).cast("long").alias("position"), "skey", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)).alias("rank"), "slots", "blocks", "rest")
+    return ranked.select("position", "skey", "rank", "slots", "blocks", "rest").unionByName(extra)
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK_WORDS, seed: str = "mix") -> DataFrame:
@@ -92,18 +93,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     No row is taken more than MOST_TIMES times. Other columns are not read. An empty table gives an empty result.
     """
     sized = checkpointed(sizes(docs, key, text, source, seed))
-    per = targets(sized, block=block)
+    per = checkpointed(targets(sized, block=block))
     bucket = F.substring("h", 1, 3)
     by_bucket = sized.groupBy("skey", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
     base = by_bucket.withColumn("base", F.sum("n").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("skey", "bucket", "base")
     within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("bucket", bucket).withColumn("upto", F.sum("size").over(within))
-    placed = placed.join(base, ["skey", "bucket"]).select("doc_id", "skey", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
-    slots = schedule(per).join(per, "skey").select("skey", (F.col("rank") % F.col("blocks")).alias("block"), F.when((F.col("rest") > 0) & (F.col("rank") == F.col("slots") - 1), F.col("rest") - (F.ceil(F.col("rest") / block) - 1) * block).otherwise(F.lit(block).cast("long")).alias("words"))
+    placed = placed.join(base.hint("merge"), ["skey", "bucket"]).select("doc_id", "skey", "size", (F.col("base") + F.col("upto") - F.col("size")).alias("start"))
+    slots = schedule(per).select("skey", (F.col("rank") % F.col("blocks")).alias("block"), F.when((F.col("rest") > 0) & (F.col("rank") == F.col("slots") - 1), F.col("rest") - (F.ceil(F.col("rest") / block) - 1) * block).otherwise(F.lit(block).cast("long")).alias("words"))
     end = F.col("start") + F.col("size")
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block))))
     overlap = F.greatest(F.lit(0), F.least(end, F.col("block") * block + F.coalesce("words", F.lit(0))) - F.greatest(F.col("start"), F.col("block") * block))
-    taken = pieces.join(slots, ["skey", "block"], "left").groupBy("doc_id", "skey", "start", "size").agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("taken"))
+    taken = pieces.join(slots.hint("merge"), ["skey", "block"], "left").groupBy("doc_id", "skey", "start", "size").agg(F.coalesce(F.sum(overlap), F.lit(0)).alias("taken"))
     rows = taken.select("doc_id", "skey", "size", "taken").unionByName(placed.where("size = 0").select("doc_id", "skey", "size", F.lit(0).cast("long").alias("taken")))
     return rows.join(per.select("skey", "source_size", "target"), "skey").select(F.col("doc_id").alias(key), "size", "source_size", "target", "taken")
 
