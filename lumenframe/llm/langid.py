@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.llm.session import bounded_batches
 from lumenframe.llm.text import HashStore, WordTable, ragged, range_hashes, slices, word_bounds
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -144,10 +145,16 @@ def in_training(key: Column) -> Column:
 
 
 def training_words(docs: DataFrame, key: str, text: str, lang: str, most: int) -> DataFrame:
-    """(lang, word, n) of at most `most` documents per language; the group limit cuts before the shuffle."""
+    """(lang, word, n) of at most `most` documents per language, those with the smallest hashes; a cut by hash and the
+    group limit leave few rows for the task that ranks a language."""
     labelled = docs.where(in_training(F.col(key)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("id").distinct()
+    ranked = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
+    # Only hashes in the lowest of 2^k shares can be among the smallest, k from the language's count; shares are ample.
+    counts = ranked.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.pow(F.lit(2.0), 63) * 2 * F.least(F.lit(1.0), 4 * F.lit(float(most)) / F.col("n"))
+    low = ranked.join(counts, "lang").where(F.col("h") <= F.lit(-float(2**63)) + share)
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    chosen = low.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,6 +197,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     letter give `und` and score 0, as do all if nothing is labelled. A null key counts as not held out.
     Other columns are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     langs, p = learn(docs, key, text, lang, most)
     shared = docs.sparkSession.sparkContext.broadcast((langs, p))
     token = uuid.uuid4().hex

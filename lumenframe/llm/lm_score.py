@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.session import bounded_batches
 from lumenframe.llm.text import WordTable, mix64, slices, word_bounds
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -98,6 +99,7 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     tokens, losses and score null. Without targets the target model is uniform. Rows that repeat a key are counted and
     scored each. Other columns are not read. An empty table gives an empty result.
     """
+    bounded_batches(docs)
     names = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().withColumn("is_target", F.lit(True))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     got = count(rows.join(names, "id", "left"), vocabulary).toPandas()

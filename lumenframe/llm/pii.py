@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.session import bounded_batches
 from lumenframe.llm.text import SLICE_BYTES, slices, word_bounds
 
 KINDS = ("email", "ip", "card", "phone")
@@ -381,4 +382,5 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 kept = [pa.array(c, pa.int64()) if k not in (4, 5) else pa.array(c, pa.string()) for k, c in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *kept], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
+    bounded_batches(docs)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", key)

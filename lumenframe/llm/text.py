@@ -151,7 +151,7 @@ class WordTable:
     """
 
     #: Stored ids at which the cache starts anew.
-    MOST_IDS = 1 << 24
+    MOST_IDS = 1 << 22
 
     def __init__(self, make: Callable[[list[bytes]], list], ids: bool, bits: int = 20, lower: bool = False):
         self.make, self.ids, self.store, self.lower = make, ids, HashStore(bits), lower
