@@ -145,3 +145,68 @@ def epipolar(spark, sf_dir):
         return pd.DataFrame([(pdf["set_id"].iloc[0], len(a), int(good.sum()), float(np.sqrt(geometry.sampson(f, a[good], b[good]).mean())))], columns=columns)
 
     return point_table(spark, sf_dir).groupBy("set_id").applyInPandas(run, "set_id string, n int, inliers int, error double")
+
+
+def _registration(a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """Translation that best takes the inner part of the smoothed grey image to the whole of it."""
+    from lumenframe.functions import search
+
+    s = images.blurred(a, 2.0)
+    if min(s.shape) < 17:
+        return []
+    warp, error = search.align(s[6:-6, 6:-6], s)
+    return [(float(warp[0, 2]), float(warp[1, 2]), error)]
+
+
+_rows("align_translation", _registration, "tx double, ty double, error double", ("v", "g"))
+
+
+def _axis(a: np.ndarray) -> dict[str, np.ndarray]:
+    from lumenframe.functions import search
+
+    mask = images.blurred(a, 1.0) > 110
+    return {"distance": search.distance_transform(mask), "axis": search.medial_axis(mask)}
+
+
+_raster("region_medial_axis", _axis, {"distance": "double", "axis": "int"})
+
+
+@query("curve_corners")
+def curve_corners(spark, sf_dir):
+    """Corners of the closed curves by curvature at one scale."""
+    import pandas as pd
+
+    from lumenframe.functions import search
+
+    def run(pdf):
+        pdf = pdf.sort_values("pos")
+        t = 2 * np.pi * pdf["pos"].to_numpy() / len(pdf)
+        r = 1 + pdf["v"].to_numpy() / 500
+        rows = search.curve_corners(np.column_stack([r * np.cos(t), r * np.sin(t)]))
+        return pd.DataFrame([(int(pdf["curve_id"].iloc[0]), p) for p in rows], columns=["curve_id", "pos"])
+
+    return curves(spark, sf_dir).groupBy("curve_id").applyInPandas(run, "curve_id long, pos int")
+
+
+@query("bundle_adjustment")
+def bundle_adjustment(spark, sf_dir):
+    """Per set, two views of a scene made from the points, disturbed and adjusted: points, error before and after."""
+    import pandas as pd
+
+    def run(pdf):
+        p = pdf.sort_values("point_id")[["x", "y", "point_id"]].to_numpy(float)
+        columns = ["set_id", "n", "before", "after"]
+        if len(p) < 8:
+            return pd.DataFrame([], columns=columns)
+        world = np.column_stack([p[:, 0] / 10 - 2.5, p[:, 1] / 10 - 3, 12 + (p[:, 2] * 7 % 23) / 4])
+        k = geometry.intrinsic(500, 320, 240)
+        poses = np.array([[0, 0, 0, 0, 0, 0], [0.02, 0.1, 0.03, -1.0, 0.1, 0.2], [-0.05, 0.2, 0.0, -2.0, 0.0, 0.3]])
+        views = [geometry.project(k, geometry.rodrigues(c[:3]), c[3:], world) for c in poses]
+        seen = [(c, i, *xy) for c, v in enumerate(views) for i, xy in enumerate(v)]
+        start = poses + 0.01 * np.array([[0], [1], [-1]])
+        guess = world + 0.02 * np.sin(np.arange(world.size)).reshape(world.shape)
+        first = np.concatenate([geometry.project(k, geometry.rodrigues(c[:3]), c[3:], guess) - v for c, v in zip(start, views, strict=True)])
+        _, _, error = geometry.bundle_adjust(k, start, guess, seen, 15)
+        return pd.DataFrame([(pdf["set_id"].iloc[0], len(p), float(np.sqrt((first**2).mean())), error)], columns=columns)
+
+    return point_table(spark, sf_dir).groupBy("set_id").applyInPandas(run, "set_id string, n int, before double, after double")
