@@ -148,13 +148,13 @@ def epipolar(spark, sf_dir):
 
 
 def _registration(a: np.ndarray, b: np.ndarray) -> list[tuple]:
-    """Translation that best takes the inner part of the smoothed grey image to the whole of it."""
+    """Translation that takes the smoothed grey image without its edge to the whole of it: one pixel each way."""
     from lumenframe.functions import search
 
     s = images.blurred(a, 2.0)
     if min(s.shape) < 17:
         return []
-    warp, error = search.align(s[6:-6, 6:-6], s)
+    warp, error = search.align(s[1:-1, 1:-1], s)
     return [(float(warp[0, 2]), float(warp[1, 2]), error)]
 
 
