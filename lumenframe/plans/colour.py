@@ -13,7 +13,7 @@ _KEY = "image_id, x, y"
 
 
 def _rounded(names: list[str], places: int = 6) -> str:
-    return ", ".join(f"round({n}, {places}) AS {n}" for n in names)
+    return ", ".join(f"round({n}, {places}) + 0e0 AS {n}" for n in names)  # no negative zeros
 
 
 def _scalar(name: str, steps, columns: list[str], base: str = PIXELS_SQL, prepare=pixels) -> None:
@@ -21,7 +21,7 @@ def _scalar(name: str, steps, columns: list[str], base: str = PIXELS_SQL, prepar
 
     @query(name, as_sql(base, steps, f"{_KEY}, {_rounded(columns)}"))
     def run(spark, sf_dir):
-        return applied(prepare(spark, sf_dir), steps).selectExpr("image_id", "x", "y", *[f"round({c}, 6) AS {c}" for c in columns])
+        return applied(prepare(spark, sf_dir), steps).selectExpr("image_id", "x", "y", *[f"round({c}, 6) + 0e0 AS {c}" for c in columns])
 
 
 _scalar("color_xyz_1931", color.xyz_1931(), ["cx", "cy", "cz"])

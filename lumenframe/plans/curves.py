@@ -38,9 +38,9 @@ def _separable_sql(src: str, kx: list[float], ky: list[float], name: str = "o",
 
 
 def _image_filter(name: str, kx: list[float], ky: list[float], offset: int = 1) -> None:
-    @query(name, f"WITH {PX} SELECT image_id, x, y, round(o, 5) AS o FROM {_separable_sql('px', kx, ky, offset=offset)}")
+    @query(name, f"WITH {PX} SELECT image_id, x, y, round(o, 5) + 0e0 AS o FROM {_separable_sql('px', kx, ky, offset=offset)}")
     def run(spark, sf_dir):
-        return filters.separable(pixels(spark, sf_dir).select("image_id", "x", "y", "v"), kx, ky, name="o", offset=offset).selectExpr("image_id", "x", "y", "round(o, 5) AS o")
+        return filters.separable(pixels(spark, sf_dir).select("image_id", "x", "y", "v"), kx, ky, name="o", offset=offset).selectExpr("image_id", "x", "y", "round(o, 5) + 0e0 AS o")
 
 
 _image_filter("filter_gaussian_blur", filters.gaussian(1.0), filters.gaussian(1.0))
@@ -129,10 +129,10 @@ _G1, _G2 = [-w for w in filters.gaussian(2.0, 1)], filters.gaussian(2.0, 2)
 _XY_SQL = f"xy AS (SELECT curve_id, pos, pos * 1.0::DOUBLE AS x, v AS y FROM ({CURVES_SQL}))"
 
 
-@query("curve_curvature", f"WITH {_XY_SQL}, d AS (SELECT * FROM {_conv_sql('xy', _G1, 'curve_id', 'pos', 'x', 'x1', 'curve_id, pos')} JOIN {_conv_sql('xy', _G1, 'curve_id', 'pos', 'y', 'y1', 'curve_id, pos')} USING (curve_id, pos) JOIN {_conv_sql('xy', _G2, 'curve_id', 'pos', 'x', 'x2', 'curve_id, pos')} USING (curve_id, pos) JOIN {_conv_sql('xy', _G2, 'curve_id', 'pos', 'y', 'y2', 'curve_id, pos')} USING (curve_id, pos)) SELECT curve_id, pos, round(coalesce((x1 * y2 - y1 * x2) / nullif(pow(x1 * x1 + y1 * y1, 1.5), 0), 0), 5) AS k FROM d")
+@query("curve_curvature", f"WITH {_XY_SQL}, d AS (SELECT * FROM {_conv_sql('xy', _G1, 'curve_id', 'pos', 'x', 'x1', 'curve_id, pos')} JOIN {_conv_sql('xy', _G1, 'curve_id', 'pos', 'y', 'y1', 'curve_id, pos')} USING (curve_id, pos) JOIN {_conv_sql('xy', _G2, 'curve_id', 'pos', 'x', 'x2', 'curve_id, pos')} USING (curve_id, pos) JOIN {_conv_sql('xy', _G2, 'curve_id', 'pos', 'y', 'y2', 'curve_id, pos')} USING (curve_id, pos)) SELECT curve_id, pos, round(coalesce((x1 * y2 - y1 * x2) / nullif(pow(x1 * x1 + y1 * y1, 1.5), 0), 0), 5) + 0e0 AS k FROM d")
 def curvature(spark, sf_dir):
     xy = curves(spark, sf_dir).selectExpr("curve_id", "pos", "pos * 1D AS x", "v AS y")
-    return filters.curvature(xy, 2.0).selectExpr("curve_id", "pos", "round(k, 5) AS k")
+    return filters.curvature(xy, 2.0).selectExpr("curve_id", "pos", "round(k, 5) + 0e0 AS k")
 
 
 @query("series_boxcar", f"WITH {CV} SELECT curve_id, pos, round(avg(v) OVER w, 6) AS boxcar, CAST(floor(avg(v) OVER w + 0.5) AS BIGINT) AS boxcar_rounded FROM cv WINDOW w AS (PARTITION BY curve_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
@@ -182,9 +182,9 @@ def fit_line(spark, sf_dir):
 
 @query("fit_parabola", f"""WITH {CV}, m AS (SELECT curve_id, count(*)::DOUBLE AS n, avg(pos) AS mx, avg(v) AS my FROM cv GROUP BY curve_id), c AS (SELECT cv.curve_id, pos - mx AS u, pos, v FROM cv JOIN m USING (curve_id)),
     s AS (SELECT curve_id, sum(u * u) AS s2, sum(u * u * u) AS s3, sum(u * u * u * u) AS s4, sum(v) AS t0, sum(u * v) AS t1, sum(u * u * v) AS t2, count(*)::DOUBLE AS n FROM c GROUP BY curve_id),
-    f AS (SELECT curve_id, n, s2, s3, s4, t0, t1, t2, ((t2 - s2 * t0 / n) * s2 - s3 * t1) / ((s4 - s2 * s2 / n) * s2 - s3 * s3) AS a FROM s) SELECT curve_id, round(a, 4) AS a, round((t1 - a * s3) / s2 - 2 * a * mx, 2) AS b FROM f JOIN m USING (curve_id)""")
+    f AS (SELECT curve_id, n, s2, s3, s4, t0, t1, t2, ((t2 - s2 * t0 / n) * s2 - s3 * t1) / ((s4 - s2 * s2 / n) * s2 - s3 * s3) AS a FROM s) SELECT curve_id, round(a, 4) + 0e0 AS a, round((t1 - a * s3) / s2 - 2 * a * mx, 2) + 0e0 AS b FROM f JOIN m USING (curve_id)""")
 def fit_parabola(spark, sf_dir):
-    return series.parabola_fit(curves(spark, sf_dir), "pos", "v", "curve_id").selectExpr("curve_id", "round(a, 4) AS a", "round(b, 2) AS b")
+    return series.parabola_fit(curves(spark, sf_dir), "pos", "v", "curve_id").selectExpr("curve_id", "round(a, 4) + 0e0 AS a", "round(b, 2) + 0e0 AS b")
 
 
 @query("points_unit_standard", f"WITH {PT} SELECT set_id, point_id, round((x - avg(x) OVER w) / stddev_samp(x) OVER w, 6) AS x_std, round((y - avg(y) OVER w) / stddev_samp(y) OVER w, 6) AS y_std FROM pt WINDOW w AS (PARTITION BY set_id)")

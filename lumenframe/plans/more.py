@@ -175,9 +175,9 @@ def kernels(spark, sf_dir):
     return rows.select("kernel", F.size("w").alias("taps"), F.round(F.aggregate("w", F.lit(0.0), lambda s, w: s + w), 9).alias("total"), F.round(F.array_max("w"), 9).alias("peak"))
 
 
-@query("trig_tables", "SELECT d, round(cos(radians(d)), 9) AS c, round(sin(radians(d)), 9) AS s FROM (SELECT unnest(range(360)) AS d)")
+@query("trig_tables", "SELECT d, round(cos(radians(d)), 9) + 0e0 AS c, round(sin(radians(d)), 9) + 0e0 AS s FROM (SELECT unnest(range(360)) AS d)")
 def trig(spark, sf_dir):
-    return spark.range(360).selectExpr("id AS d", "round(cos(radians(id)), 9) AS c", "round(sin(radians(id)), 9) AS s")
+    return spark.range(360).selectExpr("id AS d", "round(cos(radians(id)), 9) + 0e0 AS c", "round(sin(radians(id)), 9) + 0e0 AS s")
 
 
 _HALTON = [("u", scalars.radical_inverse("i", 2)), ("w", scalars.radical_inverse("i", 3))]

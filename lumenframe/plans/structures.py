@@ -125,11 +125,11 @@ def _numbers(spark, sf_dir):
 
 
 def _scalar(name: str, steps: Steps, columns: list[str], sql: str = _NUM, make=_numbers, places: int = 5) -> None:
-    shown = ", ".join(f"round({c}, {places}) AS {c}" for c in columns)
+    shown = ", ".join(f"round({c}, {places}) + 0e0 AS {c}" for c in columns)  # no negative zeros
 
     @query(name, as_sql(sql, steps, f"id, {shown}"))
     def run(spark, sf_dir):
-        return applied(make(spark, sf_dir), steps).selectExpr("id", *[f"round({c}, {places}) AS {c}" for c in columns])
+        return applied(make(spark, sf_dir), steps).selectExpr("id", *[f"round({c}, {places}) + 0e0 AS {c}" for c in columns])
 
 
 _scalar("math_powers_of_ten", [("e10", scalars.power_of_ten("p")), ("down", scalars.round_down_by_power("p")), ("up", scalars.round_up_by_power("p"))], ["e10", "down", "up"])

@@ -11,7 +11,7 @@ NAMES = ["hist_equalize", "threshold_otsu", "color_delta_e2000", "window_box_mea
 
 
 def canonical(rows):
-    return sorted(tuple(f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
+    return sorted(tuple(f"{round(float(v), 5) + 0.0:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
