@@ -102,7 +102,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     bounded_batches(docs)
     names = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().withColumn("is_target", F.lit(True))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    got = count(rows.join(names, "id", "left"), vocabulary).toPandas()
+    # Merged at every size: the table of targets grows with the corpus and is never broadcast.
+    got = count(rows.join(names.hint("merge"), "id", "left"), vocabulary).toPandas()
     size = word_pieces(vocabulary)[1]
     sums = np.zeros((2, SLOTS + 2 * (size + 1)), np.int64)
     for k, side in enumerate(("target", "background")):
