@@ -219,7 +219,7 @@ def _block_pairs(percent: int, pdf: pd.DataFrame) -> pd.DataFrame:
     i, j = np.nonzero(near)
     if band and len(i):  # an earlier band that both share has compared them
         bands = [np.stack(x["bands"].to_numpy())[:, :band] for x in (first, second)]
-        new = np.array([not (bands[0][p] == bands[1][q]).any() for p, q in zip(i.tolist(), j.tolist(), strict=True)])
+        new = ~(bands[0][i] == bands[1][j]).any(axis=1)
         i, j = i[new], j[new]
     sets = [[np.frombuffer(x, np.uint32) for x in part["shingles"]] for part in (first, second)]
     keep = []
