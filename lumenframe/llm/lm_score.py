@@ -1,9 +1,9 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model.
 
 Both are bigram models of the same form over the pieces of one fixed public vocabulary, from counts over all
-documents (background) and over all target documents. Bigrams are counted in SLOTS hash slots, so the models
-have a fixed size whatever the corpus: tasks send the slots they saw, Spark sums them, and the sums, SLOTS and the
-vocabulary's size at most, are broadcast to the tasks that score.
+documents (background) and over all target documents. Every bigram has a count of its own, so the table of counts grows
+with the corpus and stays a Spark table. Scoring tasks are sent those bigrams only that make up more than 1/FREQUENT
+of all tokens (fewer than FREQUENT whatever the corpus); the tokens of all others are joined with their counts.
 """
 
 from __future__ import annotations
@@ -16,12 +16,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.session import bounded_batches
-from lumenframe.llm.text import WordTable, mix64, slices, word_bounds
+from lumenframe.llm.session import bounded_batches, checkpointed
+from lumenframe.llm.text import WordTable, slices, word_bounds
 
 VOCABULARY = "piece_bpe_32k.model"
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
+#: Numbers below are bigrams (one number each), those from here on pieces, then contexts.
+SLOTS = 1 << 40
+#: Fewer than so many bigrams are broadcast; the others are joined.
+FREQUENT = 1 << 19
+#: Distinct bigrams that a counting task holds before it sends them on.
+HELD = 1 << 20
 #: Weight of the bigram's own share of its context; the rest is the piece's share of all.
 BIGRAM_WEIGHT = 0.7
 _tables: dict[str, tuple[WordTable, int]] = {}
@@ -39,7 +43,7 @@ def word_pieces(vocabulary: str = VOCABULARY) -> tuple[WordTable, int]:
 
 
 def bigrams(column: pa.Array, vocabulary: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, row, piece before, piece, slot of the two) of the tokens; the number of pieces stands before a text's first."""
+    """(first row, end row, row, piece before, piece, number of the two) of the tokens; the number of pieces stands before a text's first."""
     table, size = word_pieces(vocabulary)
     for lo, hi, raw, offsets in slices(column):
         starts, ends, row = word_bounds(raw, offsets)
@@ -51,8 +55,13 @@ def bigrams(column: pa.Array, vocabulary: str) -> Iterator[tuple[int, int, np.nd
         before = np.full(len(piece), size)
         same = np.flatnonzero(row[1:] == row[:-1])
         before[same + 1] = piece[same]
-        slot = (mix64((before * (size + 1) + piece).astype(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        yield lo, hi, row, before, piece, slot
+        yield lo, hi, row, before, piece, before * (size + 1) + piece
+
+
+def summed(slot: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct slots, and the sums of the rows of counts over each."""
+    u, back = np.unique(slot, return_inverse=True)
+    return u, np.array([np.bincount(back, x, len(u)) for x in counts], np.int64)
 
 
 def count(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -60,35 +69,53 @@ def count(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = word_pieces(vocabulary)[1]
-        total = np.zeros((2, SLOTS + 2 * (size + 1)), np.int64)
+        single = np.zeros((2, 2 * (size + 1)), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+
+        def rows(slot: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(slot), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(slot[part]), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["slot", "target", "background"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held], axis=1))
+
         for b in batches:
             chosen = pc.fill_null(b.column(1), False).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, row, before, piece, slot in bigrams(b.column(0), vocabulary):
                 mine = chosen[lo:hi][row]
-                for which in (slot, SLOTS + piece, SLOTS + size + 1 + before):
-                    total[1] += np.bincount(which, minlength=total.shape[1])
-                    total[0] += np.bincount(which[mine], minlength=total.shape[1])
-        seen = np.flatnonzero(total[1])
-        for k in range(0, len(seen), 1 << 16):
-            part = seen[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[0, part]), pa.array(total[1, part])], names=["slot", "target", "background"])
-
-    return docs.select("text", "is_target").mapInArrow(run, "slot int, target long, background long").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+                for which in (piece, size + 1 + before):
+                    single[1] += np.bincount(which, minlength=single.shape[1])
+                    single[0] += np.bincount(which[mine], minlength=single.shape[1])
+                held.append(summed(slot, np.array([mine, np.ones(len(slot), bool)])))
+                n += len(held[-1][0])
+                if n >= 2 * HELD:
+                    held = [merged()]
+                    n = len(held[0][0])
+                    if n >= HELD:
+                        yield from rows(*held.pop())
+                        n = 0
+        if held:
+            yield from rows(*merged())
+        seen = np.flatnonzero(single[1])
+        yield from rows(SLOTS + seen, single[:, seen])
+
+    return docs.select("text", "is_target").mapInArrow(run, "slot long, target long, background long").groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
 class BigramModel:
-    """Interpolated bigram probabilities from the counts of one side."""
+    """Interpolated bigram probabilities from one side's counts of pieces and contexts."""
 
     def __init__(self, counts: np.ndarray, size: int):
-        self.slots = counts[:SLOTS].astype(np.float32)
-        pieces = counts[SLOTS : SLOTS + size + 1].astype(np.float64)
-        self.pieces = ((pieces + 1) / (pieces.sum() + size + 1)).astype(np.float32)
-        self.contexts = np.maximum(counts[SLOTS + size + 1 :], 1).astype(np.float32)
+        pieces = counts[: size + 1].astype(np.float64)
+        self.pieces = (pieces + 1) / (pieces.sum() + size + 1)
+        self.contexts = np.maximum(counts[size + 1 :], 1)
 
-    def losses(self, before: np.ndarray, piece: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Negative log probabilities; a slot's share is at most 1 although bigrams may share it."""
-        share = np.minimum(self.slots[slot] / self.contexts[before], 1)
-        return -np.log(BIGRAM_WEIGHT * share + (1 - BIGRAM_WEIGHT) * self.pieces[piece])
+    def losses(self, slot: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Negative log probabilities of bigrams that were counted n times."""
+        before, piece = np.divmod(slot, len(self.pieces))
+        return -np.log(BIGRAM_WEIGHT * (n / self.contexts[before]) + (1 - BIGRAM_WEIGHT) * self.pieces[piece])
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -103,24 +130,51 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, key: str = "do
     names = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct().withColumn("is_target", F.lit(True))
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # Merged at every size: the table of targets grows with the corpus and is never broadcast.
-    got = count(rows.join(names.hint("merge"), "id", "left"), vocabulary).toPandas()
+    counts = checkpointed(count(rows.join(names.hint("merge"), "id", "left"), vocabulary))
     size = word_pieces(vocabulary)[1]
-    sums = np.zeros((2, SLOTS + 2 * (size + 1)), np.int64)
+    sums = np.zeros((2, 2 * (size + 1)), np.int64)
+    got = counts.where(F.col("slot") >= SLOTS).toArrow()
     for k, side in enumerate(("target", "background")):
-        sums[k, got["slot"].to_numpy(np.int64)] = got[side].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast([BigramModel(x, size) for x in sums])
+        sums[k, got["slot"].to_numpy() - SLOTS] = got[side].to_numpy()
+    models = [BigramModel(x, size) for x in sums]
+    context = docs.sparkSession.sparkContext
+    frequent = F.col("background") * FREQUENT > int(sums[1, : size + 1].sum())
+    got = counts.where(F.col("slot") < SLOTS).where(frequent).sort("slot").toArrow()
+    known = got["slot"].to_numpy()
+    shared = context.broadcast((known, [m.losses(known, got[side].to_numpy()) for m, side in zip(models, ("target", "background"), strict=True)]))
+    shared_models = context.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, losses = shared.value
         for b in batches:
-            n, loss = np.zeros(len(b), np.int64), np.zeros((2, len(b)))
-            for lo, hi, row, before, piece, slot in bigrams(b.column(1), vocabulary):
+            n, loss, other = np.zeros(len(b), np.int64), np.zeros((2, len(b))), np.zeros(len(b) + 1, np.int32)
+            rest = [np.zeros(0, np.int64)]
+            for lo, hi, row, _, _, slot in bigrams(b.column(1), vocabulary):
                 n[lo:hi] = np.bincount(row, minlength=hi - lo)
-                for k, model in enumerate(shared.value):
-                    loss[k, lo:hi] = np.bincount(row, model.losses(before, piece, slot), hi - lo)
-            mean = loss / np.maximum(n, 1)
-            none = n == 0
-            columns = [pa.array(x, pa.float64(), mask=none) for x in (*mean, mean[0] - mean[1])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *columns], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    scored = rows.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, score double")
-    return scored.withColumnRenamed("id", key)
+                u, back = np.unique(slot, return_inverse=True)
+                at = np.searchsorted(known, u)
+                hit = at < len(known)
+                hit[hit] = known[at[hit]] == u[hit]
+                for k in (0, 1):
+                    each = np.zeros(len(u))
+                    each[hit] = losses[k][at[hit]]
+                    loss[k, lo:hi] = np.bincount(row, each[back], hi - lo)
+                left = ~hit[back]
+                other[lo + 1 : hi + 1] = np.bincount(row[left], minlength=hi - lo)
+                rest.append(slot[left])
+            slots = pa.ListArray.from_arrays(pa.array(np.cumsum(other, dtype=np.int32)), pa.array(np.concatenate(rest)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), slots], names=["id", "n_tokens", "target_loss", "background_loss", "slots"])
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(m.losses(slot, b.column(k + 1).to_numpy())) for k, m in enumerate(shared_models.value)]], names=["slot", "target_loss", "background_loss"])
+
+    # Checkpointed, so that a row keeps its number whatever is lost later.
+    part = checkpointed(rows.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, slots array<long>").withColumn("row", F.monotonically_increasing_id()))
+    priced = counts.where(F.col("slot") < SLOTS).where(~frequent).mapInArrow(price, "slot long, target_loss double, background_loss double")
+    rest = part.select("row", F.explode("slots").alias("slot")).join(priced.hint("merge"), "slot")
+    both = part.drop("slots").unionByName(rest.drop("slot"), allowMissingColumns=True)
+    scored = both.groupBy("row").agg(F.max("id").alias(key), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("target_loss", "background_loss")])
+    mean = {c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in ("target_loss", "background_loss")}
+    return scored.withColumns(mean).withColumn("score", F.col("target_loss") - F.col("background_loss")).drop("row")

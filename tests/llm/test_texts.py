@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 import struct
 import zlib
@@ -277,6 +278,34 @@ def test_cross_entropy_difference(spark):
     assert lm_score.cross_entropy_difference(df.where("false"), target).count() == 0
 
 
+@pytest.mark.parametrize("frequent", [1 << 19, 64])
+def test_losses_against_models_of_all_bigrams(spark, monkeypatch, frequent):
+    """So many bigrams that any fixed 2^20 slots would share some; with few and with many of them joined."""
+    import collections
+
+    import public_tokenizers
+    import sentencepiece
+
+    monkeypatch.setattr(lm_score, "FREQUENT", frequent)
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(lm_score.VOCABULARY))
+    size, rng = model.get_piece_size(), np.random.default_rng(5)
+    words = [w for w in (model.id_to_piece(k)[1:] for k in range(300, size) if model.id_to_piece(k)[0] == "\u2581") if w.isascii() and w.isalpha()][:4000]
+    texts = [" ".join(rng.choice(words, 1500)) for _ in range(40)] + ["the the the"]
+    docs = [[size, *(p for w in t.split() for p in model.encode(w))] for t in texts]
+    counts = [collections.Counter(x for d in part for x in itertools.pairwise(d)) for part in (docs[::2], docs)]
+    losses = []
+    for c in counts:
+        pieces, contexts, total = collections.Counter(), collections.Counter(), sum(c.values())
+        for (a, b), n in c.items():
+            pieces[b] += n
+            contexts[a] += n
+        losses.append([np.mean([-np.log(0.7 * c[a, b] / max(contexts[a], 1) + 0.3 * (pieces[b] + 1) / (total + size + 1)) for a, b in itertools.pairwise(d)]) for d in docs])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = lm_score.cross_entropy_difference(df, spark.range(0, len(texts), 2).toDF("doc_id")).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == [len(d) - 1 for d in docs]
+    assert np.allclose([[r.target_loss for r in got], [r.background_loss for r in got]], losses, rtol=1e-6)
+
+
 def test_bigram_counts_against_plain_counts(spark):
     import collections
 
