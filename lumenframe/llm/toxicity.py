@@ -1,11 +1,13 @@
 """Toxicity scores of texts restored by a noisy channel.
 
-A suspicious token (characters that stand for letters, letters told apart by signs or blanks, long repeats)
+A suspicious token (characters that stand for letters, letters told apart by signs or blanks, repeats)
 becomes a lattice of characters: each sign may stand for a letter, be noise or part two words, each
 repeat may be dropped. Viterbi decoding under a trigram model of characters picks the restored text. A
-token whose lattice has one path only is left as it is, which is what decoding would give.
+token whose lattice has one path only, but for other signs before and after its letters, is left as it is: decoding
+would give the same words.
 
 Words and word beginnings of the restored text are scored by how often labelled texts that have them are toxic.
+Neighbouring words are also looked up as one word, in case blanks were put into it.
 """
 
 from __future__ import annotations
@@ -47,8 +49,9 @@ UNSEEN = 9.0
 
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in STANDS_FOR]] = True
-_DIGIT_LIKE = np.zeros(256, bool)
-_DIGIT_LIKE[[ord(c) for c in "0123456789@$"]] = True
+# First bytes of characters beyond ASCII that may be other than letters; U+00C0 to U+027F are letters but for two.
+_WIDE = np.zeros(256, bool)
+_WIDE[0xC2], _WIDE[0xCA:] = True, True
 
 
 class CharacterModel:
@@ -113,15 +116,17 @@ def suspicious(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.where(some, places[np.minimum(upto[starts], max(len(places) - 1, 0))] if len(places) else 0, 0)
     last = np.where(some, places[np.maximum(upto[ends] - 1, 0)] if len(places) else 0, 0)
     inner = some & (last - first + 1 > n)
-    lead = some & (first > starts) & _SIGN[raw[np.maximum(first - 1, 0)]]
-    tail = some & (last + 1 < ends) & (ends - last <= 3) & _DIGIT_LIKE[raw[np.minimum(last + 1, len(raw) - 1)]]
-    triple = np.zeros(len(raw), np.int64)
-    triple[2:] = letter[2:] & (raw[2:] == raw[1:-1]) & (raw[2:] == raw[:-2]) & (raw[2:] < 128)
-    tripled = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(triple, out=tripled[1:])
+    # Bytes at which decode() has more than one way: signs, the second of two equal letters, what may be no letter.
+    ways = _SIGN[raw] | _WIDE[raw]
+    same = raw[1:] == raw[:-1]
+    ways[1:] |= same & letter[1:] & (raw[1:] < 128)
+    ways[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+    ways[3:] |= (raw[3:] == raw[1:-2]) & (raw[2:-1] == raw[:-3]) & (raw[2:-1] >= 0xC0)
+    sum_ways = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(ways, out=sum_ways[1:])
     single = (ends - starts == 1) & (letter[starts] | _SIGN[raw[starts]])
-    odd = (inner | lead | tail | (some & (ends - starts > 2) & (tripled[ends] - tripled[np.minimum(starts + 2, ends)] > 0))) & ~single
-    out_a, out_b = [starts[odd]], [ends[odd]]
+    odd = inner | (sum_ways[ends] > sum_ways[starts])
+    out_a, out_b = [], []
     if single.any():  # three and more one-character tokens in a row, most of them letters
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
@@ -132,7 +137,8 @@ def suspicious(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
                 if y - x >= 3 and 2 * letter[starts[x:y]].sum() >= y - x:
                     out_a.append(starts[x : x + 1])
                     out_b.append(ends[y - 1 : y])
-    a, b = np.concatenate(out_a), np.concatenate(out_b)
+                    odd[x:y] = False
+    a, b = np.concatenate([*out_a, starts[odd]]), np.concatenate([*out_b, ends[odd]])
     order = np.argsort(a, kind="stable")
     return a[order], b[order]
 
@@ -157,14 +163,28 @@ def restored(raw: np.ndarray, offsets: np.ndarray, model: CharacterModel, cache:
     return np.frombuffer(b"".join(parts), np.uint8), offsets + gained[np.searchsorted(a, offsets, "left")]
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit feature) of the words and word beginnings, as often as they occur."""
+def features(raw: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit feature) of the words and word beginnings, as often as they occur; and of neighbouring words taken
+    as one, where that has no more than `longest` bytes."""
     starts, ends, row = word_bounds(raw, offsets, NOT_LETTER)
     rows, out = [], []
     for k in BEGINNINGS:
         long = ends - starts > k if k else np.ones(len(starts), bool)
         out.append(mix64(range_hashes(raw, starts[long], np.minimum(starts[long] + k, ends[long]) if k else ends[long]) + np.uint64(k)))
         rows.append(row[long])
+    close = raw[~NOT_LETTER[raw]]
+    length = ends - starts
+    begin = np.cumsum(length) - length
+    at = np.arange(len(starts))
+    for more in range(1, longest):
+        at = at[at + more < len(starts)]
+        to = at + more
+        fits = (row[to] == row[at]) & (begin[to] + length[to] - begin[at] <= longest)
+        at, to = at[fits], to[fits]
+        if not len(at):
+            break
+        out.append(mix64(range_hashes(close, begin[at], begin[to] + length[to])))
+        rows.append(row[at])
     return np.concatenate(rows), np.concatenate(out)
 
 
@@ -192,10 +212,11 @@ def _character_counts(docs: DataFrame, ids: DataFrame) -> dict[str, int]:
 
 
 class Evidence:
-    """Features that speak for toxicity: sorted hashes, toxic (n1) and other (n0) texts that have them, the base rate."""
+    """Features that speak for toxicity: sorted hashes, toxic (n1) and other (n0) texts that have them, the base rate,
+    and the most bytes of a word among them."""
 
-    def __init__(self, f: np.ndarray, n1: np.ndarray, n0: np.ndarray, base: float):
-        self.f, self.n1, self.n0, self.base = f, n1, n0, base
+    def __init__(self, f: np.ndarray, n1: np.ndarray, n0: np.ndarray, base: float, longest: int = 0):
+        self.f, self.n1, self.n0, self.base, self.longest = f, n1, n0, base, longest
         self.cut = THRESHOLD
 
     def raw(self, n: int, row: np.ndarray, f: np.ndarray, toxic: np.ndarray | None = None) -> np.ndarray:
@@ -207,7 +228,7 @@ class Evidence:
             row, at = row[hit], at[hit]
             n1, n0 = self.n1[at].astype(float), self.n0[at].astype(float)
             if toxic is not None:
-                n1, n0 = n1 - toxic[row], n0 - ~toxic[row]
+                n1, n0 = np.maximum(n1 - toxic[row], 0), np.maximum(n0 - ~toxic[row], 0)  # words taken as one weren't counted
             np.maximum.at(out, row, (n1 + PRIOR_TEXTS * self.base) / (n1 + n0 + PRIOR_TEXTS))
         return out
 
@@ -238,8 +259,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
         for b in batches:
             toxic = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
             found: list[list[np.ndarray]] = [[], []]
+            words: list[tuple[np.ndarray, np.ndarray]] = []
             for lo, hi, raw, offsets in slices(pc.utf8_lower(b.column(1))):
-                row, f = features(*restored(raw, offsets, model, cache))
+                raw, offsets = restored(raw, offsets, model, cache)
+                starts, ends, _ = word_bounds(raw, offsets, NOT_LETTER)
+                words.append((mix64(range_hashes(raw, starts, ends)), ends - starts))
+                row, f = features(raw, offsets)
                 order = np.lexsort((f, row))
                 row, f = row[order], f[order]
                 once = np.ones(len(f), bool)
@@ -248,20 +273,24 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
                 for k in (0, 1):
                     found[k].append(f[toxic[lo:hi][row] == k])
             both = [np.unique(np.concatenate(x), return_counts=True) for x in found]
+            word, at = np.unique(np.concatenate([x for x, _ in words]), return_index=True)
+            length = np.concatenate([x for _, x in words])[at]
             for k, (f, n) in enumerate(both):
                 if len(f):
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n * k), pa.array(n * (1 - k))], names=["f", "n1", "n0"])
+                    at = np.minimum(np.searchsorted(word, f), len(word) - 1)
+                    size = np.where(word[at] == f, length[at], 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n * k), pa.array(n * (1 - k)), pa.array(size)], names=["f", "n1", "n0", "size"])
 
     sample = rows.join(F.broadcast(chosen), "id")
     totals = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
     if not totals["n1"]:
         return model, Evidence(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0)
     base = totals["n1"] / totals["n"]
-    per = sample.select("toxic", "text").mapInArrow(run, "f long, n1 long, n0 long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    per = sample.select("toxic", "text").mapInArrow(run, "f long, n1 long, n0 long, size long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("size").alias("size"))
     per = per.where(f"n1 > 1 AND (n1 + {PRIOR_TEXTS * base}) / (n1 + n0 + {PRIOR_TEXTS}) >= 0.25").toPandas()
     f = per["f"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(f)
-    evidence = Evidence(f[order], per["n1"].to_numpy()[order], per["n0"].to_numpy()[order], base)
+    evidence = Evidence(f[order], per["n1"].to_numpy()[order], per["n0"].to_numpy()[order], base, int(per["size"].max()) if len(per) else 0)
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +298,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
         for b in batches:
             toxic, raws = b.column(0).to_numpy(zero_copy_only=False).astype(bool), np.zeros(len(b))
             for lo, hi, raw, offsets in slices(pc.utf8_lower(b.column(1))):
-                raws[lo:hi] = shared.value.raw(hi - lo, *features(*restored(raw, offsets, model, cache)), toxic[lo:hi])
+                raws[lo:hi] = shared.value.raw(hi - lo, *features(*restored(raw, offsets, model, cache), shared.value.longest), toxic[lo:hi])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raws)], names=["toxic", "raw"])
 
     judged = sample.select("toxic", "text").mapInArrow(judge, "toxic int, raw double").toPandas()
@@ -285,7 +314,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     Labels are learned from rows whose crc32(key as text) mod 3 is not 1, at most `most` of them; a key
     labelled twice counts once, as toxic if it ever is. A score reads the text alone: the largest share, over the
-    features of the restored text, of labelled texts with that feature that are toxic, scaled so that the cut between
+    features of the restored text, neighbouring words taken as one among them, of labelled texts with that feature that are toxic, scaled so that the cut between
     the learning rows' classes is at THRESHOLD. Null and empty texts, and texts without such a feature, have half
     the base rate as their share; without toxic labels all score 0. A null key counts as not held out. Other
     columns are not read. An empty table gives an empty result.
@@ -302,7 +331,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
         for b in batches:
             score = np.zeros(len(b))
             for lo, hi, raw, offsets in slices(pc.utf8_lower(b.column(2))):
-                score[lo:hi] = evidence.score(evidence.raw(hi - lo, *features(*restored(raw, offsets, model, _caches[token]))))
+                score[lo:hi] = evidence.score(evidence.raw(hi - lo, *features(*restored(raw, offsets, model, _caches[token]), evidence.longest)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -169,6 +169,36 @@ def test_toxicity_table(spark):
     assert {r.score for r in toxicity.score_toxicity(df, labels.where("false")).collect()} == {0.0}
 
 
+def test_gate_skips_no_token_that_decoding_changes():
+    words = ["idiot", "stupid", "letter", "house", "moron", "größe", "straße", "ass"] * 20
+    counts = {}
+    for w in words:
+        for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1)):
+            counts[g] = counts.get(g, 0) + 1
+    model, rng = toxicity.CharacterModel(counts), np.random.default_rng(3)
+    tokens = ["iidiot", "stuupid", "@$$", "idio+", "idio!", "!d!ot", "\u201cidiot\u201d", "größße", "ident\u00d7ity", "house,", "(house)", "--", "letter", "5"]
+    tokens += ["".join(rng.choice(list("aidiotßé×@$!+.,'50\u2014"), rng.integers(1, 7))) for _ in range(3000)]
+
+    def words_of(texts):
+        return [[raw[a:b] for a, b in zip(*word_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), langid.NOT_LETTER)[:2], strict=True)] for raw in texts]
+
+    data = [t.encode() for t in tokens]
+    raw, offsets = toxicity.restored(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), model, {})
+    got = [raw[a:b].tobytes() for a, b in itertools.pairwise(offsets.tolist())]
+    assert got[:2] == [b"idiot", b"stupid"]
+    assert words_of(got) == words_of([model.decode(t).encode() for t in tokens])
+
+
+def test_toxic_words_in_pieces_and_disguise(spark):
+    rows = [(i, f"the quiet house {'idiot' if i % 8 == 0 else 'stupid' if i % 4 == 0 else 'plain'} by the river w{i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    hidden = ["such an id io t here", "such an idi ot here", "such an iidiot here", "so stuupid again", "such an idio+ here", "so stu pid again", "such an i diot here"]
+    df = spark.createDataFrame(rows + list(enumerate(hidden, 1000)) + [(2000, "such a plain house here")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(df, labels).collect()}
+    assert [got[1000 + k] for k in range(len(hidden))] == [1] * len(hidden)
+    assert all(got[i] == int(i % 4 == 0) for i in range(300)) and got[2000] == 0
+
+
 # Pages -------------------------------------------------------------------------------------------------------
 def test_blocks_of_odd_markup():
     page = "<nav><a>m</a></nav><article><h1>T &amp; t</h1><p>one<br>two<p>three <b>x<p>four</article><div class='ad'>no</div><footer>f</footer><script>var a='</p>'</script>"
