@@ -8,8 +8,8 @@
    runs unique to the page are kept; where a page has main blocks its open ones are boilerplate too.
 
 A main block of REPEAT_TOKENS or more is dropped only if all of it also stands in an aside zone of another page. Hosts are
-cut into groups of GROUP_PAGES pages by a hash, so no task holds a whole large host; boilerplate shows in each
-group because a group has many pages.
+cut into groups of GROUP_PAGES pages by a hash, so no task holds a whole large host. What two groups of a host share
+is found by a shuffle of hashes: of the runs that could be covered, the same runs on all pages, and of whole blocks.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.session import bounded_batches, checkpointed
+from lumenframe.llm.text import mix64, range_hashes
 
 REPEAT_TOKENS = 8
 GROUP_PAGES = 256
 #: Up to so many hosts their page counts are broadcast; beyond, pages and counts are merge-joined.
 BROADCAST_HOSTS = 50_000
+#: Of hashed runs that could be covered so many leading bits are known when all runs are sent; a full map costs time, not runs.
+MAP_BITS = 21
 
 # Fixed values of HTML: elements without content, with raw content, and block elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,8 +204,46 @@ def covered(streams: list[np.ndarray], owner: np.ndarray, ends: np.ndarray) -> n
     return np.cumsum(reach[:-1]) > 0
 
 
-def choose(pages: list[tuple[list[str], list[str]]]) -> list[str]:
-    """The text of each page of a group of one host, from its (zones, texts of blocks)."""
+def run_hashes(texts: list[str], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """First word and number of words of each text, these laid end to end; and for each length up to REPEAT_TOKENS
+    the salted hash of the run of so many words from each word on (within a text, else of no meaning)."""
+    n = np.array([t.count(" ") + 1 for t in texts], np.int64)
+    raw = np.frombuffer(" ".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+    gap = np.flatnonzero(raw == 32)
+    h = range_hashes(raw, np.append(0, gap + 1), np.append(gap, len(raw)))
+    salt, out, v = np.repeat(salt, n), [], np.zeros(len(h), np.uint64)
+    for k in range(REPEAT_TOKENS):
+        v = v * np.uint64(0x9E3779B97F4A7C15)
+        v[: len(h) - k] += h[k:]
+        out.append(mix64(v ^ salt ^ np.uint64(k + 1)))
+    return np.cumsum(n) - n, n, out
+
+
+def coverable(first: np.ndarray, n: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, length and hash of the runs of these texts that count: of REPEAT_TOKENS words, or a whole shorter text."""
+    at, length = [first[n < REPEAT_TOKENS]], [n[n < REPEAT_TOKENS]]
+    for a, m in zip(first[n >= REPEAT_TOKENS].tolist(), n[n >= REPEAT_TOKENS].tolist(), strict=True):
+        at.append(np.arange(a, a + m - REPEAT_TOKENS + 1))
+    length.append(np.full(sum(map(len, at[1:])), REPEAT_TOKENS))
+    start, length = np.concatenate(at), np.concatenate(length)
+    return start, length, np.array(hashes)[length - 1, start]
+
+
+def block_hashes(texts: list[str], salt: np.ndarray) -> np.ndarray:
+    """Salted hashes of whole blocks, apart from those of runs."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(x) for x in data])
+    return mix64(range_hashes(np.frombuffer(b"".join(data), np.uint8), ends - [len(x) for x in data], ends) ^ salt)
+
+
+def decided(zones: list[str]) -> list[bool]:
+    """The blocks of a page on whose runs the suffix array decides."""
+    return [z == "open" and "main" not in zones for z in zones]
+
+
+def choose(pages: list[tuple[list[str], list[str]]], salt: int = 0, shared: np.ndarray | None = None) -> list[str]:
+    """The text of each page of a group of one host, from its (zones, texts of blocks); shared has the (salted) hashes
+    of runs, and of main blocks that are asides, that other groups of the host have."""
     names: dict[str, int] = {}
     streams, owner, ends, words = [], [], [], []
     at = 0
@@ -220,6 +261,20 @@ def choose(pages: list[tuple[list[str], list[str]]]) -> list[str]:
         return ["" for _ in pages]
     tokens = [np.where(s < 0, len(names) - 1 - s, s) for s in streams]
     hit = covered(tokens, np.array(owner), np.array(ends))
+    aside_there: set[str] = set()
+    if shared is not None and len(shared):
+        flat = [(z, t, d) for zones, texts in pages for z, t, d in zip(zones, texts, decided(zones), strict=True)]
+        salts = np.full(len(flat), salt, np.int64).view(np.uint64)
+        first, n, hashes = run_hashes([t for _, t, _ in flat], salts)
+        open_ = np.array([d for _, _, d in flat])
+        start, length, h = coverable(first[open_], n[open_], hashes)
+        found = np.isin(h, shared)
+        reach = np.zeros(n.sum() + 1, np.int64)
+        np.add.at(reach, start[found], 1)
+        np.add.at(reach, start[found] + length[found], -1)
+        word = np.arange(n.sum()) + np.repeat(np.arange(len(n)), n)  # hit has one more for the end of each block
+        hit[word] |= np.cumsum(reach[:-1]) > 0
+        aside_there = {t for (z, t, _), x in zip(flat, np.isin(block_hashes([t for _, t, _ in flat], salts), shared), strict=True) if x and z == "main"}
     elsewhere: dict[str, set[int]] = {}
     for p, (zones, texts) in enumerate(pages):
         for z, t in zip(zones, texts, strict=True):
@@ -227,14 +282,14 @@ def choose(pages: list[tuple[list[str], list[str]]]) -> list[str]:
                 elsewhere.setdefault(t, set()).add(p)
     out, k, at = [], 0, 0
     for p, (zones, texts) in enumerate(pages):
-        kept, has_main = [], "main" in zones
-        for z, t in zip(zones, texts, strict=True):
+        kept = []
+        for z, t, by_array in zip(zones, texts, decided(zones), strict=True):
             w = words[k]
             mine = hit[at : at + len(w)]
             if z == "main":
-                if not (len(w) >= REPEAT_TOKENS and mine.all() and elsewhere.get(t, set()) - {p}):
+                if not (len(w) >= REPEAT_TOKENS and (t in aside_there or (mine.all() and elsewhere.get(t, set()) - {p}))):
                     kept.append(t)
-            elif z == "open" and not has_main and not mine.all():
+            elif by_array and not mine.all():
                 kept.append(" ".join(x for x, c in zip(w, mine, strict=True) if not c) if mine.any() else t)
             k, at = k + 1, at + len(w) + 1
         out.append("\n\n".join(kept))
@@ -256,10 +311,57 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 made = [blocks(x or "") for x in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([[z for z, _ in m] for m in made], pa.list_(pa.string())), pa.array([[t for _, t in m] for m in made], pa.list_(pa.string()))], names=["page_id", "url", "zones", "texts"])
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        text = choose(list(zip(pdf["zones"].map(list), pdf["texts"].map(list), strict=True)))
+    def group(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        text = choose(list(zip(pdf["zones"].map(list), pdf["texts"].map(list), strict=True)), int(pdf["salt"].iloc[0]) if len(pdf) else 0, found["hash"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
+    def blocks_of(b: pa.RecordBatch) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Zone, text, whether the array decides, salt and group of the blocks of pages on hosts of several groups."""
+        zones, texts, decides, salt, gid = [], [], [], [], []
+        for r in b.select(["zones", "texts", "salt", "gid", "parts"]).to_pylist():
+            if r["parts"] > 1:
+                zones += r["zones"]
+                texts += r["texts"]
+                decides += decided(r["zones"])
+                salt += [r["salt"]] * len(r["zones"])
+                gid += [r["gid"]] * len(r["zones"])
+        return zones, texts, np.array(decides, bool), np.array(salt, np.int64).view(np.uint64), np.array(gid, np.int64)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, texts, decides, salt, _ = blocks_of(b)
+            if decides.any():
+                h = coverable(*run_hashes([t for t, d in zip(texts, decides, strict=True) if d], salt[decides]))[2]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h >> np.uint64(64 - MAP_BITS)).astype(np.int64))], names=["place"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << MAP_BITS, bool)
+        known[shared.value] = True
+        for b in batches:
+            zones, texts, decides, salt, gid = blocks_of(b)
+            if not texts:
+                continue
+            whole = block_hashes(texts, salt)
+            aside = np.array([z == "aside" for z in zones])
+            main = np.array([z == "main" and t.count(" ") >= REPEAT_TOKENS - 1 for z, t in zip(zones, texts, strict=True)])
+            parts = [(whole[main], gid[main], True, False), (whole[aside], gid[aside], False, True)]
+            if len(shared.value):
+                first, n, hashes = run_hashes(texts, salt)
+                owner = np.repeat(gid, n)
+                start, _, h = coverable(first[decides], n[decides], hashes)
+                parts.append((h, owner[start], True, True))
+                left = np.repeat(first + n, n) - np.arange(n.sum())
+                for k, h in enumerate(hashes):
+                    some = (left > k) & known[(h >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+                    parts.append((h[some], owner[some], False, True))
+            for h, g, want, offer in parts:
+                if len(h):
+                    order = np.lexsort((g, h))
+                    h, g = h[order], g[order]
+                    once = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
+                    m = int(once.sum())
+                    yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(g[once]), pa.array(np.full(m, want)), pa.array(np.full(m, offer))], names=["hash", "gid", "want", "offer"])
+
     bounded_batches(pages)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")), F.lit(""))
@@ -267,6 +369,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     counts = F.broadcast(counts) if counts.count() <= BROADCAST_HOSTS else counts.hint("merge")
     made = rows.mapInArrow(cut, "page_id long, url string, zones array<string>, texts array<string>").withColumn("host", host)
     dealt = made.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
-    dealt = dealt.repartition("host", "part")  # else the parts of a host would stay in the task of the join by host
-    out = dealt.groupBy("host", "part").applyInPandas(group, "page_id long, url string, text string, n_chars long")
+    dealt = dealt.select("page_id", "url", "zones", "texts", "parts", F.xxhash64("host").alias("salt"), F.xxhash64("host", "part").alias("gid"))
+    several = dealt.where("parts > 1").mapInArrow(places, "place long").distinct().toArrow()
+    shared = pages.sparkSession.sparkContext.broadcast(several["place"].to_numpy())
+    dealt = dealt.repartition("gid")  # else the parts of a host would stay in the task of the join by host
+    sent = dealt.mapInArrow(send, "hash long, gid long, want boolean, offer boolean").repartition("hash")
+    offers = sent.where("offer").groupBy("hash").agg(F.min("gid").alias("least"), F.max("gid").alias("most"))
+    found = sent.where("want").select("hash", "gid").distinct().join(offers.hint("merge"), "hash").where("least <> gid OR most <> gid").select("gid", "hash")
+    out = dealt.groupBy("gid").cogroup(found.groupBy("gid")).applyInPandas(group, "page_id long, url string, text string, n_chars long")
     return out.withColumnRenamed("page_id", key).withColumnRenamed("url", url)

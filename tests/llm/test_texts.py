@@ -248,6 +248,21 @@ def test_pages_table(spark):
             assert r.text == ""
 
 
+def test_repeats_across_groups_of_a_host(spark, monkeypatch):
+    """Groups of one page or so: what pages share, only other groups have."""
+    notice, short = "please note that the office stays closed on all days of May", "read more"
+    body = [f"page {i} tells its own story number {i * 7} with words like w{i} and v{i} in it" for i in range(40)]
+    rows = [(i, f"http://one.org/{i}", f"<div><p>{short}</p><p>{t}</p>" + (f"<p>{notice}</p>" if i in (3, 17) else "") + "</div>") for i, t in enumerate(body)]
+    advert = "<article><p>a main block that stands in an aside elsewhere too</p><p>the text of this one</p></article>"
+    rows += [(100, "http://one.org/a", advert), (101, "http://one.org/b", advert.replace("article", "aside")), (102, "http://two.org/c", f"<div>{notice}</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert [want[i] for i in range(40)] == [want[i].replace(notice, "").replace(short, "") for i in range(40)]
+    assert want[102] == notice and want[100] == "the text of this one"
+    monkeypatch.setattr(html_extract, "GROUP_PAGES", 1)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
+
+
 # Audio -------------------------------------------------------------------------------------------------------
 def plain_adpcm(block):
     value, index = struct.unpack_from("<hB", block)
