@@ -28,8 +28,8 @@ from lumenframe.llm.text import mix64, range_hashes, slices, word_bounds
 
 #: Labelled rows that the scores are learned from, those with the smallest hashes.
 SAMPLE_LABELS = 20_000
-#: Of these, the rows that the character model is learned from.
-SAMPLE_CHARACTERS = 2_000
+#: Distinct words that a counting task holds before it takes them apart.
+HELD_WORDS = 1 << 17
 THRESHOLD = 0.7
 #: Labelled texts that each feature has beforehand, at the base rate.
 PRIOR_TEXTS = 3
@@ -148,15 +148,21 @@ def restored(raw: np.ndarray, offsets: np.ndarray, model: CharacterModel, cache:
     a, b = suspicious(raw, offsets)
     if not len(a):
         return raw, offsets
-    data, parts, at, lengths = raw.tobytes(), [], 0, np.zeros(len(a), np.int64)
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+    _, first, back = np.unique(range_hashes(raw, a, b), return_index=True, return_inverse=True)
+    data, made, changed = raw.tobytes(), [], np.zeros(len(first), bool)
+    for k, (x, y) in enumerate(zip(a[first].tolist(), b[first].tolist(), strict=True)):
         token = data[x:y]
         if token not in cache:
             if len(cache) >= 200_000:
                 cache.clear()
             cache[token] = model.decode(token.decode("utf-8", "replace")).encode()
-        parts += [data[at:x], cache[token]]
-        lengths[k], at = len(cache[token]) - (y - x), y
+        made.append(cache[token])
+        changed[k] = made[-1] != token
+    a, b, back = a[changed[back]], b[changed[back]], back[changed[back]]
+    parts, at, lengths = [], 0, np.zeros(len(a), np.int64)
+    for k, (x, y, which) in enumerate(zip(a.tolist(), b.tolist(), back.tolist(), strict=True)):
+        parts += [data[at:x], made[which]]
+        lengths[k], at = len(made[which]) - (y - x), y
     parts.append(data[at:])
     gained = np.zeros(len(a) + 1, np.int64)
     np.cumsum(lengths, out=gained[1:])
@@ -188,27 +194,44 @@ def features(raw: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _character_counts(docs: DataFrame, ids: DataFrame) -> dict[str, int]:
+def _character_counts(docs: DataFrame) -> dict[str, int]:
+    """How often each trigram of characters occurs in the words of all texts that are letters only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
         words: dict[bytes, int] = {}
+
+        def take_apart() -> None:
+            for w, n in words.items():
+                s = f"^^{w.decode('utf-8', 'replace')}$"
+                for i in range(len(s) - 2):
+                    counts[s[i : i + 3]] = counts.get(s[i : i + 3], 0) + n
+            words.clear()
+
         for b in batches:
             for _, _, raw, offsets in slices(pc.utf8_lower(b.column(0))):
-                data = raw.tobytes()
                 starts, ends, _ = word_bounds(raw, offsets)
-                clean = np.bincount(np.repeat(np.arange(len(starts)), ends - starts), NOT_LETTER[raw[~np.isin(raw, [9, 10, 11, 12, 13, 32])]], len(starts)) == 0
-                for x, y in zip(starts[clean].tolist(), ends[clean].tolist(), strict=True):
-                    w = data[x:y]
-                    words[w] = words.get(w, 0) + 1
-        for w, n in words.items():
-            s = f"^^{w.decode('utf-8', 'replace')}$"
-            for i in range(len(s) - 2):
-                counts[s[i : i + 3]] = counts.get(s[i : i + 3], 0) + n
+                if not len(starts):
+                    continue
+                other = np.zeros(len(raw) + 1, np.int64)
+                np.cumsum(NOT_LETTER[raw], out=other[1:])
+                clean = other[ends] == other[starts]
+                starts, ends = starts[clean], ends[clean]
+                _, first, n = np.unique(range_hashes(raw, starts, ends), return_index=True, return_counts=True)
+                data = raw.tobytes()
+                for x, y, m in zip(starts[first].tolist(), ends[first].tolist(), n.tolist(), strict=True):
+                    words[data[x:y]] = words.get(data[x:y], 0) + m
+                if len(words) >= HELD_WORDS:
+                    take_apart()
+                if len(counts) >= HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
+                    counts.clear()
+        take_apart()
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
-    got = docs.join(F.broadcast(ids), "id").select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in got.collect()}
+    got = docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(got["gram"].to_pylist(), got["n"].to_pylist(), strict=True))
 
 
 class Evidence:
@@ -248,11 +271,11 @@ class Evidence:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> tuple[CharacterModel, Evidence]:
-    """The character model and the evidence of features, from at most `most` labelled texts."""
+    """The character model, from all texts, and the evidence of features, from at most `most` labelled ones."""
     rows = docs.where(in_training(F.col(key)) & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isNotNull() & in_training(F.col(key))).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    model = CharacterModel(_character_counts(rows, chosen.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_CHARACTERS).select("id")))
+    model = CharacterModel(_character_counts(docs.select(F.col(text).alias("text"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, bytes] = {}

@@ -199,6 +199,20 @@ def test_toxic_words_in_pieces_and_disguise(spark):
     assert all(got[i] == int(i % 4 == 0) for i in range(300)) and got[2000] == 0
 
 
+def test_character_model_counts_all_texts(spark):
+    rows = [(i, "the house by the river") for i in range(2500)] + [(9000 + i, "Quokka, zwölf quokka x1 it's") for i in range(3)]
+    df = spark.createDataFrame(rows + [(9999, None)], "doc_id long, text string")
+    want = {}
+    for _, t in rows:
+        for w in t.lower().split():
+            if w.isalpha():
+                for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1)):
+                    want[g] = want.get(g, 0) + 1
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2500)], "doc_id long, toxic int")
+    model = toxicity.learn(df, labels, "doc_id", "text", "toxic", 20_000)[0]
+    assert model.costs == toxicity.CharacterModel(want).costs
+
+
 # Pages -------------------------------------------------------------------------------------------------------
 def test_blocks_of_odd_markup():
     page = "<nav><a>m</a></nav><article><h1>T &amp; t</h1><p>one<br>two<p>three <b>x<p>four</article><div class='ad'>no</div><footer>f</footer><script>var a='</p>'</script>"
