@@ -13,6 +13,7 @@ depends on the partition's rows alone, so a lost task gives the same rows again.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ POOL = 2048
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 _tables: dict[str, WordTable] = {}
+#: Per vocabulary, the added tokens that a text may hold literally.
+_literals: dict[str, re.Pattern[bytes]] = {}
 
 
 #: How many new units the tokenizer sees at a time.
@@ -46,23 +49,43 @@ _CLASS[48:58] = _DIGIT
 _CLASS[128:] = _CLASS[39] = _WHOLE
 
 
-def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def literal_bounds(raw: np.ndarray, offsets: np.ndarray, literals: re.Pattern[bytes]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the added tokens in the texts; what two texts form at their border is none."""
+    data, starts, ends, at = raw.tobytes(), [], [], 0
+    while m := literals.search(data, at):
+        a, at = m.span()
+        if np.searchsorted(offsets, a, "right") == np.searchsorted(offsets, at, "left"):
+            starts.append(a)
+            ends.append(at)
+        else:
+            at = a + 1
+    return starts, ends
+
+
+def units(raw: np.ndarray, offsets: np.ndarray, literals: re.Pattern[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of the units whose ids, one after another, are those of the texts.
 
     The tokenizer's normaliser and splitter never join across ASCII white space, and within words of ASCII without
-    apostrophes they split runs of letters, single digits and runs of other signs. Other words stay whole.
+    apostrophes they split runs of letters, single digits and runs of other signs. Other words stay whole. Added tokens
+    that stand in a text are cut out of it before all that.
     """
     starts, ends, row = word_bounds(raw, offsets)
     if not len(starts):
         return starts, ends, row
+    a, b = literal_bounds(raw, offsets, literals) if literals else ([], [])
+    if a:
+        cut = np.unique(np.concatenate([starts, a, b]))
+        word = np.searchsorted(starts, cut, "right") - 1
+        cut, word = cut[cut < ends[word]], word[cut < ends[word]]
+        starts, ends, row = cut, np.minimum(np.append(cut[1:], len(raw)), ends[word]), row[word]
     kind = _CLASS[raw]
     whole = np.zeros(len(raw) + 1, np.int32)
     np.cumsum(kind == _WHOLE, out=whole[1:])
     begin = np.zeros(len(raw) + 1, bool)
     begin[1:-1] = (kind[1:] != _BLANK) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
     keep = np.flatnonzero(whole[ends] > whole[starts])
-    for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True):
-        begin[a:b] = False
+    for x, y in zip([*starts[keep].tolist(), *a], [*ends[keep].tolist(), *b], strict=True):
+        begin[x:y] = False
     begin[starts] = True
     first = np.flatnonzero(begin)
     word = np.searchsorted(starts, first, "right") - 1
@@ -77,7 +100,8 @@ def word_ids(vocabulary: str = VOCABULARY) -> WordTable:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
-        tokenizer.encode_special_tokens = True
+        added = sorted((t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        _literals[vocabulary] = re.compile(b"|".join(map(re.escape, added)) or rb"(?!)")
         last = np.zeros(tokenizer.get_vocab_size(), bool)
         last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -85,7 +109,7 @@ def word_ids(vocabulary: str = VOCABULARY) -> WordTable:
             """Plain units go through the tokenizer many at a time; the ids of each end with one that ends a word."""
             out: list = [None] * len(found)
             texts = [w.decode("utf-8", "replace") for w in found]
-            plain = [k for k, w in enumerate(texts) if ("'" not in w if w.isascii() else w.isalpha() and w.lower().isalpha())]
+            plain = [k for k, w in enumerate(texts) if found[k] not in added and ("'" not in w if w.isascii() else w.isalpha() and w.lower().isalpha())]
             for lo in range(0, len(plain), JOINED):
                 part = plain[lo : lo + JOINED]
                 ids = np.array(tokenizer.encode(" ".join([texts[k] for k in part]), add_special_tokens=False).ids, np.uint32)
@@ -105,6 +129,12 @@ def word_ids(vocabulary: str = VOCABULARY) -> WordTable:
     return _tables[vocabulary]
 
 
+def added_tokens(vocabulary: str = VOCABULARY) -> re.Pattern[bytes]:
+    """Finds the tokenizer's added tokens in texts."""
+    word_ids(vocabulary)
+    return _literals[vocabulary]
+
+
 class VectorPacker:
     """add() examples, then take sequences from full() while adding and from rest() at the end.
 
@@ -205,7 +235,7 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, packer = word_ids(vocabulary), VectorPacker(tokens, segments, loss)
+        table, literals, packer = word_ids(vocabulary), added_tokens(vocabulary), VectorPacker(tokens, segments, loss)
         held: dict[int, list] = {}
         context = TaskContext.get()
         counter, serial = (context.partitionId() if context else 0) << 36, 0
@@ -235,7 +265,7 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
         for b in batches:
             doc_ids = b.column(0).to_pylist()
             for lo, hi, raw, offsets in slices(b.column(1)):
-                starts, ends, row = units(raw, offsets)
+                starts, ends, row = units(raw, offsets, literals)
                 flat, length = table.gather(table.index(raw, starts, ends)) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 per_row = np.bincount(row, weights=length, minlength=hi - lo).astype(np.int64) if len(row) else np.zeros(hi - lo, np.int64)
                 at = 0

@@ -43,6 +43,16 @@ def test_packed_pieces_rebuild_every_document(table):
             assert at == len(lists[0])
 
 
+def test_added_tokens_in_texts_are_encoded_as_such(table):
+    texts = ["foo <|endoftext|> bar", "foo<|endoftext|>bar", "it'<|endoftext|>'s", "a <|ENDOFTEXT|> b", "é<|startoftext|><|endoftext|><|EndOfText|>1", "x <|endof<|endoftext|>text|>", "é<|endof", "text|>é", "<|endoftext|>", "<|<|endoftext|>|> don't"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    out = {}
+    for r in pack_texts(table(list(enumerate(texts)))).collect():
+        out.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    for k, t in enumerate(texts):
+        assert [x for _, ids in sorted(out[k]) for x in ids] == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_packer_keeps_all_limits():
     rng = random.Random(2)
     items = [(k, rng.randint(1, 900), 0.0) for k in range(500)]
