@@ -5,7 +5,7 @@
 2. The token streams of a host's pages are concatenated and sorted as a suffix array. Token runs that
    occur on distinct pages and are REPEAT_TOKENS or longer (or fill their block) are covered.
 3. Main blocks are kept, aside blocks dropped. Of open blocks, covered runs are removed as boilerplate and the
-   runs unique to the page are kept; where a page has main blocks its open ones are boilerplate too.
+   runs unique to the page are kept, whether the page has main blocks or not.
 
 A main block of REPEAT_TOKENS or more is dropped only if all of it also stands in an aside zone of another page. Hosts are
 cut into groups of GROUP_PAGES pages by a hash, so no task holds a whole large host. What two groups of a host share
@@ -238,7 +238,7 @@ def block_hashes(texts: list[str], salt: np.ndarray) -> np.ndarray:
 
 def decided(zones: list[str]) -> list[bool]:
     """The blocks of a page on whose runs the suffix array decides."""
-    return [z == "open" and "main" not in zones for z in zones]
+    return [z == "open" for z in zones]
 
 
 def choose(pages: list[tuple[list[str], list[str]]], salt: int = 0, shared: np.ndarray | None = None) -> list[str]:

@@ -277,6 +277,13 @@ def test_repeats_across_groups_of_a_host(spark, monkeypatch):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
 
 
+def test_open_blocks_beside_a_main_block(spark):
+    menu = "<div>Home of the small site with many links and more of them</div>"
+    rows = [(i, "http://one.org/x", f"{menu}<div class=content>small box {i} here</div><p>The article {i} stands outside the element of that class {i * 7}</p>") for i in range(4)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"small box {i} here\n\nThe article {i} stands outside the element of that class {i * 7}" for i in range(4)}
+
+
 # Audio -------------------------------------------------------------------------------------------------------
 def plain_adpcm(block):
     value, index = struct.unpack_from("<hB", block)
