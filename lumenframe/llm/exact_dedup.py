@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.session import fresh
+
 SALTS = 8
 
 
@@ -43,6 +45,14 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", salts:
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with their columns. Rows with a null key stay."""
-    gone = exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col(key))
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """The rows of docs that exact_dedup keeps, with their columns.
+
+    A row goes if its own text has a row with a smaller key; rows that repeat a key are judged each by its text.
+    A row with a null key goes if its text has a row with a key. Rows that repeat the smallest key of their text all stay.
+    Extra columns pass through, whatever their names. An empty table gives an empty result.
+    """
+    digest, gone_key = fresh(docs, "text_sha256"), fresh(docs, "gone_key")
+    gone = exact_dedup(docs, key, text).where(~F.col("kept")).select(F.col(key).alias(gone_key), F.col("text_sha256").alias(f"{digest}_gone")).distinct()
+    rows = docs.withColumn(digest, F.sha2(normalised(F.col(text)), 256))
+    same = (rows[digest] == gone[f"{digest}_gone"]) & rows[key].eqNullSafe(gone[gone_key])
+    return rows.join(gone, same, "left_anti").select(*docs.columns)
