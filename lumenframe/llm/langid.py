@@ -3,10 +3,11 @@
 The pieces are those of a fixed public vocabulary (with a piece for every byte), without their word-start
 marks. Each language has a probability per piece. A word's probability in a language is the sum, over every
 way to cut it into pieces, of the product of their probabilities, by the forward algorithm; a text's is the
-product over its words. Piece probabilities come from expected counts (forward-backward) on labelled words.
+product over its words. Piece probabilities come from expected counts (forward-backward) on labelled words, summed
+in the cluster; the driver sees one number per piece and language.
 
-Words are runs of letters, lower-cased; bytes beyond ASCII count as letters. Runs over WORD_BYTES are cut into
-parts of that length, so the tables of the forward algorithm are bounded.
+Words are runs of letters, lower-cased; bytes beyond ASCII count as letters. Words of any length are scored whole: above
+DIRECT_BYTES the forward sums keep the last positions only and are rescaled as they go.
 """
 
 from __future__ import annotations
@@ -20,15 +21,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.session import bounded_batches
-from lumenframe.llm.text import HashStore, WordTable, ragged, range_hashes, slices, word_bounds
+from lumenframe.llm.session import bounded_batches, checkpointed
+from lumenframe.llm.text import HashStore, WordTable, range_hashes, slices, word_bounds
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents per language that the models learn from, those with the smallest hashes.
 SAMPLE_PER_LANGUAGE = 800
 ROUNDS = 3
-WORD_BYTES = 32
-PIECE_BYTES = 12
+#: Words up to here are scored without rescaling; longer ones aren't learned from.
+DIRECT_BYTES = 32
+#: Words and positions of longer words whose pieces are looked up at a time.
+LONG_WORDS, LONG_STEP = 256, 256
+#: Words whose expected counts a task works out at a time.
+HELD_WORDS = 1 << 15
+#: Expected counts are summed as whole numbers of this fraction, so their order doesn't matter.
+MASS_UNIT = 2.0**-20
 #: Expected occurrences that every piece has beforehand.
 PRIOR_COUNT = 0.05
 #: Documents below this posterior are rejected by keep_identified.
@@ -48,28 +55,18 @@ def pieces(vocabulary: str = VOCABULARY) -> list[bytes]:
     for k in range(model.get_piece_size()):
         if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k)):
             raw = model.id_to_piece(k).replace("▁", "").lower().encode()
-            if 0 < len(raw) <= PIECE_BYTES and not NOT_LETTER[list(raw)].any():
+            if raw and not NOT_LETTER[list(raw)].any():
                 found.add(raw)
     return sorted(found)
 
 
-def letter_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, row = word_bounds(raw, offsets, NOT_LETTER)
-    if len(starts) and (ends - starts).max() > WORD_BYTES:
-        parts = -(-(ends - starts) // WORD_BYTES)
-        item, place = ragged(parts)
-        starts = starts[item] + place * WORD_BYTES
-        ends, row = np.minimum(starts + WORD_BYTES, ends[item]), row[item]
-    return starts, ends, row
-
-
 class Segmenter:
     """Forward and backward sums over the segmentations of words."""
 
     def __init__(self, known: list[bytes]):
         raw = np.frombuffer(b"".join(known), np.uint8)
         ends = np.cumsum([len(x) for x in known])
-        self.n = len(known)
+        self.n, self.longest = len(known), max(map(len, known))
         self.store = HashStore(17)
         self.store.insert(range_hashes(raw, ends - np.array([len(x) for x in known]), ends), np.arange(len(known), dtype=np.int32))
 
@@ -82,7 +79,7 @@ class Segmenter:
                 which = group[k : k + most]
                 raw = np.frombuffer(b"".join([words[i] for i in which.tolist()]), np.uint8)
                 table = []
-                for piece in range(1, min(size, PIECE_BYTES) + 1):
+                for piece in range(1, min(size, self.longest) + 1):
                     starts = (np.arange(len(which))[:, None] * size + np.arange(size - piece + 1)).reshape(-1)
                     found = self.store.find(range_hashes(raw, starts, starts + piece))
                     found[found < 0] = self.n
@@ -101,7 +98,8 @@ class Segmenter:
         return alpha
 
     def expected(self, words: list[bytes], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected number of each piece by language, for words seen counts[word, language] times."""
+        """Expected number of each piece by language, in MASS_UNITs, for words of up to DIRECT_BYTES seen
+        counts[word, language] times."""
         out = np.zeros((self.n + 1, p.shape[1]))
         for which, table in self.lattices(words):
             n, size = table[0].shape
@@ -114,26 +112,105 @@ class Segmenter:
             scale = counts[which] / alpha[size]
             for piece, at in enumerate(table, 1):
                 for i in range(at.shape[1]):
-                    mass = alpha[i] * p[at[:, i]] * beta[i + piece] * scale
+                    mass = np.rint(alpha[i] * p[at[:, i]] * beta[i + piece] * scale / MASS_UNIT)
                     for k in range(p.shape[1]):
                         out[:, k] += np.bincount(at[:, i], mass[:, k], self.n + 1)
         return out
 
     def log_probabilities(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), p.shape[1]), np.float32)
-        for which, table in self.lattices(words):
-            out[which] = np.log(self.forward(table, p)[-1])
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.flatnonzero(length <= DIRECT_BYTES)
+        for which, table in self.lattices([words[i] for i in short.tolist()]):
+            out[short[which]] = np.log(self.forward(table, p)[-1])
+        long = np.flatnonzero(length > DIRECT_BYTES)
+        long = long[np.argsort(-length[long], kind="stable")]
+        for k in range(0, len(long), LONG_WORDS):
+            which = long[k : k + LONG_WORDS]
+            out[which] = self._long([words[i] for i in which.tolist()], length[which], p)
+        return out
+
+    def _long(self, words: list[bytes], length: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log probabilities of words of falling length, position by position over all of them."""
+        back, n = self.longest, len(words)
+        out, log = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
+        window = np.zeros((n, back, p.shape[1]))  # sums at the last positions, the latest first
+        window[:, 0] = 1
+        for lo in range(0, int(length[0]), LONG_STEP):
+            span = min(LONG_STEP, int(length[0]) - lo)
+            live = int(np.searchsorted(-length, -lo, "left"))
+            width = back + span
+            raw = np.frombuffer(b"".join((b"\0" * max(back - lo, 0) + w[max(lo - back, 0) : lo + span]).ljust(width, b"\0") for w in words[:live]), np.uint8)
+            end = back + 1 + np.arange(span)
+            ends = np.broadcast_to((np.arange(live) * width)[:, None, None] + end[:, None], (live, span, back))
+            sizes = np.broadcast_to(np.arange(1, back + 1), (live, span, back))
+            inside = (sizes <= (lo + end - back)[:, None]) & ((lo + end - back)[:, None] <= length[:live, None, None])
+            pieces = np.full((live, span, back), self.n, np.int32)
+            found = self.store.find(range_hashes(raw, (ends - sizes)[inside], ends[inside]))
+            pieces[inside] = np.where(found < 0, self.n, found)
+            for t in range(span):
+                m = int(np.searchsorted(-length, -(lo + t), "left"))  # words with this position
+                now = np.einsum("wkl,wkl->wl", p[pieces[:m, t]], window[:m])
+                window[:m, 1:] = window[:m, :-1].copy()
+                window[:m, 0] = now
+                ended = length[:m] == lo + t + 1
+                if ended.any():
+                    out[:m][ended] = np.log(now[ended]) + log[:m][ended]
+                if t % 8 == 7:
+                    scale = window[:m].max(axis=1)
+                    window[:m] /= scale[:, None]
+                    log[:m] += np.log(scale)
         return out
 
 
-def fit(words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> np.ndarray:
-    """Piece probabilities by language (one column each), with a last row of zeros."""
-    known = pieces(vocabulary)
-    segmenter = Segmenter(known)
-    p = np.full((len(known) + 1, counts.shape[1]), 1 / len(known))
+_segmenters: dict[str, Segmenter] = {}
+
+
+def segmenter(vocabulary: str = VOCABULARY) -> Segmenter:
+    if vocabulary not in _segmenters:
+        _segmenters[vocabulary] = Segmenter(pieces(vocabulary))
+    return _segmenters[vocabulary]
+
+
+def fit(seen: DataFrame, langs: list[str], rounds: int = ROUNDS, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """Piece probabilities by language (one column each), with a last row of zeros, from (lang, word, n): each round sums
+    the expected counts of all words in the cluster."""
+    names = F.array(*[F.lit(x) for x in langs])
+    spark = seen.sparkSession
+    per = seen.groupBy("word").agg(F.collect_list(F.struct((F.array_position(names, F.col("lang")) - 1).alias("k"), "n")).alias("seen"))
+    words = checkpointed(per.select("word", F.col("seen.k").alias("k"), F.col("seen.n").alias("n")).repartition(max(8, spark.sparkContext.defaultParallelism), "word"))
+    n = segmenter(vocabulary).n
+    p = np.full((n + 1, len(langs)), 1 / n)
     p[-1] = 0
     for _ in range(rounds):
-        p = segmenter.expected(words, counts, p)
+        shared = spark.sparkContext.broadcast(p)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            mass = np.zeros(shared.value.shape)
+            held, counts = [], []
+
+            def add() -> None:
+                mass[:] += segmenter(vocabulary).expected(held, np.concatenate(counts), shared.value)
+                held.clear()
+                counts.clear()
+
+            for b in batches:
+                k, times = b.column(1), b.column(2)
+                held += b.column(0).to_pylist()
+                counts.append(np.zeros((len(b), mass.shape[1])))
+                row = np.repeat(np.arange(len(b)), pc.list_value_length(k).to_numpy(zero_copy_only=False))
+                np.add.at(counts[-1], (row, k.flatten().to_numpy()), times.flatten().to_numpy())
+                if len(held) >= HELD_WORDS:
+                    add()
+            if held:
+                add()
+            piece, lang = np.nonzero(mass)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(mass[piece, lang].astype(np.int64))], names=["piece", "lang", "mass"])
+
+        got = words.mapInArrow(run, "piece long, lang long, mass long").groupBy("piece", "lang").agg(F.sum("mass").alias("mass")).toArrow()
+        shared.unpersist()
+        p = np.zeros(p.shape)
+        p[got["piece"].to_numpy(), got["lang"].to_numpy()] = got["mass"].to_numpy() * MASS_UNIT
         p[:-1] += PRIOR_COUNT
         p[-1] = 0
         p /= p.sum(axis=0)
@@ -160,7 +237,9 @@ def training_words(docs: DataFrame, key: str, text: str, lang: str, most: int) -
         for b in batches:
             langs, counts = b.column(0).to_pylist(), {}
             for lo, _, raw, offsets in slices(pc.utf8_lower(b.column(1))):
-                starts, ends, row = letter_words(raw, offsets)
+                starts, ends, row = word_bounds(raw, offsets, NOT_LETTER)
+                short = ends - starts <= DIRECT_BYTES
+                starts, ends, row = starts[short], ends[short], row[short]
                 data = raw.tobytes()
                 for a, z, r in zip(starts.tolist(), ends.tolist(), row.tolist(), strict=True):
                     k = (langs[lo + r], data[a:z])
@@ -174,20 +253,54 @@ def training_words(docs: DataFrame, key: str, text: str, lang: str, most: int) -
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray | None]:
     """The languages, sorted, and their piece probabilities; None without labelled words."""
-    seen = training_words(docs, key, text, lang, most).toPandas()
-    if not len(seen):
-        return [], None
-    langs = sorted(seen["lang"].unique())
-    words = sorted({bytes(x) for x in seen["word"]})
-    at = {w: i for i, w in enumerate(words)}
-    counts = np.zeros((len(words), len(langs)))
-    np.add.at(counts, ([at[bytes(w)] for w in seen["word"]], [langs.index(x) for x in seen["lang"]]), seen["n"].to_numpy(float))
-    return langs, fit(words, counts)
+    seen = checkpointed(training_words(docs, key, text, lang, most))
+    langs = sorted(r.lang for r in seen.select("lang").distinct().collect())
+    return langs, fit(seen, langs) if langs else None
 
 
 _models: dict = {}
 
 
+class Predictor:
+    """Predicts languages of text columns; made in a task from (languages, piece probabilities)."""
+
+    def __init__(self, langs: list[str], p: np.ndarray | None):
+        self.langs = langs
+        self.table = None if p is None else WordTable(lambda words: segmenter().log_probabilities(words, p), ids=False)
+
+    def __call__(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """(language or und, score) of each text."""
+        n = len(texts)
+        best, score = np.full(n, -1), np.zeros(n)
+        if self.table is None:
+            return ["und"] * n, score
+        column = pc.utf8_lower(texts)
+        for lo, hi, raw, offsets in slices(column):
+            starts, ends, row = word_bounds(raw, offsets, NOT_LETTER)
+            if not len(starts):
+                continue
+            index = self.table.index(raw, starts, ends)
+            each = self.table.rows[index]
+            total = np.stack([np.bincount(row, each[:, k], hi - lo) for k in range(len(self.langs))], axis=1)
+            total -= total.max(axis=1, keepdims=True)
+            posterior = np.exp(total)
+            posterior /= posterior.sum(axis=1, keepdims=True)
+            some = np.bincount(row, minlength=hi - lo) > 0
+            plain = np.bincount(row, raw[starts] < 128, hi - lo) > 0
+            for i in np.flatnonzero(some & ~plain).tolist():  # bytes beyond ASCII need not be letters
+                some[i] = any(c.isalpha() for c in column[lo + i].as_py())
+            best[lo:hi] = np.where(some, posterior.argmax(axis=1), -1)
+            score[lo:hi] = np.where(some, posterior.max(axis=1), 0)
+        return [self.langs[k] if k >= 0 else "und" for k in best.tolist()], score
+
+
+def _predictor(token: str, shared) -> Predictor:
+    if token not in _models:
+        _models.clear()
+        _models[token] = Predictor(*shared.value)
+    return _models[token]
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score.
 
@@ -198,45 +311,31 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     Other columns are not read. An empty table gives an empty result.
     """
     bounded_batches(docs)
-    langs, p = learn(docs, key, text, lang, most)
-    shared = docs.sparkSession.sparkContext.broadcast((langs, p))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, key, text, lang, most))
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, p = shared.value
-        if p is not None and token not in _models:
-            segmenter = Segmenter(pieces())
-            _models.clear()
-            _models[token] = WordTable(lambda words: segmenter.log_probabilities(words, p), ids=False)
         for b in batches:
-            n = len(b)
-            best, score = np.full(n, -1), np.zeros(n)
-            if p is not None:
-                table, column = _models[token], pc.utf8_lower(b.column(2))
-                for lo, hi, raw, offsets in slices(column):
-                    starts, ends, row = letter_words(raw, offsets)
-                    if not len(starts):
-                        continue
-                    index = table.index(raw, starts, ends)
-                    each = table.rows[index]
-                    total = np.stack([np.bincount(row, each[:, k], hi - lo) for k in range(len(langs))], axis=1)
-                    total -= total.max(axis=1, keepdims=True)
-                    posterior = np.exp(total)
-                    posterior /= posterior.sum(axis=1, keepdims=True)
-                    some = np.bincount(row, minlength=hi - lo) > 0
-                    plain = np.bincount(row, raw[starts] < 128, hi - lo) > 0
-                    for i in np.flatnonzero(some & ~plain).tolist():  # bytes beyond ASCII need not be letters
-                        some[i] = any(c.isalpha() for c in column[lo + i].as_py())
-                    best[lo:hi] = np.where(some, posterior.argmax(axis=1), -1)
-                    score[lo:hi] = np.where(some, posterior.max(axis=1), 0)
-            names = [langs[k] if k >= 0 else "und" for k in best.tolist()]
+            names, score = _predictor(token, shared)(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", key)
 
 
-def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of docs whose language is identified with a posterior of `least` or more, with their columns."""
-    gone = identify(docs, key, text, lang).where(f"lang_pred = 'und' OR score < {least}").select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE, most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """The rows of docs whose language is identified with a posterior of `least` or more, with their columns.
+
+    Each row is judged by its own text, so rows that repeat a key, and rows with a null key, stay or go by themselves.
+    Extra columns pass through, whatever their names. An empty table gives an empty result; without labels none is left.
+    """
+    bounded_batches(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, key, text, lang, most))
+    token, place = uuid.uuid4().hex, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, score = _predictor(token, shared)(b.column(place))
+            yield b.filter(pa.array((score >= least) & np.array([x != "und" for x in names], bool)))
+
+    return docs.mapInArrow(run, docs.schema)
