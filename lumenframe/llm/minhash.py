@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.components import components
-from lumenframe.llm.session import bounded_batches, checkpointed
+from lumenframe.llm.session import bounded_batches, checkpointed, fresh, likely
 from lumenframe.llm.text import mix64, range_hashes, slices, stream64, word_bounds
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -92,9 +92,6 @@ def estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (agree - chance) / (1 - chance)
 
 
-#: Bits of the map that tells the second pass which documents may be candidates. A false hit costs time only.
-MAP_BITS = 1 << 24
-
 SKETCH = "doc_id long, n_shingles long, set_id binary, signature array<long>, bands array<long>"
 
 
@@ -127,30 +124,19 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[t]) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def _place(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(MAP_BITS))
-
-
 def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, short: bool) -> DataFrame:
     """Of the documents named in wanted (doc_id): doc_id, set_id, n_shingles and the sorted shingles, of 64 or (short)
     32 bits.
 
-    The wanted ids go to the tasks as a bit map of fixed size, so texts are read where they lie, not shuffled.
+    Texts are read where they lie, not shuffled: a bit map of the wanted ids leaves those out that can't be wanted, and
+    the join that decides has only what it lets through.
     """
-    cells = wanted.select(_place("doc_id").alias("p")).select(F.floor(F.col("p") / 64).cast("int").alias("w"), F.col("p").alias("p"))
-    cells = cells.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toPandas()
-    bits = np.zeros(MAP_BITS // 64, np.int64)
-    bits[cells["w"].to_numpy(int)] = cells["bits"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
     schema = "doc_id long, set_id binary, n_shingles long, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = b.column(1).to_numpy(zero_copy_only=False)
-            hit = np.flatnonzero((shared.value[p >> 6] >> (p & 63)) & 1)
-            few = b.take(pa.array(hit))
-            ids, out, held = few.column(0).to_pylist(), [], 0
-            for i, s in shingle_hashes(few.column(2), words):
+            ids, out, held = b.column(0).to_pylist(), [], 0
+            for i, s in shingle_hashes(b.column(1), words):
                 if len(s):
                     raw = s.tobytes()
                     out.append((ids[i], hashlib.blake2b(raw, digest_size=16).digest(), len(s), np.unique(s.astype(np.uint32)).tobytes() if short else raw))
@@ -161,8 +147,8 @@ def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words:
             if out:
                 yield _batch(out, schema)
 
-    read = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = read.select("doc_id", _place("doc_id").alias("p"), "text").mapInArrow(run, schema)
+    read = likely(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", wanted)
+    found = read.where("likely").select("doc_id", "text").mapInArrow(run, schema)
     return checkpointed(found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_id"]))
 
 
@@ -232,21 +218,12 @@ def _block_pairs(percent: int, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
-
-    Texts are linked when 100 * intersection >= percent * union of their shingle sets (A-Z lower-cased, words
-    between \\x20 and \\x09-\\x0D); component_id is the smallest doc_id reachable by links, and that
-    document is kept. Null, empty and blank texts have empty sets and are linked with nothing. Rows that
-    repeat a key stand for one document; they share its component and are all kept or none (a key
-    with two texts belongs to the component of each of its rows). Null keys are not grouped: such rows
-    have a null component_id and are kept. Other columns are not read. An empty table gives an empty result.
-    """
+def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """near_duplicates, and `several`: whether the key has more than one set of shingles."""
     bounded_batches(docs)
     sketch = checkpointed(sketches(docs, key, text, words))
     some = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     by_set = some.groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    members = checkpointed(some.select("doc_id", "set_id").join(by_set, "set_id").select("doc_id", "set_id", "rep"))
     reps = some.join(by_set.select("set_id", F.col("rep").alias("doc_id")), ["set_id", "doc_id"], "left_semi")
     signed = reps.select("doc_id", F.col("signature").alias("sig"))
 
@@ -261,34 +238,54 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     pairs = in_buckets.where("doc_id <> lead").select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
     a = signed.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
     b = signed.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    likely = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(_native_estimate("sig_a", "sig_b") >= percent / 100 - SLACK).select("a", "b")
-    links = confirmed(checkpointed(likely))
-    found = components(links)
+    near = pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(_native_estimate("sig_a", "sig_b") >= percent / 100 - SLACK).select("a", "b")
+    found = components(confirmed(checkpointed(near)))
 
     comp = in_buckets.where("n > 2").join(found.hint("merge"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id"))
     mixed = comp.groupBy("band", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("m")).where("low < high")
     open_ = comp.select("band", "key", "doc_id", "comp").join(mixed.select("band", "key", F.ceil(F.col("m") / BLOCK).alias("nb")), ["band", "key"])
     open_ = checkpointed(open_.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("nb"))))
-    short = second_pass(docs, open_.select("doc_id").distinct(), key, text, words, True)
-    traits = reps.select("doc_id", "set_id", F.col("signature").alias("sig"), "bands").dropDuplicates(["doc_id", "set_id"])
-    open_ = open_.distinct().join(short.join(traits, ["doc_id", "set_id"]).hint("merge"), "doc_id")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other")
-    payload = ["band", "key", "doc_id", "comp", "n_shingles", "sig", "bands", "shingles"]
-    dealt = open_.select(*payload, "block", other).select(*payload, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = dealt.groupBy("band", "key", "bi", "bj").applyInPandas(partial(_block_pairs, percent), "a long, b long").distinct()
-    more = checkpointed(more)
-    if not more.isEmpty():
-        found = components(links.unionByName(confirmed(more)))
-
-    classes = members.join(found.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left").select("doc_id", F.coalesce("component_id", "rep").alias("component_id"))
+    if not open_.isEmpty():
+        short = second_pass(docs, open_.select("doc_id").distinct(), key, text, words, True)
+        traits = reps.select("doc_id", "set_id", F.col("signature").alias("sig"), "bands").dropDuplicates(["doc_id", "set_id"])
+        open_ = open_.distinct().join(short.join(traits, ["doc_id", "set_id"]).hint("merge"), "doc_id")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("other")
+        payload = ["band", "key", "doc_id", "comp", "n_shingles", "sig", "bands", "shingles"]
+        dealt = open_.select(*payload, "block", other).select(*payload, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+        more = dealt.groupBy("band", "key", "bi", "bj").applyInPandas(partial(_block_pairs, percent), "a long, b long").distinct()
+        more = checkpointed(more)
+        if not more.isEmpty():
+            # What is joined already stays as links to the smallest member.
+            found = components(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(confirmed(more)))
+
+    members = some.select("doc_id", "set_id").join(by_set, "set_id")
+    classes = members.join(found.select(F.col("doc_id").alias("rep"), "component_id"), "rep", "left").select("doc_id", "set_id", F.coalesce("component_id", "rep").alias("component_id"))
     # A key with two texts joins the components of both.
-    each = classes.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("component_id").alias("other"))
+    each = classes.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), (F.min("set_id") != F.max("set_id")).alias("several"))
     return sketch.select("doc_id", "n_shingles").join(each, "doc_id", "left").select(
-        F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept")
+        F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id"))).alias("kept"), F.coalesce("several", F.lit(False)).alias("several")
     )
 
 
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+
+    Texts are linked when 100 * intersection >= percent * union of their shingle sets (A-Z lower-cased, words
+    between \\x20 and \\x09-\\x0D); component_id is the smallest doc_id reachable by links, and that
+    document is kept. Null, empty and blank texts have empty sets and are linked with nothing. Rows that
+    repeat a key stand for one document; they share its component and are all kept or none (a key
+    with two texts belongs to the component of each of its rows). Null keys are not grouped: such rows
+    have a null component_id and are kept. Other columns are not read. An empty table gives an empty result.
+    """
+    return _classes(docs, key, text, words, percent).drop("several")
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with their columns."""
-    gone = near_duplicates(docs, key, text, words, percent).where(~F.col("kept")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    """The rows of docs that near_duplicates keeps, with their columns.
+
+    Rows with a null key stay, and so do the rows of a key with texts of different words, as one decision can't fit
+    them all. Extra columns pass through, whatever their names. An empty table gives an empty result.
+    """
+    named = fresh(docs, "gone_key")
+    gone = _classes(docs, key, text, words, percent).where("NOT kept AND NOT several").select(F.col(key).alias(named)).distinct()
+    return docs.join(gone, docs[key].cast("long") == gone[named], "left_anti").select(*docs.columns)
