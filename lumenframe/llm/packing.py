@@ -1,10 +1,12 @@
 """Vector bin packing of examples into training sequences.
 
-An example is a vector (tokens, segments, loss-bearing tokens) and a sequence has a limit on each of them.
+An example is a vector (tokens, segments, loss-bearing tokens) and a sequence has a limit on each of them. Tokens
+of an example's prompt, its first line where it has several, and the id that ends it bear no loss.
 The open sequence takes, among the examples that fit, the one with the largest dot product with what is left
-of it (both as shares of the limits). Where none fits, an example is cut so that its head fills the tokens
-that are left. A sequence that can't be filled (its segments are used up, or the examples are) is
-cut into sequences whose lengths are powers of two, which need no padding.
+of it (both as shares of the limits). Where none fits, an example is cut so that its head fills what is left, within
+its prompt where no more loss-bearing tokens are allowed. An example longer than a sequence opens sequences of its own
+with as much of it as the limits allow. A sequence that can't be filled (its segments are used up, or the examples
+are) is cut into sequences whose lengths are powers of two, which need no padding.
 
 Packing runs inside each partition of the input over a pool of bounded size, without a shuffle: the result
 depends on the partition's rows alone, so a lost task gives the same rows again.
@@ -27,8 +29,10 @@ from lumenframe.llm.session import bounded_batches
 from lumenframe.llm.text import IS_SPACE, WordTable, slices, word_bounds
 
 SEQUENCE_TOKENS = 4096
-SEQUENCE_SEGMENTS = 256
-SEQUENCE_LOSS_TOKENS = 4096
+SEQUENCE_SEGMENTS = 64
+SEQUENCE_LOSS_TOKENS = 4032
+#: The byte that ends an example's prompt, whose tokens bear no loss: the first line is the prompt.
+PROMPT_END = 10
 #: Examples among which the heuristic chooses.
 POOL = 2048
 END_ID = 2
@@ -138,17 +142,25 @@ def added_tokens(vocabulary: str = VOCABULARY) -> re.Pattern[bytes]:
 class VectorPacker:
     """add() examples, then take sequences from full() while adding and from rest() at the end.
 
-    A sequence is a list of (name, start, length) pieces; start counts the tokens of the example before it.
+    A sequence is a list of (name, start, length) pieces; start counts the tokens of the example before it. Of an
+    example's tokens the first `prompt` and the last one bear no loss.
     """
 
     def __init__(self, tokens: int = SEQUENCE_TOKENS, segments: int = SEQUENCE_SEGMENTS, loss: int = SEQUENCE_LOSS_TOKENS, pool: int = POOL):
         self.limits, self.pool = np.array([tokens, segments, loss], float), pool
-        self.items = np.zeros((0, 2))  # tokens and loss-bearing tokens left, of those in the pool
+        self.items = np.zeros((0, 2))  # tokens left and prompt tokens left, of those in the pool
         self.names: list = []
         self.new: list[tuple] = []
+        self.opened: list[tuple] = []
 
-    def add(self, name, start: int, tokens: int, loss: float) -> None:
-        self.new.append((name, start, tokens, loss))
+    def open(self, name, start: int, prompt: int) -> int:
+        """Opens a sequence with the head of an example of more than its tokens; says how long that is."""
+        take = int(min(self.limits[0], prompt + self.limits[2]))
+        self.opened.append((name, start, take, max(take - prompt, 0)))
+        return take
+
+    def add(self, name, start: int, tokens: int, prompt: int) -> None:
+        self.new.append((name, start, tokens, prompt))
 
     def _merge(self) -> None:
         if self.new:
@@ -157,7 +169,7 @@ class VectorPacker:
             self.new = []
 
     def full(self) -> Iterator[list]:
-        if len(self.names) + len(self.new) >= 2 * self.pool:
+        if len(self.names) + len(self.new) >= 2 * self.pool or len(self.opened) >= self.pool:
             self._merge()
             yield from self._pack(self.pool)
 
@@ -166,39 +178,42 @@ class VectorPacker:
         yield from self._pack(0)
 
     def _pack(self, leave: int) -> Iterator[list]:
-        items, names = self.items, self.names
-        alive, n = items[:, 0] > 0, int((items[:, 0] > 0).sum())
+        tokens, prompt, names = self.items[:, 0].copy(), self.items[:, 1].copy(), self.names
+        loss = np.maximum(tokens - 1 - prompt, 0)
+        alive, n = tokens > 0, int((tokens > 0).sum())
         most, _, most_loss = self.limits
-        while n > leave:
+        while n > leave or self.opened:
             left, pieces = self.limits.copy(), []
+            if self.opened:
+                *piece, bearing = self.opened.pop()
+                pieces.append(tuple(piece))
+                left -= (piece[2], 1, bearing)
             while left[0] > 0 and left[1] > 0 and n:
                 share = left / self.limits
-                score = items @ np.array([share[0] / most, share[2] / most_loss])  # each is one segment, so that term is the same for all
-                score[~alive | (items[:, 0] > left[0]) | (items[:, 1] > left[2])] = -1
+                score = tokens * (share[0] / most) + loss * (share[2] / most_loss)  # each is one segment, so that term is the same for all
+                score[~alive | (tokens > left[0]) | (loss > left[2])] = -1
                 k = int(score.argmax())
-                if score[k] < 0:  # none fits: cut the one whose loss-bearing share is lowest, of those the shortest
-                    ratio = np.where(alive, items[:, 1] / np.maximum(items[:, 0], 1) * most * 2 + items[:, 0], np.inf)
-                    k = int(ratio.argmin())
-                    tokens, loss = items[k]
-                    take = min(left[0], tokens, np.floor(left[2] * tokens / loss) if loss else tokens)
-                    if take < 1:
-                        break
-                    name, start = names[k]
-                    pieces.append((name, start, int(take)))
-                    part = loss * take / tokens
-                    left -= (take, 1, part)
-                    items[k] -= (take, part)
-                    names[k] = (name, start + int(take))
-                    if items[k, 0] < 1:
-                        alive[k] = False
-                        n -= 1
-                else:
-                    pieces.append((*names[k], int(items[k, 0])))
-                    left -= (items[k, 0], 1, items[k, 1])
+                if score[k] >= 0:
+                    pieces.append((*names[k], int(tokens[k])))
+                    left -= (tokens[k], 1, loss[k])
                     alive[k] = False
                     n -= 1
+                    continue
+                if left[2] < 1:  # only a prompt can be cut: the longest
+                    k = int(np.where(alive, prompt, -1).argmax())
+                    if not prompt[k]:
+                        break
+                else:  # the one whose loss-bearing share is lowest, of those the shortest
+                    k = int(np.where(alive, loss / np.maximum(tokens, 1) * most * 2 + tokens, np.inf).argmin())
+                take = min(left[0], prompt[k] + left[2])
+                name, start = names[k]
+                pieces.append((name, start, int(take)))
+                left -= (take, 1, max(take - prompt[k], 0))
+                tokens[k], prompt[k] = tokens[k] - take, max(prompt[k] - take, 0)
+                loss[k] = max(tokens[k] - 1 - prompt[k], 0)
+                names[k] = (name, start + int(take))
             yield pieces
-        self.items, self.names = items[alive], [x for x, a in zip(names, alive, strict=True) if a]
+        self.items, self.names = np.stack([tokens, prompt], axis=1)[alive], [x for x, a in zip(names, alive, strict=True) if a]
 
 
 def unpadded(pieces: list, tokens: int) -> Iterator[list]:
@@ -222,6 +237,14 @@ def unpadded(pieces: list, tokens: int) -> Iterator[list]:
         yield out
 
 
+def prompt_tokens(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, row: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Tokens of each row before its first PROMPT_END (0 without one), from the starts, rows and tokens of its units."""
+    ends = np.append(np.flatnonzero(raw == PROMPT_END), np.iinfo(np.int64).max)
+    first = ends[np.searchsorted(ends, offsets[:-1])]
+    first[first >= offsets[1:]] = -1
+    return np.bincount(row, weights=length * (starts < first[row]), minlength=len(offsets) - 1).astype(np.int64) if len(row) else np.zeros(len(offsets) - 1, np.int64)
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -229,8 +252,8 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids,
     the piece's ids as little-endian unsigned 32-bit numbers.
 
-    A document is its tokenizer's ids and END_ID, so null, empty and blank texts are one id. All ids but END_ID
-    bear loss. Longer documents first give whole sequences, their rest is packed. Rows that repeat a
+    A document is its tokenizer's ids and END_ID, so null, empty and blank texts are one id. The ids of its first line,
+    if it has more lines, and END_ID bear no loss. Rows that repeat a
     key are packed each for itself. Other columns are not read. An empty table gives an empty result.
     """
 
@@ -268,19 +291,18 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
                 starts, ends, row = units(raw, offsets, literals)
                 flat, length = table.gather(table.index(raw, starts, ends)) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
                 per_row = np.bincount(row, weights=length, minlength=hi - lo).astype(np.int64) if len(row) else np.zeros(hi - lo, np.int64)
+                per_prompt = prompt_tokens(raw, offsets, starts, row, length)
                 at = 0
-                for i, n in zip(range(lo, hi), per_row.tolist(), strict=True):
+                for i, n, prompt in zip(range(lo, hi), per_row.tolist(), per_prompt.tolist(), strict=True):
                     ids = np.empty(n + 1, "<u4")
                     ids[:n] = flat[at : at + n]
                     ids[n] = END_ID
                     at += n
                     held[serial] = [doc_ids[i], ids, n + 1]
-                    whole = (n + 1) // tokens if loss >= tokens else 0
-                    for k in range(whole):
-                        place([(serial, k * tokens, tokens)])
-                    if (n + 1) % tokens or not whole:
-                        left = n + 1 - whole * tokens
-                        packer.add(serial, whole * tokens, left, left - 1)
+                    start = 0
+                    while n + 1 - start > tokens:
+                        start += packer.open(serial, start, max(prompt - start, 0))
+                    packer.add(serial, start, n + 1 - start, max(prompt - start, 0))
                     serial += 1
                 for pieces in packer.full():
                     place(pieces)
