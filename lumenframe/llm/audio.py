@@ -136,14 +136,14 @@ def resampled(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
     return np.floor(np.interp(np.arange(n) * (rate / to), np.arange(len(samples)), samples) + 0.5).astype(np.int16)
 
 
-def feature(samples: np.ndarray, rate: int) -> str:
-    """Mean level, peak and sign changes in a thousand samples, of the PCM and of the PCM at half the rate, as text."""
+def feature(*heard: tuple[int, np.ndarray]) -> str:
+    """Mean level, peak and sign changes in a thousand samples of each PCM, given as (rate, samples), as text."""
     out = []
-    for to in (rate, rate // 2):
+    for to, samples in heard:
         total, changes, peak, n = 0.0, 0, 0, 0
         # Spans share their last sample with the next one, so the pieces join without a seam.
         for k in range(0, max(len(samples) - 1, 1), SPAN):
-            part = resampled(samples[k : k + SPAN + 1], rate, to).astype(np.int64)
+            part = samples[k : k + SPAN + 1].astype(np.int64)
             total += float((part * part).sum())
             changes += int(np.count_nonzero((part[1:] < 0) != (part[:-1] < 0)))
             peak, n = max(peak, int(np.abs(part).max(initial=0))), n + len(part)
@@ -154,14 +154,14 @@ def feature(samples: np.ndarray, rate: int) -> str:
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, pcm binary"
 
 
-def store_as_audio(docs: DataFrame, key: str = "doc_id", text: str = "text", forms: tuple = (MULAW, ALAW, ADPCM), to: int = 2 * RATE, with_media: bool = True) -> DataFrame:
+def store_as_audio(docs: DataFrame, key: str = "doc_id", text: str = "text", forms: tuple = (MULAW, ALAW, ADPCM), to: int = 2 * RATE) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature and, if with_media, the WAV file and its PCM at the rate `to` (16-bit little-endian).
+    media_sha256, feature, the WAV file (media) and its PCM resampled to the rate `to` (16-bit little-endian).
 
     The payload is the text in UTF-8 (null as empty) and zero bytes up to a positive multiple of UNIT. It becomes the
     samples (for ADPCM the blocks) of a WAV file in one of `forms`, chosen by the payload's checksum; hashes and
-    features are of what is read back from that file. Equal texts give equal values; rows that repeat a key get a
-    row each. Other columns are not read. An empty table gives an empty result.
+    features are of what is read back from that file, features of its PCM at both rates. Equal texts give equal values;
+    rows that repeat a key get a row each. Other columns are not read. An empty table gives an empty result.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
@@ -178,10 +178,9 @@ def store_as_audio(docs: DataFrame, key: str = "doc_id", text: str = "text", for
                     files.append(wav(payload, forms[zlib.crc32(payload) % len(forms)]))
                 for k, (stored, (rate, samples)) in enumerate(zip(files, pcm(files), strict=True)):
                     back = read_wav(stored)[2]
-                    heard = (resampled(samples, rate, to).astype("<i2").tobytes(),) if with_media else (None,)
-                    rows.append((ids[lo + k], sizes[k], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples, rate), stored if with_media else None, *heard))
+                    heard = resampled(samples, rate, to)
+                    rows.append((ids[lo + k], sizes[k], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature((rate, samples), (to, heard)), stored, heard.astype("<i2").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     bounded_batches(docs)
-    made = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", key)
-    return made if with_media else made.drop("media", "pcm")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA).withColumnRenamed("doc_id", key)
