@@ -31,6 +31,8 @@ REPEAT_TOKENS = 8
 GROUP_PAGES = 256
 #: Up to so many hosts their page counts are broadcast; beyond, pages and counts are merge-joined.
 BROADCAST_HOSTS = 50_000
+#: Pages of a task, on average, where the session's shuffle partitions would hold more.
+TASK_PAGES = 2048
 #: Of hashed runs that could be covered so many leading bits are known when all runs are sent; a full map costs time, not runs.
 MAP_BITS = 21
 
@@ -365,14 +367,18 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     bounded_batches(pages)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     host = F.coalesce(F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")), F.lit(""))
-    counts = checkpointed(rows.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / GROUP_PAGES).alias("parts")))
-    counts = F.broadcast(counts) if counts.count() <= BROADCAST_HOSTS else counts.hint("merge")
+    counts = checkpointed(rows.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / GROUP_PAGES).alias("parts"), F.count("*").alias("n")))
+    hosts, n = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = counts.drop("n")
+    counts = F.broadcast(counts) if hosts <= BROADCAST_HOSTS else counts.hint("merge")
     made = rows.mapInArrow(cut, "page_id long, url string, zones array<string>, texts array<string>").withColumn("host", host)
     dealt = made.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")))
     dealt = dealt.select("page_id", "url", "zones", "texts", "parts", F.xxhash64("host").alias("salt"), F.xxhash64("host", "part").alias("gid"))
     several = dealt.where("parts > 1").mapInArrow(places, "place long").distinct().toArrow()
     shared = pages.sparkSession.sparkContext.broadcast(several["place"].to_numpy())
-    dealt = dealt.repartition("gid")  # else the parts of a host would stay in the task of the join by host
+    # By group, else the parts of a host would stay in the task of the join by host; tasks grow in number with the pages.
+    tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // TASK_PAGES)
+    dealt = dealt.repartition(tasks, "gid")
     sent = dealt.mapInArrow(send, "hash long, gid long, want boolean, offer boolean").repartition("hash")
     offers = sent.where("offer").groupBy("hash").agg(F.min("gid").alias("least"), F.max("gid").alias("most"))
     found = sent.where("want").select("hash", "gid").distinct().join(offers.hint("merge"), "hash").where("least <> gid OR most <> gid").select("gid", "hash")

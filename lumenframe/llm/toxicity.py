@@ -12,6 +12,7 @@ Neighbouring words are also looked up as one word, in case blanks were put into
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 from collections.abc import Iterator
@@ -72,6 +73,10 @@ class CharacterModel:
 
     def decode(self, token: str) -> str:
         """The most probable words behind a token, parted by blanks."""
+        if token.isalpha():
+            twice = [k for k in range(1, len(token)) if token[k] == token[k - 1]]
+            if len(twice) <= 2:  # few enough ways: each by itself
+                return min(self._path(token, drop) for n in range(len(twice) + 1) for drop in itertools.combinations(twice, n))[1]
         paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
         before = ""
         for c in token:
@@ -102,6 +107,18 @@ class CharacterModel:
         return min((cost + (self.cost(state, "$") if state != "^^" else 0), text) for state, (cost, text) in paths.items())[1].strip()
 
 
+    def _path(self, token: str, drop: tuple[int, ...]) -> tuple[float, str]:
+        """Cost and text of the path of a token of letters that drops those at some places."""
+        cost, state, out, costs, single = 0.0, "^^", "", self.costs, self.single
+        for k, c in enumerate(token):
+            if k in drop:
+                cost += REPEATED
+            else:
+                cost += costs.get(state + c) or single.get(c, UNSEEN)
+                state, out = state[1] + c, out + c
+        return cost + self.cost(state, "$"), out
+
+
 def suspicious(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of the (lower-cased) tokens, and of the runs of one-character tokens, that need decoding."""
     starts, ends, row = word_bounds(raw, offsets)
