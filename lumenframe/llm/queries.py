@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenframe.llm.audio import store_as_audio
 from lumenframe.llm.exact_dedup import exact_dedup
@@ -55,7 +56,12 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_as_audio(_table(spark, sf_dir, "documents"), with_media=False)
+    return digested(store_as_audio(_table(spark, sf_dir, "documents")))
+
+
+def digested(made: DataFrame) -> DataFrame:
+    """store_as_audio's rows with the PCM's size and hash in place of the file and the PCM."""
+    return made.withColumns({"pcm_bytes": F.octet_length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).drop("media", "pcm")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +96,16 @@ ORACLES: dict[str, str] = {
             / sum(weight) OVER (ORDER BY cap / weight, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
         t AS (SELECT skey, source_size, least(cap, (SELECT level FROM levels WHERE level <= ratio ORDER BY ratio, skey LIMIT 1) * weight) AS target FROM levels),
         need AS (SELECT *, least(floor(target + 0.5)::BIGINT, 2 * source_size) AS need FROM t),
-        placed AS (SELECT doc_id, skey, size, (sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start FROM s)
-        SELECT doc_id, size, source_size, target,
-            (CASE WHEN source_size = 0 THEN 0 ELSE size * (need // source_size) + greatest(0, least(start + size, need % source_size) - start) END)::BIGINT AS taken
-        FROM placed JOIN need USING (skey)""",
+        placed AS (SELECT doc_id, skey, size, (sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start FROM s),
+        quota AS (SELECT *, need // nullif(source_size, 0) AS passes, need % nullif(source_size, 0) AS rest, (source_size + 255) // 256 AS blocks FROM need),
+        slotted AS (SELECT *, passes * blocks + (rest + 255) // 256 AS slots FROM quota WHERE source_size > 0),
+        parts AS (SELECT *, sum(slots) OVER (ORDER BY skey COLLATE "binary" ROWS UNBOUNDED PRECEDING) AS hi FROM slotted),
+        points AS (SELECT i AS position, row_number() OVER (ORDER BY ((i + 1) * 0.6180339887498949::DOUBLE) % 1.0::DOUBLE, i) - 1 AS nth FROM range((SELECT coalesce(sum(slots), 0)::BIGINT FROM slotted)) r(i)),
+        ranked AS (SELECT position, skey, blocks, rest, slots, row_number() OVER (PARTITION BY skey ORDER BY position) - 1 AS rank FROM points JOIN parts ON nth >= hi - slots AND nth < hi),
+        turns AS (SELECT position, skey, rank % blocks AS block, CASE WHEN rest > 0 AND rank = slots - 1 THEN rest - (rest - 1) // 256 * 256 ELSE 256 END AS words FROM ranked),
+        hits AS (SELECT doc_id, skey, size, start, position, least(start + size, block * 256 + words) - greatest(start, block * 256) AS part
+            FROM placed JOIN turns USING (skey) WHERE size > 0 AND block * 256 < start + size AND block * 256 + words > start),
+        took AS (SELECT doc_id, skey, size, start, sum(part)::BIGINT AS taken, min(position)::BIGINT AS first_position, sum(position)::BIGINT AS position_sum FROM hits GROUP BY ALL)
+        SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_position, coalesce(position_sum, 0) AS position_sum
+        FROM placed JOIN need USING (skey) LEFT JOIN took USING (doc_id, skey, size, start)""",
 }

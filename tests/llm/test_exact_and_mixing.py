@@ -29,6 +29,16 @@ def test_exact_dedup_counts_and_columns(table):
     kept = drop_exact_copies(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 3, 7, 7, 8, 11, 12]
+    assert kept.where("doc_id IS NULL").count() == 0
+
+
+def test_dropping_copies_loses_no_text(table):
+    rows = [(0, "a"), (1, "a"), (1, "unique text"), (None, "nobody's"), (None, "nobody's"), (None, "a"), (2, None), (3, "")]
+    df = table(rows).selectExpr("*", "1 AS gone_key", "2 AS text_sha256", "3 AS keep_id", "4 AS kept")
+    kept = drop_exact_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == [("0", "a"), ("1", "unique text"), ("2", ""), ("None", "nobody's"), ("None", "nobody's")]
+    assert drop_exact_copies(df.where("false")).count() == 0
 
 
 def test_exact_dedup_empty(table):
@@ -81,9 +91,42 @@ def test_mix_against_brute_force(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
 
 
+def test_mix_over_many_chunks_against_sql(spark, tmp_path, monkeypatch):
+    """Short chunks and cells, so running counts cross many of them; the SQL has none."""
+    import duckdb
+
+    from lumenframe.llm import mixing
+    from lumenframe.llm.queries import ORACLES
+
+    monkeypatch.setattr(mixing, "CHUNK", 16)
+    rows = [(i, "w " * (i * 37 % 900), None if i % 11 == 0 else f"s{i % 4 * (i % 3)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = {r[0]: r for r in con.sql(ORACLES["op4_mixing"]).fetchall()}
+    got = {r[0]: tuple(r) for r in mix(df).collect()}
+    assert got == want
+    assert len({r[5] for r in got.values()}) > 100
+
+
+def test_mixed_judges_rows_by_key_text_and_source(table):
+    """Null and repeated keys are mixed as rows of their own; clashing names pass through."""
+    rows = [(None, f"no key {i} " + "w " * (20 + i)) for i in range(30)] + [(1, "one " * 40), (1, "two " * 90), (1, "two " * 90), (2, None), (3, " ")]
+    df = table(rows).selectExpr("*", "1 AS row_digest", "2 AS times_taken", "3 AS taken", "4 AS _nth_time_taken")
+    out = mixed(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert {r.text for r in got} <= {t for _, t in rows if t and t.strip()}
+    assert sum(r.doc_id is None for r in got) > 15
+    assert all(sum(r.text == t for r in got) <= 2 * sum(u == t for _, u in rows) for t in {r.text for r in got})
+    assert mixed(df.where("false")).count() == 0
+
+
 def test_schedule_is_even(spark):
     per = targets(spark.createDataFrame([("0a", 400_000), ("0b", 300_000), ("1", 50_000)], "skey string, size long"))
-    rows = schedule(per).where("position IS NOT NULL").orderBy("position").collect()
+    rows = schedule(per).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(len(rows)))
     want = {r.skey: r.slots for r in per.collect()}
     every = schedule(per).groupBy("skey").count().collect()
     assert {r.skey: r["count"] for r in every} == want

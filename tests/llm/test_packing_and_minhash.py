@@ -53,20 +53,28 @@ def test_added_tokens_in_texts_are_encoded_as_such(table):
         assert [x for _, ids in sorted(out[k]) for x in ids] == [*tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+def bearing(start, length, prompt, n):
+    """Loss-bearing tokens of a piece of an example of n tokens."""
+    return max(0, min(start + length, n - 1) - max(start, prompt))
+
+
 def test_packer_keeps_all_limits():
     rng = random.Random(2)
-    items = [(k, rng.randint(1, 900), 0.0) for k in range(500)]
-    items = [(k, n, float(rng.randint(0, n))) for k, n, _ in items]
+    items = [(k, n, rng.randint(0, n - 1)) for k, n in enumerate(rng.randint(1, 900) for _ in range(500))]
+    items += [(500 + k, 3000, rng.choice([0, 100, 2999])) for k in range(9)]
     packer, out = VectorPacker(1000, 6, 400, pool=50), []
-    for k, n, loss in items:
-        packer.add(k, 0, n, loss)
+    for k, n, prompt in items:
+        start = 0
+        while n - start > 1000:
+            start += packer.open(k, start, max(prompt - start, 0))
+        packer.add(k, start, n - start, max(prompt - start, 0))
         out += packer.full()
     out += packer.rest()
-    loss_of = {k: loss / n for k, n, loss in items}
-    for pieces in out:
-        assert sum(x[2] for x in pieces) <= 1000
-        assert len(pieces) <= 6
-        assert sum(x[2] * loss_of[x[0]] for x in pieces) <= 400 + 1e-6
+    of = {k: (prompt, n) for k, n, prompt in items}
+    losses = [sum(bearing(start, length, *of[k]) for k, start, length in pieces) for pieces in out]
+    assert max(sum(x[2] for x in pieces) for pieces in out) == 1000
+    assert max(map(len, out)) == 6
+    assert max(losses) == 400
     done = {}
     for pieces in out:
         for k, start, n in pieces:
@@ -79,6 +87,18 @@ def test_packer_keeps_all_limits():
         assert at == n
 
 
+def test_every_limit_binds_in_the_table(table):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join(["the"] * rng.randint(1, 60)) for _ in range(rng.randint(1, 4)))) for i in range(300)] + [(i, "a") for i in range(300, 380)] + [(400, "word " * 900), (401, "\n\n"), (402, "the " * 700 + "\nend")]
+    first = {i: len(t.split("\n")[0].split()) if "\n" in t else 0 for i, t in rows}
+    sequences = {}
+    for r in pack_texts(table(rows), tokens=256, segments=8, loss=200).collect():
+        sequences.setdefault(r.sequence_id, []).append((r.length, bearing(r.start, r.length, first[r.doc_id], r.doc_tokens)))
+    tokens, segments, loss = (max(x) for x in zip(*[(sum(n for n, _ in s), len(s), sum(b for _, b in s)) for s in sequences.values()], strict=True))
+    assert (tokens, segments, loss) == (256, 8, 200)
+    assert sum(sum(n for n, _ in s) == 256 for s in sequences.values()) > len(sequences) / 2
+
+
 def test_unpadded_lengths():
     parts = list(unpadded([("a", 0, 700), ("b", 3, 600)], 4096))
     assert [sum(x[2] for x in p) for p in parts] == [1024, 256, 16, 4]
@@ -137,6 +157,34 @@ def test_near_duplicates_odd_tables(table):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_buckets_of_many_blocks_against_brute_force(table, monkeypatch):
+    """Texts that share much, not enough, so buckets stay open; blocks of few members."""
+    from lumenframe.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "LEADERS", 1)
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(160):
+        own = random.Random(i // 3)
+        w = common[: own.randint(30, 60)] + [f"o{own.randint(0, 10**6)}" for _ in range(25)]
+        for _ in range(rng.choice([0, 1, 2])):
+            w[rng.randrange(len(w))] = f"e{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(table(rows), words=2).collect()}
+    assert got == brute(rows, 2, 80)
+
+
+def test_near_stage_keeps_what_one_key_can_not_decide(table):
+    """A key with two texts, one of them a copy of a smaller key's: neither row goes."""
+    text = "a b c d e f g"
+    df = table([(0, text), (1, text), (1, "words of its own that nobody else has here"), (2, text), (None, text), (3, None)]).selectExpr("*", "1 AS gone_key", "2 AS component_id", "3 AS several")
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(True, 0, text), (True, 1, text), (True, 1, "words of its own that nobody else has here"), (False, 0, text), (True, 3, "")])
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(4)
     both = rng.integers(0, 2**63, 3000).astype(np.uint64)

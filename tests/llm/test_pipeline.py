@@ -22,3 +22,23 @@ def test_pipeline_on_a_small_table(spark, tmp_path):
     assert {r.doc_id for r in fourth.collect()} <= {r.doc_id for r in third.collect()}
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in fourth.collect()}
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Repeated and null keys, null texts, clashing names and an empty table at every stage."""
+    text = "the small house by the river and the old bridge number"
+    rows = [(i, f"{text} {i} w{i * 3} x{i * 5} y{i * 7} z{i * 11}", "en", f"src{i % 3}" if i % 5 else None, 10) for i in range(40)]
+    rows += [(3, f"{text} of another kind with that key", "en", "src1", 10), (4, rows[4][1], "en", "src1", 10), (None, f"{text} of nobody", None, None, 1), (None, f"{text} of nobody", None, None, 1), (None, None, None, None, 0), (60, "", "en", "src0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS gone_key", "2 AS text_sha256", "3 AS kept", "4 AS times_taken", "5 AS row_digest", "6 AS score", "7 AS size", "8 AS start")
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+        out = stage(spark, docs, str(tmp_path)).cache()
+        if n + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns
+            assert {t for r in docs.collect() for t in [r.text] if t} >= {r.text for r in out.collect() if r.text}
+        if name in ("language_id", "exact_dedup", "near_dedup"):
+            got = [r.text for r in out.collect()]
+            assert {t for _, t, *_ in rows if t} == {t for t in got if t}
+        docs = out
+    assert docs.count() > 0

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lumenframe.llm import audio, html_extract, langid, lm_score, pii, toxicity
+from lumenframe.llm import audio, html_extract, langid, lm_score, pii, queries, toxicity
 from lumenframe.llm.text import HashStore, range_hashes, slices, word_bounds
 
 ODD = [(1, None), (2, ""), (3, "  \n"), (4, "1234 -- !!"), (5, "z" * 100_000), (6, "same text here"), (6, "same text here"), (None, "no key")]
@@ -122,6 +122,50 @@ def test_forward_sums_all_segmentations():
     got = np.exp(segmenter.log_probabilities(words, p))
     assert got == pytest.approx(np.array([total(w) for w in words]), rel=1e-5)
 
+    def log_total(w):
+        sums, log = [np.ones(2)], np.zeros(2)
+        for j in range(1, len(w) + 1):
+            sums.append(sum(sums[-k] * p[at[w[j - k : j]]] for k in range(1, min(j, 3) + 1) if w[j - k : j] in at))
+            log, sums = log + np.log(sums[-1]), [x / sums[-1] for x in sums[-4:]]
+        return log
+
+    long = [b"abcab" * 20, b"abc" * 300 + b"z", b"ab", b"x" * 33, b"c" * 32, b"bca" * 4000, bytes(rng.choice(list(b"abcz"), 257))]
+    assert segmenter.log_probabilities(long, p) == pytest.approx(np.array([log_total(w) for w in long]), rel=1e-5)
+
+
+def test_expected_counts_against_all_segmentations():
+    known = sorted({bytes([k]) for k in range(256)} | {b"ab", b"abc", b"bc"})
+    segmenter, rng, at = langid.Segmenter(known), np.random.default_rng(1), {k: i for i, k in enumerate(known)}
+    p = rng.random((len(known) + 1, 2))
+    p[-1] = 0
+
+    def cuts(w):
+        return [[]] if not w else [[w[:k], *rest] for k in range(1, len(w) + 1) if w[:k] in at for rest in cuts(w[k:])]
+
+    words, counts = [b"abcab", b"cab", b"zz"], np.array([[3.0, 0], [1, 2], [0, 1]])
+    want = np.zeros(p.shape)
+    for w, n in zip(words, counts, strict=True):
+        ways = cuts(w)
+        mass = np.array([np.prod([p[at[x]] for x in way], axis=0) for way in ways])
+        for way, m in zip(ways, mass / mass.sum(axis=0), strict=True):
+            for x in way:
+                want[at[x]] += n * m
+    assert segmenter.expected(words, counts, p) * langid.MASS_UNIT == pytest.approx(want, abs=1e-4)
+
+
+def test_language_ties_and_rows_kept(spark):
+    """Two languages with the same texts: the first by name; rows are judged by their own text."""
+    rows = [(i, "the very same words here", x) for i in range(40) for x in ("bb", "aa")] + [(7, "12 34", None), (None, "the same words", None), (None, None, None), (50, "the " * 20_000 + "x" * 5000, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "array(1, 2) AS score", "'x' AS lang_pred", "named_struct('a', 1) AS held_out")
+    assert {r.lang_pred for r in langid.identify(df).collect()} == {"aa", "und"}
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert len(got) == len(rows) - 2
+    assert sum(r.doc_id == 7 for r in got) == 2 and sum(r.doc_id is None for r in got) == 1
+    assert got[0].score == [1, 2] and got[0].held_out.a == 1
+    assert langid.keep_identified(df.where("false")).count() == 0
+
 
 def test_language_table(spark):
     en, fr = "the house of the small river and this other thing", "la maison de la petite rivière et cette autre chose"
@@ -169,6 +213,64 @@ def test_toxicity_table(spark):
     assert {r.score for r in toxicity.score_toxicity(df, labels.where("false")).collect()} == {0.0}
 
 
+def test_decoding_against_all_paths():
+    """The best of all ways to read a token, each costed by itself."""
+    words = ["idiot", "stupid", "letter", "house", "moron", "cocoon"] * 20
+    counts = {}
+    for w in words:
+        for g in (f"^^{w}$"[i : i + 3] for i in range(len(w) + 1)):
+            counts[g] = counts.get(g, 0) + 1
+    model, rng = toxicity.CharacterModel(counts), np.random.default_rng(4)
+
+    def ways(token):
+        if not token:
+            return [("", 0.0, "")]
+        out = []
+        for text, cost, before in ways(token[:-1]):
+            c = token[-1]
+            if c.isalpha():
+                options = [(c, 0.0)] + ([("", toxicity.REPEATED)] if c == before else [])
+            else:
+                options = [(x, toxicity.SUBSTITUTED) for x in toxicity.STANDS_FOR.get(c, "")]
+                options.append(("", toxicity.LOST if c in toxicity.STANDS_FOR and c != "*" else toxicity.NOISE))
+                options += [(" ", toxicity.PARTED)] * (not c.isdigit() and text != "" and text[-1] != " ")
+            out += [(text + x, cost + more, c) for x, more in options]
+        return out
+
+    def full(text, cost):
+        return cost + sum(model.cost(s[i : i + 2], s[i + 2]) for w in text.split(" ") if w for s in [f"^^{w}$"] for i in range(len(s) - 2))
+
+    tokens = ["letter", "moorron", "cocoon", "iidiiott", "aabbccdd", "1d10t", "m-o", "@$$", "idi.ot"]
+    tokens += ["".join(rng.choice(list("idot0@.-"), rng.integers(1, 6))) for _ in range(200)]
+    for token in tokens:
+        best = min(full(text, cost) for text, cost, _ in ways(token))
+        found = model.decode(token)
+        assert min(full(text, cost) for text, cost, _ in ways(token) if text.strip() == found) == pytest.approx(best), token
+
+
+def test_evidence_against_plain_shares(spark):
+    """Shares of toxic texts by word, counted plainly over the learning rows."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"wort{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)]
+    texts = [" ".join(rng.choice(vocabulary, 4)) for _ in range(400)]
+    toxic = [int(t.split()[0] in vocabulary[:3] or vocabulary[4] in t.split()) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    evidence = toxicity.learn(df, labels, "doc_id", "text", "toxic", 20_000)[1]
+    rows = [(set(t.split()), y) for i, (t, y) in enumerate(zip(texts, toxic, strict=True)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    base = sum(y for _, y in rows) / len(rows)
+    assert evidence.base == pytest.approx(base)
+    found = dict(zip(evidence.f.tolist(), zip(evidence.n1.tolist(), evidence.n0.tolist(), strict=True), strict=True))
+    for w in vocabulary:
+        n1, n0 = sum(y for s, y in rows if w in s), sum(1 - y for s, y in rows if w in s)
+        raw = w.encode()
+        h = int(toxicity.mix64(range_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)])))[0])
+        if n1 > 1 and (n1 + toxicity.PRIOR_TEXTS * base) / (n1 + n0 + toxicity.PRIOR_TEXTS) >= 0.25:
+            assert found[h] == (n1, n0)
+        else:
+            assert h not in found
+
+
 def test_gate_skips_no_token_that_decoding_changes():
     words = ["idiot", "stupid", "letter", "house", "moron", "größe", "straße", "ass"] * 20
     counts = {}
@@ -277,6 +379,43 @@ def test_repeats_across_groups_of_a_host(spark, monkeypatch):
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == want
 
 
+def test_repeats_of_a_large_host_against_brute_force(spark):
+    """More pages than a group has, one of them very long: what two pages share goes, wherever it stands."""
+    import random
+
+    rng = random.Random(3)
+    shared = [" ".join(rng.choices(["red", "blue", "green", "grey"], k=rng.randint(2, 14))) + f" end{k}" for k in range(40)]
+    pages = []
+    for i in range(700):
+        own = [" ".join(f"{rng.choice('abc')}{rng.randint(0, 10**9)}" for _ in range(rng.randint(1, 12))) for _ in range(2)]
+        pages.append([own[0], *([rng.choice(shared)] if rng.random() < 0.1 else []), own[1]])
+    pages[5].append(" ".join(f"long{k}" for k in range(60_000)))
+    rows = [(i, "http://big.org/x", "".join(f"<p>{t}</p>" for t in p)) for i, p in enumerate(pages)]
+    n = html_extract.REPEAT_TOKENS
+    seen = {}
+    for i, p in enumerate(pages):
+        for t in p:
+            w = t.split()
+            for run in [tuple(w[k : k + m]) for m in ({n} if len(w) >= n else {len(w)}) for k in range(len(w) - m + 1)]:
+                seen.setdefault(run, set()).add(i)
+    assert any(len(x) > 1 for x in seen.values())
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, p in enumerate(pages):
+        kept = []
+        for t in p:
+            w = t.split()
+            m = min(n, len(w))
+            # A whole block shorter than a run goes if another page has those words in a row; longer ones, by runs.
+            dead = set()
+            for k in range(len(w) - m + 1):
+                run = tuple(w[k : k + m])
+                if len(seen.get(run, ())) > 1 or (m < n and any(run == tuple(v[x : x + m]) for j in range(len(pages)) if j != i and len(pages[j]) for u in pages[j] if w[0] in u for v in [u.split()] for x in range(len(v) - m + 1))):
+                    dead |= set(range(k, k + m))
+            if len(dead) < len(w):
+                kept.append(" ".join(x for k, x in enumerate(w) if k not in dead))
+        assert got[i] == "\n\n".join(kept), i
+
+
 def test_open_blocks_beside_a_main_block(spark):
     menu = "<div>Home of the small site with many links and more of them</div>"
     rows = [(i, "http://one.org/x", f"{menu}<div class=content>small box {i} here</div><p>The article {i} stands outside the element of that class {i * 7}</p>") for i in range(4)]
@@ -323,6 +462,10 @@ def test_audio_round_trip(table):
         assert len(r.pcm) == 2 * (2 * len(audio.pcm([r.media])[0][1]))
         by.setdefault(r.payload_sha256, set()).add((r.media_sha256, r.feature))
     assert len(forms) == 3
+    small = {r.doc_id: r for r in queries.digested(audio.store_as_audio(table(rows))).collect()}
+    for r in got:
+        if r.doc_id is not None:
+            assert (small[r.doc_id].pcm_bytes, small[r.doc_id].pcm_sha256) == (len(r.pcm), hashlib.sha256(r.pcm).hexdigest()) or r.doc_id == 6
     assert all(len(x) == 1 for x in by.values())
     text = {i: t for i, t in rows}
     for r in got:
@@ -358,14 +501,18 @@ def test_losses_against_models_of_all_bigrams(spark, monkeypatch, frequent):
     words = [w for w in (model.id_to_piece(k)[1:] for k in range(300, size) if model.id_to_piece(k)[0] == "\u2581") if w.isascii() and w.isalpha()][:4000]
     texts = [" ".join(rng.choice(words, 1500)) for _ in range(40)] + ["the the the"]
     docs = [[size, *(p for w in t.split() for p in model.encode(w))] for t in texts]
-    counts = [collections.Counter(x for d in part for x in itertools.pairwise(d)) for part in (docs[::2], docs)]
-    losses = []
-    for c in counts:
-        pieces, contexts, total = collections.Counter(), collections.Counter(), sum(c.values())
-        for (a, b), n in c.items():
-            pieces[b] += n
-            contexts[a] += n
-        losses.append([np.mean([-np.log(0.7 * c[a, b] / max(contexts[a], 1) + 0.3 * (pieces[b] + 1) / (total + size + 1)) for a, b in itertools.pairwise(d)]) for d in docs])
+    counts = [collections.Counter(x for d in part for x in itertools.pairwise(d)) for part in (docs[::2], docs[1::2])]
+    matched, losses = min(c.total() for c in counts), []
+    for side, c in enumerate(counts):
+        scale, row = matched / c.total(), []
+        for k, d in enumerate(docs):
+            rest = c - collections.Counter(itertools.pairwise(d)) if k % 2 == side else c
+            pieces, contexts, total = collections.Counter(), collections.Counter(), scale * rest.total()
+            for (a, b), n in rest.items():
+                pieces[b] += scale * n
+                contexts[a] += scale * n
+            row.append(np.mean([-np.log((scale * rest[a, b] + 4 * (pieces[b] + 1) / (total + size + 1)) / (contexts[a] + 4)) for a, b in itertools.pairwise(d)]))
+        losses.append(row)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = lm_score.cross_entropy_difference(df, spark.range(0, len(texts), 2).toDF("doc_id")).orderBy("doc_id").collect()
     assert [r.n_tokens for r in got] == [len(d) - 1 for d in docs]
@@ -386,7 +533,7 @@ def test_bigram_counts_against_plain_counts(spark):
         want.update(p for w in (t or "").split() for p in model.encode(w))
     size = model.get_piece_size()
     rows = lm_score.count(df).collect()
-    got = {r.slot - lm_score.SLOTS: r.background for r in rows if lm_score.SLOTS <= r.slot < lm_score.SLOTS + size}
+    got = {r.slot - lm_score.SLOTS: r.target + r.background for r in rows if lm_score.SLOTS <= r.slot < lm_score.SLOTS + size}
     assert got == dict(want)
-    assert sum(r.background for r in rows if r.slot < lm_score.SLOTS) == sum(want.values())
+    assert sum(r.target + r.background for r in rows if r.slot < lm_score.SLOTS) == sum(want.values())
     assert sum(r.target for r in rows if r.slot < lm_score.SLOTS) == len([p for w in texts[1].split() for p in model.encode(w)])
