@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,17 +24,38 @@ def cosine(a: str, b: str) -> Column:
 
 
 def sign_codes(df: DataFrame, vector: str, bits: int, name: str = "code") -> DataFrame:
-    """Binary descriptors: the signs of the first `bits` (at most 63) components as one long."""
-    return df.withColumn(name, F.aggregate(F.slice(vector, 1, bits), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1) + F.when(x > 0, 1).otherwise(0)))
+    """Binary descriptors: the signs of all components, `bits` (at most 63) to a long."""
+    words = F.sequence(F.lit(0), F.floor((F.greatest(F.size(vector), F.lit(1)) - 1) / bits))
+    word = lambda k: F.aggregate(F.slice(vector, (k * bits + 1).cast("int"), bits), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1) + F.when(x > 0, 1).otherwise(0))
+    return df.withColumn(name, F.transform(words, word))
 
 
 def hamming(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    """Signs in which two codes of the same length differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def gram(df: DataFrame, vector: str) -> DataFrame:
+    """i, j, g: the upper triangle of A^T A (numbered from 1) over the vectors, all of one length, as rows of A. A task
+    adds up its batches, the sums of the tasks are added by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            column = b.column(0).drop_null()
+            if len(column):
+                a = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+                total = a.T @ a + (0 if total is None else total)
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i + 1), pa.array(j + 1), pa.array(total[i, j])], names=["i", "j", "g"])
+
+    return df.select(vector).mapInArrow(run, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def block_neighbours(queries: DataFrame, base: DataFrame, k: int, distance: Column) -> DataFrame:
-    """The k nearest base rows of each query (columns qid and bid, ties by bid): a stated query set, broadcast in
-    blocks by Spark, against all rows; partial top-k runs map-side by the window group limit."""
+    """The k nearest base rows of each query (columns qid and bid, ties by bid): a stated query set against all rows, by
+    one nested-loop join; partial top-k runs map-side by the window group limit."""
     order = Window.partitionBy("qid").orderBy("d", "bid")
     pairs = base.crossJoin(queries).where("qid <> bid").withColumn("d", distance)
     return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("qid", "bid", "d", "k")

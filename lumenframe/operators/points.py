@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.graph import cut_lineage
+
 
 def radius_join(a: DataFrame, b: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
     """Pairs within `radius` in the same set: an equi-join on grid cells as wide as the radius, then the distance.
@@ -26,10 +28,42 @@ def nearest_within(a: DataFrame, b: DataFrame, radius: float, by: str = "set_id"
     return pairs.groupBy(by, "id1").agg(F.min(F.struct("d2", "id2")).alias("m")).select(by, "id1", F.col("m.id2").alias("id2"), F.col("m.d2").alias("d2"))
 
 
-def closest_pair(a: DataFrame, b: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
-    """Per set the closest pair of different points among those within the radius."""
-    pairs = radius_join(a, b, radius, by).where("id1 < id2")
-    return pairs.groupBy(by).agg(F.min(F.struct("d2", "id1", "id2")).alias("m")).select(by, "m.id1", "m.id2", "m.d2")
+def _widening(rows: DataFrame, keys: list[str], radius: float, search) -> DataFrame:
+    """The results of search(rows left, radius) for all rows, with the radius doubled for those that have none yet.
+
+    What is found within a radius is settled, so each round handles fewer rows; every row must have a result at some radius.
+    """
+    found, todo = None, rows
+    while found is None or not todo.isEmpty():
+        got = cut_lineage(search(todo, radius))
+        found = got if found is None else found.unionByName(got)
+        todo = cut_lineage(todo.join(got.select(*keys), keys, "left_anti"))
+        radius *= 2
+    return found
+
+
+def _in_company(a: DataFrame, by: str) -> DataFrame:
+    """The points of sets that have more than one id."""
+    several = a.groupBy(by).agg(F.min("point_id").alias("_low"), F.max("point_id").alias("_high")).where("_low < _high").select(by)
+    return a.join(several, by, "left_semi")
+
+
+def nearest(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
+    """Every point's nearest other point in its set, however far; ties by id. The radius is where the search begins."""
+    rows = _in_company(a, by)
+    return _widening(rows.withColumn("id1", F.col("point_id")), [by, "id1"], radius, lambda left, r: nearest_within(left, rows, r, by))
+
+
+def closest_pair(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
+    """Every set's closest pair of different points, however far; ties by ids. The radius is where the search begins."""
+    rows = _in_company(a, by)
+
+    def search(left: DataFrame, r: float) -> DataFrame:
+        mine = rows.join(left, by, "left_semi")
+        pairs = radius_join(mine, mine, r, by).where("id1 < id2")
+        return pairs.groupBy(by).agg(F.min(F.struct("d2", "id1", "id2")).alias("m")).select(by, "m.id1", "m.id2", "m.d2")
+
+    return _widening(rows.select(by).distinct(), [by], radius, search)
 
 
 def mutual_matches(a: DataFrame, b: DataFrame, radius: float, by: str = "set_id") -> DataFrame:

@@ -201,16 +201,17 @@ def radius(spark, sf_dir):
     return points.radius_join(p, p, 5)
 
 
-@query("join_nearest_neighbor", f"WITH {PT}, r AS (SELECT *, row_number() OVER (PARTITION BY set_id, id1 ORDER BY d2, id2) AS k FROM ({_NEAR}) WHERE id1 <> id2) SELECT set_id, id1, id2, d2 FROM r WHERE k = 1")
+_PAIRS = "SELECT p.set_id, p.point_id AS id1, q.point_id AS id2, pow(p.x - q.x, 2) + pow(p.y - q.y, 2) AS d2 FROM pt p JOIN pt q ON p.set_id = q.set_id AND p.point_id <> q.point_id"
+
+
+@query("join_nearest_neighbor", f"WITH {PT}, r AS (SELECT *, row_number() OVER (PARTITION BY set_id, id1 ORDER BY d2, id2) AS k FROM ({_PAIRS})) SELECT set_id, id1, id2, d2 FROM r WHERE k = 1")
 def nearest(spark, sf_dir):
-    p = point_table(spark, sf_dir)
-    return points.nearest_within(p, p, 5)
+    return points.nearest(point_table(spark, sf_dir), 5)
 
 
-@query("join_closest_pair", f"WITH {PT}, r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY d2, id1, id2) AS k FROM ({_NEAR}) WHERE id1 < id2) SELECT set_id, id1, id2, d2 FROM r WHERE k = 1")
+@query("join_closest_pair", f"WITH {PT}, r AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY d2, id1, id2) AS k FROM ({_PAIRS}) WHERE id1 < id2) SELECT set_id, id1, id2, d2 FROM r WHERE k = 1")
 def closest(spark, sf_dir):
-    p = point_table(spark, sf_dir)
-    return points.closest_pair(p, p, 5)
+    return points.closest_pair(point_table(spark, sf_dir), 5)
 
 
 _SPLIT = "a AS (SELECT * FROM pt WHERE point_id % 2 = 0), b AS (SELECT * FROM pt WHERE point_id % 2 = 1), n AS (SELECT p.set_id, p.point_id AS id1, q.point_id AS id2, ((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))::DOUBLE AS d2 FROM a p JOIN b q ON p.set_id = q.set_id AND (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) <= 100), m AS (SELECT *, row_number() OVER (PARTITION BY set_id, id1 ORDER BY d2, id2) AS f, row_number() OVER (PARTITION BY set_id, id2 ORDER BY d2, id1) AS g FROM n)"

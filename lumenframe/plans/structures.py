@@ -64,7 +64,7 @@ def label_points(spark, sf_dir):
     return labelled(spark, sf_dir).groupBy("image_id", "label").agg(F.count("*").alias("n"), F.min(F.expr("y * 32 + x")).alias("first_idx"), F.max(F.expr("y * 32 + x")).alias("last_idx"))
 
 
-# Descriptors: every vector against the stated query set (ids below 20).
+# Descriptors: every vector against the stated query set (ids divisible by 100).
 _Q = "q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0), b AS (SELECT vec_id AS bid, embedding AS bv FROM embeddings)"
 _SSD = "list_sum(list_transform(list_zip(bv, qv), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))"
 
@@ -86,21 +86,18 @@ def knn_cosine(spark, sf_dir):
     return descriptors.block_neighbours(q, b, 10, -descriptors.cosine("bv", "qv")).selectExpr("qid", "bid", "round(-d, 5) AS c", "k")
 
 
-_CODE = "list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:60], lambda z: CASE WHEN z > 0 THEN 1::BIGINT ELSE 0::BIGINT END)), lambda s, z: s * 2 + z)"
-
-
-@query("hamming_matrix", f"WITH c AS (SELECT vec_id, {_CODE} AS code FROM embeddings), q AS (SELECT vec_id AS qid, code AS qc FROM c WHERE vec_id % 100 = 0) SELECT qid, vec_id AS bid, bit_count(xor(code, qc))::INTEGER AS d FROM c CROSS JOIN q WHERE qid <> vec_id")
+@query("hamming_matrix", f"WITH {_Q} SELECT qid, bid, list_sum(list_transform(list_zip(bv, qv), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END))::INTEGER AS d FROM q CROSS JOIN b WHERE qid <> bid")
 def hamming(spark, sf_dir):
     c = descriptors.sign_codes(table(spark, sf_dir, "embeddings"), "embedding", 60)
     q = c.where("vec_id % 100 = 0").selectExpr("vec_id AS qid", "code AS qc")
     return c.selectExpr("vec_id AS bid", "code").crossJoin(q).where("qid <> bid").select("qid", "bid", descriptors.hamming("code", "qc").alias("d"))
 
 
-@query("match_ratio_test", f"WITH {_Q}, d AS (SELECT qid, bid, {_SSD} AS d FROM q CROSS JOIN b WHERE qid <> bid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, bid) AS k FROM d), m AS (SELECT qid, max(bid) FILTER (WHERE k = 1) AS bid, max(d) FILTER (WHERE k = 1) AS d, max(d) FILTER (WHERE k = 2) AS s FROM r GROUP BY qid), g AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY d, qid) AS n FROM m WHERE d < 0.95::DOUBLE * s) SELECT qid, bid, round(d, 5) AS d FROM g WHERE n = 1")
+@query("match_ratio_test", f"WITH {_Q}, d AS (SELECT qid, bid, {_SSD} AS d FROM q CROSS JOIN b WHERE qid <> bid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, bid) AS k FROM d), m AS (SELECT qid, max(bid) FILTER (WHERE k = 1) AS bid, max(d) FILTER (WHERE k = 1) AS d, max(d) FILTER (WHERE k = 2) AS s FROM r GROUP BY qid), g AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY d, qid) AS n FROM m WHERE d < 0.985::DOUBLE * s) SELECT qid, bid, round(d, 5) AS d FROM g WHERE n = 1")
 def ratio(spark, sf_dir):
     q, b = _sides(spark, sf_dir)
     top2 = descriptors.block_neighbours(q, b, 2, descriptors.ssd("bv", "qv"))
-    return descriptors.greedy_one_to_one(descriptors.ratio_test(top2, 0.95)).select("qid", "bid", F.round("d", 5).alias("d"))
+    return descriptors.greedy_one_to_one(descriptors.ratio_test(top2, 0.985)).select("qid", "bid", F.round("d", 5).alias("d"))
 
 
 @query("box_iou", "WITH b AS (SELECT p_partkey AS id, p_size AS x0, p_partkey % 37 AS y0, p_size + 10 + p_partkey % 7 AS x1, p_partkey % 37 + 12 AS y1 FROM part), j AS (SELECT a.id, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, c.x0 AS bx0, c.y0 AS by0, c.x1 AS bx1, c.y1 AS by1 FROM b a JOIN b c ON c.id = a.id + 1), k AS (SELECT *, least(ax1, bx1) - greatest(ax0, bx0) + 1 AS w, least(ay1, by1) - greatest(ay0, by0) + 1 AS h FROM j) SELECT id, round(CASE WHEN w <= 0 OR h <= 0 THEN 0 ELSE w * h END / ((ax1 - ax0 + 1) * (ay1 - ay0 + 1) + (bx1 - bx0 + 1) * (by1 - by0 + 1) - CASE WHEN w <= 0 OR h <= 0 THEN 0 ELSE w * h END), 6) AS iou FROM k")
@@ -124,7 +121,7 @@ def _numbers(spark, sf_dir):
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_orderkey AS i", "o_totalprice AS p", "o_custkey - 50 AS s", "(o_orderkey % 17) - 8.0e0 AS ar", "(o_orderkey % 5) - 2.0e0 AS ai", "(o_custkey % 7) - 3.5e0 AS br", "(o_custkey % 3) - 1.0e0 AS bi")
 
 
-def _scalar(name: str, steps: Steps, columns: list[str], sql: str = _NUM, make=_numbers, places: int = 5) -> None:
+def scalar(name: str, steps: Steps, columns: list[str], sql: str = _NUM, make=_numbers, places: int = 5) -> None:
     shown = ", ".join(f"round({c}, {places}) + 0e0 AS {c}" for c in columns)  # no negative zeros
 
     @query(name, as_sql(sql, steps, f"id, {shown}"))
@@ -132,23 +129,23 @@ def _scalar(name: str, steps: Steps, columns: list[str], sql: str = _NUM, make=_
         return applied(make(spark, sf_dir), steps).selectExpr("id", *[f"round({c}, {places}) + 0e0 AS {c}" for c in columns])
 
 
-_scalar("math_powers_of_ten", [("e10", scalars.power_of_ten("p")), ("down", scalars.round_down_by_power("p")), ("up", scalars.round_up_by_power("p"))], ["e10", "down", "up"])
-_scalar("math_cube_root", [("root", scalars.real_cube_root("s"))], ["root"])
-_scalar("math_interpolation", [("mid", scalars.interpolated("i % 10", "0", "s", "10", "p"))], ["mid"])
-_scalar("math_polar_angle", [("deg", scalars.polar_degrees("ar", "br"))], ["deg"])
-_scalar("math_complex_product", scalars.complex_product(), ["re", "im"])
-_scalar("math_complex_quotient", scalars.complex_quotient(), ["re", "im"])
-_scalar("math_complex_functions", scalars.complex_functions(), [n for n, _ in scalars.complex_functions()], places=4)
-_scalar("math_halton", [("h2", scalars.radical_inverse("i", 2)), ("h3", scalars.radical_inverse("i", 3))], ["h2", "h3"])
-_scalar("ransac_trials", [("w", "0.3e0 + (i % 60) / 1e2"), ("trials7", scalars.ransac_trials("w", 7)), ("trials2", scalars.ransac_trials("w", 2))], ["trials7", "trials2"])
+scalar("math_powers_of_ten", [("e10", scalars.power_of_ten("p")), ("down", scalars.round_down_by_power("p")), ("up", scalars.round_up_by_power("p"))], ["e10", "down", "up"])
+scalar("math_cube_root", [("root", scalars.real_cube_root("s"))], ["root"])
+scalar("math_interpolation", [("mid", scalars.interpolated("i % 10", "0", "s", "10", "p"))], ["mid"])
+scalar("math_polar_angle", [("deg", scalars.polar_degrees("ar", "br"))], ["deg"])
+scalar("math_complex_product", scalars.complex_product(), ["re", "im"])
+scalar("math_complex_quotient", scalars.complex_quotient(), ["re", "im"])
+scalar("math_complex_functions", scalars.complex_functions(), [n for n, _ in scalars.complex_functions()], places=4)
+scalar("math_halton", [("h2", scalars.radical_inverse("i", 2)), ("h3", scalars.radical_inverse("i", 3))], ["h2", "h3"])
+scalar("ransac_trials", [("w", "0.3e0 + (i % 60) / 1e2"), ("trials7", scalars.ransac_trials("w", 7)), ("trials2", scalars.ransac_trials("w", 2))], ["trials7", "trials2"])
 _QUAT: Steps = [("pw", "cos(i * 1e-2)"), ("px", "sin(i * 1e-2)"), ("py", "0e0"), ("pz", "0e0"), ("qw", "cos(s * 1e-2)"), ("qx", "0e0"), ("qy", "sin(s * 1e-2)"), ("qz", "0e0")]
-_scalar("rotation_quaternion_product", [*_QUAT, *scalars.quaternion_product()], ["mw", "mx", "my", "mz"])
-_ANGLES: Steps = [("a", "(i % 300) * 1e-2 - 1.5e0"), ("b", "(i % 280) * 1e-2 - 1.4e0"), ("c", "(s % 300) * 1e-2")]
-_scalar("rotation_zyx_roundtrip", [*_ANGLES, *scalars.rotation_zyx(), *scalars.euler_from_zyx()], ["r00", "r12", "r21", "ea", "eb", "ec"])
+scalar("rotation_quaternion_product", [*_QUAT, *scalars.quaternion_product()], ["mw", "mx", "my", "mz"])
+ANGLES: Steps = [("a", "(i % 300) * 1e-2 - 1.5e0"), ("b", "(i % 280) * 1e-2 - 1.4e0"), ("c", "(s % 300) * 1e-2")]
+scalar("rotation_zyx_roundtrip", [*ANGLES, *scalars.rotation_zyx(), *scalars.euler_from_zyx()], ["r00", "r12", "r21", "ea", "eb", "ec"])
 _F: Steps = [(f"f{k // 3}{k % 3}", f"({v!r}e0)") for k, v in enumerate((0.0, -0.4, 1.2, 0.5, 0.0, -2.0, -1.0, 1.8, 0.3))]
-_scalar("epipolar_sampson", [*_F, ("x1", "ar"), ("y1", "ai"), ("x2", "br"), ("y2", "bi"), *scalars.sampson()], ["algebraic", "sampson", "epipolar_distance"])
-_CAMERA: Steps = [*_ANGLES, *scalars.rotation_zyx(), ("wx", "ar"), ("wy", "ai"), ("wz", "br + 20e0"), ("t0", "0.1e0"), ("t1", "0.2e0"), ("t2", "30e0"), ("k1", "0.01e0"), ("k2", "0.001e0"), ("fx", "500e0"), ("fy", "510e0"), ("ox", "320e0"), ("oy", "240e0")]
-_scalar("camera_projection", [*_CAMERA, *scalars.projection()], ["xn", "yn", "px_", "py_"], places=3)
+scalar("epipolar_sampson", [*_F, ("x1", "ar"), ("y1", "ai"), ("x2", "br"), ("y2", "bi"), *scalars.sampson()], ["algebraic", "sampson", "epipolar_distance"])
+_CAMERA: Steps = [*ANGLES, *scalars.rotation_zyx(), ("wx", "ar"), ("wy", "ai"), ("wz", "br + 20e0"), ("t0", "0.1e0"), ("t1", "0.2e0"), ("t2", "30e0"), ("k1", "0.01e0"), ("k2", "0.001e0"), ("fx", "500e0"), ("fy", "510e0"), ("ox", "320e0"), ("oy", "240e0")]
+scalar("camera_projection", [*_CAMERA, *scalars.projection()], ["xn", "yn", "px_", "py_"], places=3)
 
 
 @query("math_combinations", "SELECT n, k, CAST(round(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1))) AS BIGINT) AS choose FROM (SELECT DISTINCT p_size % 21 AS n, p_size % 7 AS k FROM part) WHERE k <= n")
@@ -163,9 +160,11 @@ def bits(spark, sf_dir):
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "bit_count(o_orderkey) AS ones", "CASE WHEN o_orderkey = 0 THEN 0 ELSE length(bin(o_orderkey)) END AS width", "o_orderkey ^ o_custkey AS x")
 
 
-@query("sum_xor", "SELECT label, sum(xor(CAST(trunc(embedding[1] * 100) AS INTEGER), CAST(trunc(embedding[2] * 100) AS INTEGER)))::BIGINT AS s FROM embeddings GROUP BY label")
+@query("sum_xor", "SELECT label, sum(list_sum(list_transform(range(1, len(embedding)), lambda j: xor(CAST(trunc(embedding[j] * 100) AS INTEGER), CAST(trunc(embedding[j + 1] * 100) AS INTEGER)))))::BIGINT AS s FROM embeddings GROUP BY label")
 def sum_xor(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.expr("sum(CAST(embedding[0] * 100 AS INT) ^ CAST(embedding[1] * 100 AS INT))").cast("long").alias("s"))
+    """Of each two neighbouring components."""
+    each = F.expr("aggregate(sequence(1, size(embedding) - 1), 0L, (s, j) -> s + (CAST(embedding[j - 1] * 100 AS INT) ^ CAST(embedding[j] * 100 AS INT)))")
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.sum(each).alias("s"))
 
 
 @query("vector_normalized_by_label", "WITH e AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT label, j, count(*) AS n, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS sd FROM e GROUP BY label, j")
@@ -175,12 +174,9 @@ def vector_stats(spark, sf_dir):
     return e.groupBy("label", (F.col("j") + 1).alias("j")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("v").cast("double")), 5).alias("mean"), F.round(F.stddev_samp(F.col("v").cast("double")), 5).alias("sd"))
 
 
-@query("matrix_gram", "WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT p.j AS i, q.j AS j, round(sum(p.v * q.v), 3) AS g FROM e p JOIN e q ON p.vec_id = q.vec_id AND q.j BETWEEN p.j AND 8 WHERE p.j <= 8 GROUP BY ALL")
+@query("matrix_gram", "WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT p.j::BIGINT AS i, q.j::BIGINT AS j, round(sum(p.v * q.v), 3) AS g FROM e p JOIN e q ON p.vec_id = q.vec_id AND q.j >= p.j GROUP BY ALL")
 def gram(spark, sf_dir):
-    """A^T A of the first 8 components (upper triangle): products within a row, then mergeable sums."""
-    e = table(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 8).alias("a"))
-    cells = e.select(F.expr("flatten(transform(sequence(1, 8), i -> transform(sequence(i, 8), j -> struct(i AS i, j AS j, CAST(a[i - 1] AS DOUBLE) * a[j - 1] AS p))))").alias("c"))
-    return cells.select(F.explode("c").alias("c")).groupBy("c.i", "c.j").agg(F.round(F.sum("c.p"), 3).alias("g"))
+    return descriptors.gram(table(spark, sf_dir, "embeddings"), "embedding").withColumn("g", F.round("g", 3))
 
 
 @query("keys_unordered_pairs", "SELECT least(l_partkey, l_suppkey) AS a, greatest(l_partkey, l_suppkey) AS b, count(*) AS n FROM lineitem GROUP BY ALL")
