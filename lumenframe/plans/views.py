@@ -64,13 +64,13 @@ def _view(name: str, f: Callable[[pd.DataFrame], dict[str, float]], known: dict[
     @query(name, f"SELECT set_id, {shown} FROM ({_SETS})")
     def run(spark, sf_dir):
         def each(pdf: pd.DataFrame) -> pd.DataFrame:
-            if len(pdf) < LEAST:
-                return pd.DataFrame({c: [] for c in ("set_id", *known)})
             got = f(pdf.sort_values("point_id"))
             return pd.DataFrame({"set_id": [pdf["set_id"].iloc[0]], **{k: [float(got[k])] for k in known}})
 
         schema = "set_id string, " + ", ".join(f"{k} double" for k in known)
-        return point_table(spark, sf_dir).groupBy("set_id").applyInPandas(each, schema).selectExpr("set_id", *[f"round({k}, {places}) + 0e0 AS {k}" for k in known])
+        p = point_table(spark, sf_dir)
+        large = p.groupBy("set_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("set_id")
+        return p.join(large, "set_id", "left_semi").groupBy("set_id").applyInPandas(each, schema).selectExpr("set_id", *[f"round({k}, {places}) + 0e0 AS {k}" for k in known])
 
 
 def _entries(letter: str, m: np.ndarray) -> dict[str, float]:
