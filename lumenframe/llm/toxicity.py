@@ -6,8 +6,9 @@ repeat may be dropped. Viterbi decoding under a trigram model of characters pick
 token whose lattice has one path only, but for other signs before and after its letters, is left as it is: decoding
 would give the same words.
 
-Words and word beginnings of the restored text are scored by how often labelled texts that have them are toxic.
-Neighbouring words are also looked up as one word, in case blanks were put into it.
+Words and word beginnings of the restored text are scored by how often labelled texts that have them are toxic, and
+those that have them again and again, more often the longer the text is. Neighbouring words are also looked up as one
+word, in case blanks were put into it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ THRESHOLD = 0.7
 PRIOR_TEXTS = 3
 #: Lengths in bytes of the word beginnings that are features, beside whole words (0).
 BEGINNINGS = (0, 4, 5, 6)
+#: A feature that occurs at least twice has level 1, and a level more for each of these numbers of words of the text
+#: of which it takes up one at least.
+WORDS_EACH = (512, 128, 32)
 
 # What a sign may stand for.
 STANDS_FOR = {
@@ -186,15 +190,22 @@ def restored(raw: np.ndarray, offsets: np.ndarray, model: CharacterModel, cache:
     return np.frombuffer(b"".join(parts), np.uint8), offsets + gained[np.searchsorted(a, offsets, "left")]
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, 64-bit feature) of the words and word beginnings, as often as they occur; and of neighbouring words taken
-    as one, where that has no more than `longest` bytes."""
+def levels(times: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The level of features that occur so often in texts of so many words; 0 for those that occur once."""
+    return np.where(times > 1, 1 + sum((times * each >= words).astype(np.int64) for each in WORDS_EACH), 0)
+
+
+def features(raw: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
+    """(row, 64-bit feature) of the words and word beginnings, as often as they occur; after them of neighbouring words
+    taken as one, where that has no more than `longest` bytes; where those begin; and the number of words of each row."""
     starts, ends, row = word_bounds(raw, offsets, NOT_LETTER)
+    words = np.bincount(row, minlength=len(offsets) - 1)
     rows, out = [], []
     for k in BEGINNINGS:
         long = ends - starts > k if k else np.ones(len(starts), bool)
         out.append(mix64(range_hashes(raw, starts[long], np.minimum(starts[long] + k, ends[long]) if k else ends[long]) + np.uint64(k)))
         rows.append(row[long])
+    own = sum(map(len, out))
     close = raw[~NOT_LETTER[raw]]
     length = ends - starts
     begin = np.cumsum(length) - length
@@ -208,7 +219,7 @@ def features(raw: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np
             break
         out.append(mix64(range_hashes(close, begin[at], begin[to] + length[to])))
         rows.append(row[at])
-    return np.concatenate(rows), np.concatenate(out)
+    return np.concatenate(rows), np.concatenate(out), own, words
 
 
 def _character_counts(docs: DataFrame) -> dict[str, int]:
@@ -253,15 +264,30 @@ def _character_counts(docs: DataFrame) -> dict[str, int]:
 
 class Evidence:
     """Features that speak for toxicity: sorted hashes, toxic (n1) and other (n0) texts that have them, the base rate,
-    and the most bytes of a word among them."""
+    and the most bytes of a word among them. `again`: the same of texts that have a feature at a level or a higher one, as
+    sorted hashes and two tables with a column a level (n0 infinite where a level doesn't speak for toxicity)."""
 
-    def __init__(self, f: np.ndarray, n1: np.ndarray, n0: np.ndarray, base: float, longest: int = 0):
-        self.f, self.n1, self.n0, self.base, self.longest = f, n1, n0, base, longest
+    def __init__(self, f: np.ndarray, n1: np.ndarray, n0: np.ndarray, base: float, longest: int = 0, again: tuple[np.ndarray, ...] | None = None):
+        self.f, self.n1, self.n0, self.base, self.longest, self.again = f, n1, n0, base, longest, again
         self.cut = THRESHOLD
 
-    def raw(self, n: int, row: np.ndarray, f: np.ndarray, toxic: np.ndarray | None = None) -> np.ndarray:
-        """The largest share of toxic texts over the features of each of n rows; of learning rows, without the row itself."""
+    def raw(self, n: int, row: np.ndarray, f: np.ndarray, own: int, words: np.ndarray, toxic: np.ndarray | None = None) -> np.ndarray:
+        """The largest share of toxic texts over the features of each of n rows, as features() gives them; of learning
+        rows, without the row itself."""
         out = np.full(n, self.base / 2)
+        if self.again and own:
+            hashes, n1, n0 = self.again
+            at = np.minimum(np.searchsorted(hashes, f[:own]), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[at] == f[:own])
+            pair, times = np.unique(row[hit] * len(hashes) + at[hit], return_counts=True)
+            of, at = pair // len(hashes), pair % len(hashes)
+            level = levels(times, words[of])
+            for k in range(1, len(WORDS_EACH) + 2):
+                of, at, level = of[level >= k], at[level >= k], level[level >= k]
+                a, b = n1[at, k - 1], n0[at, k - 1]
+                if toxic is not None:
+                    a, b = np.maximum(a - toxic[of], 0), np.maximum(b - ~toxic[of], 0)
+                np.maximum.at(out, of, (a + PRIOR_TEXTS * self.base) / (a + b + PRIOR_TEXTS))
         if len(self.f) and len(f):
             at = np.minimum(np.searchsorted(self.f, f), len(self.f) - 1)
             hit = self.f[at] == f
@@ -298,39 +324,52 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
         cache: dict[bytes, bytes] = {}
         for b in batches:
             toxic = b.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            found: list[list[np.ndarray]] = [[], []]
+            found: list[list[list[np.ndarray]]] = [[[], []] for _ in range(len(WORDS_EACH) + 2)]
             words: list[tuple[np.ndarray, np.ndarray]] = []
             for lo, hi, raw, offsets in slices(pc.utf8_lower(b.column(1))):
                 raw, offsets = restored(raw, offsets, model, cache)
                 starts, ends, _ = word_bounds(raw, offsets, NOT_LETTER)
                 words.append((mix64(range_hashes(raw, starts, ends)), ends - starts))
-                row, f = features(raw, offsets)
+                row, f, _, n_words = features(raw, offsets)
                 order = np.lexsort((f, row))
                 row, f = row[order], f[order]
                 once = np.ones(len(f), bool)
                 once[1:] = (row[1:] != row[:-1]) | (f[1:] != f[:-1])
+                times = np.diff(np.append(np.flatnonzero(once), len(f)))
                 row, f = row[once], f[once]
+                level = levels(times, n_words[row])
                 for k in (0, 1):
-                    found[k].append(f[toxic[lo:hi][row] == k])
-            both = [np.unique(np.concatenate(x), return_counts=True) for x in found]
+                    mine = toxic[lo:hi][row] == k
+                    for at_least in range(len(WORDS_EACH) + 2):
+                        found[at_least][k].append(f[mine & (level >= at_least)])
             word, at = np.unique(np.concatenate([x for x, _ in words]), return_index=True)
             length = np.concatenate([x for _, x in words])[at]
-            for k, (f, n) in enumerate(both):
-                if len(f):
-                    at = np.minimum(np.searchsorted(word, f), len(word) - 1)
-                    size = np.where(word[at] == f, length[at], 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(n * k), pa.array(n * (1 - k)), pa.array(size)], names=["f", "n1", "n0", "size"])
+            for at_least, both in enumerate(found):
+                for k in (0, 1):
+                    f, n = np.unique(np.concatenate(both[k]), return_counts=True)
+                    if len(f):
+                        at = np.minimum(np.searchsorted(word, f), len(word) - 1)
+                        size = np.where(word[at] == f, length[at], 0)
+                        columns = [f.view(np.int64), np.full(len(f), at_least), n * k, n * (1 - k), size]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["f", "level", "n1", "n0", "size"])
 
     sample = rows.join(F.broadcast(chosen), "id")
     totals = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("n1"), F.count("*").alias("n")).first()
     if not totals["n1"]:
         return model, Evidence(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), 0.0)
     base = totals["n1"] / totals["n"]
-    per = sample.select("toxic", "text").mapInArrow(run, "f long, n1 long, n0 long, size long").groupBy("f").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("size").alias("size"))
+    per = sample.select("toxic", "text").mapInArrow(run, "f long, level long, n1 long, n0 long, size long").groupBy("f", "level").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"), F.max("size").alias("size"))
     per = per.where(f"n1 > 1 AND (n1 + {PRIOR_TEXTS * base}) / (n1 + n0 + {PRIOR_TEXTS}) >= 0.25").toPandas()
-    f = per["f"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(f)
-    evidence = Evidence(f[order], per["n1"].to_numpy()[order], per["n0"].to_numpy()[order], base, int(per["size"].max()) if len(per) else 0)
+    f, level = per["f"].to_numpy(np.int64).view(np.uint64), per["level"].to_numpy(np.int64)
+    n1, n0 = per["n1"].to_numpy(), per["n0"].to_numpy()
+    order = np.argsort(f, kind="stable")
+    plain, more = order[level[order] == 0], order[level[order] > 0]
+    again = None
+    if len(more):
+        hashes, at = np.unique(f[more], return_inverse=True)
+        again = hashes, np.zeros((len(hashes), len(WORDS_EACH) + 1)), np.full((len(hashes), len(WORDS_EACH) + 1), np.inf)
+        again[1][at, level[more] - 1], again[2][at, level[more] - 1] = n1[more], n0[more]
+    evidence = Evidence(f[plain], n1[plain], n0[plain], base, int(per["size"].max()) if len(per) else 0, again)
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +377,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
         for b in batches:
             toxic, raws = b.column(0).to_numpy(zero_copy_only=False).astype(bool), np.zeros(len(b))
             for lo, hi, raw, offsets in slices(pc.utf8_lower(b.column(1))):
-                raws[lo:hi] = shared.value.raw(hi - lo, *features(*restored(raw, offsets, model, cache), shared.value.longest), toxic[lo:hi])
+                raws[lo:hi] = shared.value.raw(hi - lo, *features(*restored(raw, offsets, model, cache), shared.value.longest), toxic=toxic[lo:hi])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raws)], names=["toxic", "raw"])
 
     judged = sample.select("toxic", "text").mapInArrow(judge, "toxic int, raw double").toPandas()
@@ -354,8 +393,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
     Labels are learned from rows whose crc32(key as text) mod 3 is not 1, at most `most` of them; a key
     labelled twice counts once, as toxic if it ever is. A score reads the text alone: the largest share, over the
-    features of the restored text, neighbouring words taken as one among them, of labelled texts with that feature that are toxic, scaled so that the cut between
-    the learning rows' classes is at THRESHOLD. Null and empty texts, and texts without such a feature, have half
+    features of the restored text, neighbouring words taken as one among them, of labelled texts that have that feature
+    (or have it as often, see levels()) that are toxic, scaled so that the cut between the learning rows' classes is at
+    THRESHOLD. Null and empty texts, and texts without such a feature, have half
     the base rate as their share; without toxic labels all score 0. A null key counts as not held out. Other
     columns are not read. An empty table gives an empty result.
     """

@@ -271,6 +271,32 @@ def test_evidence_against_plain_shares(spark):
             assert h not in found
 
 
+def test_evidence_of_repeats_against_plain_counts(spark):
+    """Texts with a word beginning twice are toxic, those with it once aren't; each level counted plainly."""
+    rng = np.random.default_rng(12)
+    ends = [chr(97 + i) + chr(97 + j) for i in range(8) for j in range(8)]
+    rows = []
+    for i in range(500):
+        words = [f"haus{rng.choice(ends)}" for _ in range(int(rng.choice([20, 90, 300, 900])))]
+        times = int(rng.choice([0, 1, 2, 3, 8]))
+        for at in rng.choice(len(words), times, replace=False):
+            words[at] = f"garst{rng.choice(ends)}"
+        rows.append((i, " ".join(words), int(times > 1), times, len(words)))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    evidence = toxicity.learn(df, labels, "doc_id", "text", "toxic", 20_000)[1]
+    hashes, n1, n0 = evidence.again
+    raw = b"garst"
+    h = toxicity.mix64(range_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([5])) + np.uint64(5))[0]
+    k = int(np.flatnonzero(hashes == h)[0])
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    for level in range(1, len(toxicity.WORDS_EACH) + 2):
+        have = [y for _, _, y, times, words in learned if times > 1 and 1 + sum(times * each >= words for each in toxicity.WORDS_EACH) >= level]
+        assert (n1[k, level - 1], n0[k, level - 1]) == (sum(have), len(have) - sum(have))
+    got = {r.doc_id: (r.predicted, r.held_out) for r in toxicity.score_toxicity(df, labels).collect()}
+    assert all(got[i][0] == y for i, _, y, _, _ in rows if got[i][1])
+
+
 def test_gate_skips_no_token_that_decoding_changes():
     words = ["idiot", "stupid", "letter", "house", "moron", "größe", "straße", "ass"] * 20
     counts = {}
