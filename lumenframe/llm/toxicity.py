@@ -81,36 +81,42 @@ class CharacterModel:
             twice = [k for k in range(1, len(token)) if token[k] == token[k - 1]]
             if len(twice) <= 2:  # few enough ways: each by itself
                 return min(self._path(token, drop) for n in range(len(twice) + 1) for drop in itertools.combinations(twice, n))[1]
-        paths: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-        before = ""
-        for c in token:
-            options: list[tuple[str, float]] = []
+        costs, single = self.costs, self.single
+        head, total, before = "^^", 0.0, ""
+        n = 0
+        for c in token:  # letters at the beginning have one way only
+            if not c.isalpha() or c == before:
+                break
+            total += costs.get(head + c) or single.get(c, UNSEEN)
+            head, before, n = head[1] + c, c, n + 1
+        paths: dict[str, tuple[float, str]] = {head: (total, token[:n])}
+        for c in token[n:]:
+            now: dict[str, tuple[float, str]] = {}
             if c.isalpha():
-                options.append((c, 0.0))
-                if c == before:
-                    options.append(("", REPEATED))
+                for state, (cost, text) in paths.items():
+                    to, way = state[1] + c, (cost + (costs.get(state + c) or single.get(c, UNSEEN)), text + c)
+                    if to not in now or way < now[to]:
+                        now[to] = way
+                    if c == before and (state not in now or (cost + REPEATED, text) < now[state]):
+                        now[state] = (cost + REPEATED, text)
             else:
-                options += [(x, SUBSTITUTED) for x in STANDS_FOR.get(c, "")]
-                options.append(("", LOST if c in STANDS_FOR and c != "*" else NOISE))
-                if not c.isdigit():
-                    options.append((" ", PARTED))
-            now: dict[str, tuple[float, str]] = {}
-            for state, (cost, text) in paths.items():
-                for x, more in options:
-                    if x == "":
-                        to, total, out = state, cost + more, text
-                    elif x == " ":
-                        if state == "^^":
-                            continue
-                        to, total, out = "^^", cost + more + self.cost(state, "$"), text + " "
-                    else:
-                        to, total, out = state[1] + x, cost + more + self.cost(state, x), text + x
-                    if to not in now or (total, out) < now[to]:
-                        now[to] = (total, out)
+                letters = STANDS_FOR.get(c, "")
+                lost = LOST if letters and c != "*" else NOISE
+                parts = not c.isdigit()
+                for state, (cost, text) in paths.items():
+                    if state not in now or (cost + lost, text) < now[state]:
+                        now[state] = (cost + lost, text)
+                    for x in letters:
+                        to, way = state[1] + x, (cost + SUBSTITUTED + (costs.get(state + x) or single.get(x, UNSEEN)), text + x)
+                        if to not in now or way < now[to]:
+                            now[to] = way
+                    if parts and state != "^^":
+                        way = (cost + PARTED + self.cost(state, "$"), text + " ")
+                        if "^^" not in now or way < now["^^"]:
+                            now["^^"] = way
             paths, before = now, c
         return min((cost + (self.cost(state, "$") if state != "^^" else 0), text) for state, (cost, text) in paths.items())[1].strip()
 
-
     def _path(self, token: str, drop: tuple[int, ...]) -> tuple[float, str]:
         """Cost and text of the path of a token of letters that drops those at some places."""
         cost, state, out, costs, single = 0.0, "^^", "", self.costs, self.single
@@ -150,7 +156,9 @@ def suspicious(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     out_a, out_b = [], []
     if single.any():  # three and more one-character tokens in a row, most of them letters
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        begin, end = edge[::2], edge[1::2]
+        enough = end - begin >= 2
+        for a, b in zip(begin[enough].tolist(), end[enough].tolist(), strict=True):
             cut = [a, *(np.flatnonzero(np.diff(row[a:b])) + a + 1).tolist(), b]
             for x, y in zip(cut, cut[1:], strict=False):
                 # The last may carry a sign, as in "b a d,".
@@ -270,11 +278,17 @@ class Evidence:
     def __init__(self, f: np.ndarray, n1: np.ndarray, n0: np.ndarray, base: float, longest: int = 0, again: tuple[np.ndarray, ...] | None = None):
         self.f, self.n1, self.n0, self.base, self.longest, self.again = f, n1, n0, base, longest, again
         self.cut = THRESHOLD
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[f >> np.uint64(44)] = True
+        if again:
+            self.maybe[again[0] >> np.uint64(44)] = True
 
     def raw(self, n: int, row: np.ndarray, f: np.ndarray, own: int, words: np.ndarray, toxic: np.ndarray | None = None) -> np.ndarray:
         """The largest share of toxic texts over the features of each of n rows, as features() gives them; of learning
         rows, without the row itself."""
         out = np.full(n, self.base / 2)
+        known = self.maybe[f >> np.uint64(44)]  # by the first 20 bits of their hashes, before searching for whole ones
+        row, f, own = row[known], f[known], int(known[:own].sum())
         if self.again and own:
             hashes, n1, n0 = self.again
             at = np.minimum(np.searchsorted(hashes, f[:own]), len(hashes) - 1)
