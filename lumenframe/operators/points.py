@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +143,47 @@ def hough_votes(df: DataFrame, by: str = "curve_id", order: str = "pos") -> Data
     rows = rows.withColumn("theta", F.expr("CAST(pmod(CAST(floor(degrees(atan2(CAST(_ny - _py AS DOUBLE), CAST(_nx - _px AS DOUBLE))) + 0.5D) AS INT), 360) AS INT)"))
     rows = rows.withColumn("r", F.expr("CAST(floor(sqrt(pow(x * cos(radians(theta)), 2) + pow(y * sin(radians(theta)), 2)) + 0.5D) AS INT)"))
     return rows.groupBy(by, "theta", "r").agg(F.count("*").alias("votes"))
+
+
+def similarity_steps(prefix: str, x: str, y: str, out: str) -> list[tuple[str, str]]:
+    """Steps of a point turned and scaled about an origin, then shifted; the parameters are columns scale, turn, ox, oy, tx, ty."""
+    s, t, ox, oy, tx, ty = (f"{prefix}{n}" for n in ("scale", "turn", "ox", "oy", "tx", "ty"))
+    return [
+        (f"x{out}", f"{ox} * {s} + {s} * (({x} - {ox}) * cos({t}) + ({y} - {oy}) * sin({t})) + {tx}"),
+        (f"y{out}", f"{oy} * {s} + {s} * (({y} - {oy}) * cos({t}) - ({x} - {ox}) * sin({t})) + {ty}"),
+    ]
+
+
+def similarity_reversed() -> list[tuple[str, str]]:
+    """Steps of the parameters back_* that undo similarity_steps: about the image of the origin."""
+    return [
+        ("back_scale", "1 / scale"), ("back_turn", "CASE WHEN turn > 0 THEN 2 * pi() - turn ELSE -turn END"),
+        ("back_ox", "ox * scale + tx"), ("back_oy", "oy * scale + ty"),
+        ("back_tx", "ox - back_ox * back_scale"), ("back_ty", "oy - back_oy * back_scale"),
+    ]
+
+
+def similar_transformations(df: DataFrame, scale: str, turn: str, share: float = 0.1, degrees: int = 20, by: str = "set_id", key: str = "point_id") -> DataFrame:
+    """(by, key, likes): how many others of a group are alike in scale (both within `share` of their mean) and turn.
+
+    Pairs are sought in cells of the turn as wide as `degrees` (a divisor of 360) and of the logarithm of the scale, so a
+    row meets those of nine cells only; the counts are added up, no pair is kept.
+    """
+    ratio = (1 + share) / (1 - share)
+    cells = df.select(by, key, scale, turn).withColumns({"_t": F.floor(F.pmod(F.col(turn), F.lit(360)) / degrees).cast("int"), "_s": F.floor(F.log(F.col(scale)) / math.log(ratio * (1 + 1e-9))).cast("int")})
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    near = cells.select(by, F.col(key).alias("_o"), F.col(scale).alias("_scale"), F.col(turn).alias("_turn"), "_t", "_s", F.explode(step).alias("_dt")).withColumn("_ds", F.explode(step))
+    near = near.withColumns({"_t": F.pmod(F.col("_t") + F.col("_dt"), F.lit(360 // degrees)), "_s": F.col("_s") + F.col("_ds")})
+    gap = F.abs(F.col(turn) - F.col("_turn"))
+    # Half the difference within a share of half the sum; rounded, so that the limit itself counts.
+    alike = (F.round(F.abs(F.col(scale) - F.col("_scale")) - share * (F.col(scale) + F.col("_scale")), 9) <= 0) & (F.least(gap, 360 - gap) <= degrees) & (F.col(key) != F.col("_o"))
+    return cells.join(near, [by, "_t", "_s"]).groupBy(by, key).agg(F.count_if(alike).alias("likes"))
+
+
+def average_transformation(df: DataFrame, by: str = "set_id") -> DataFrame:
+    """Means and deviations of scale, turn (degrees in 0..360) and shift by group; turns on both sides of 0 are averaged across it."""
+    spread = Window.partitionBy(by)
+    wraps = F.max("turn").over(spread) - F.min("turn").over(spread) > 180
+    t = df.withColumn("_w", wraps).withColumn("turn", F.when(F.col("_w") & (F.col("turn") < 180), F.col("turn") + 360).otherwise(F.col("turn")))
+    mean = t.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("turn", "scale", "tx", "ty")], *[F.stddev_samp(c).alias(f"{c}_sd") for c in ("turn", "scale", "tx", "ty")])
+    return mean.withColumn("turn", F.when(F.col("turn") > 360, F.col("turn") - 360).otherwise(F.col("turn")))

@@ -78,6 +78,18 @@ def box(df: DataFrame, half: int, value: str = "v", squares: bool = False, compl
     return df.withColumns(first).withColumns(second).drop("_n", "_s", "_lo", "_hi", "_q")
 
 
+def adaptive_threshold(df: DataFrame, half: int, k: float = 0.2, value: str = "v") -> DataFrame:
+    """Adds t = mean * (1 + k * (deviation / R - 1)) of the window; R is the middle of the image's values.
+
+    The deviation averages squares of each pixel against its own local mean.
+    """
+    b = box(df, half, value).withColumn("_m", F.col("box_sum") / F.col("box_n")).drop("box_n", "box_sum", "box_min", "box_max")
+    b = box(b.withColumn("_m2", F.expr(f"({value} - _m) * ({value} - _m)")), half, "_m2").withColumn("_s", F.sqrt(F.col("box_sum") / F.col("box_n")))
+    image = Window.partitionBy("image_id")
+    b = b.withColumn("_r", (F.max(value).over(image) + F.min(value).over(image)) / 2.0)
+    return b.withColumn("t", F.expr(f"_m * (1 + {k!r}D * (_s / nullif(_r, 0D) - 1))")).drop("_m", "_m2", "_s", "_r", "box_n", "box_sum", "box_min", "box_max")
+
+
 def integral(df: DataFrame, value: str = "v") -> DataFrame:
     """Summed-area table: sat = sum over all pixels with smaller or equal x and y. Columns, then rows."""
     up = Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,6 +1,6 @@
 """All queries: importing the modules registers them."""
 
-from lumenframe.plans import colour, curves, files, imaging, more, rasters, shapes, structures, views  # noqa: F401
+from lumenframe.plans import colour, curves, edges, files, imaging, matrices, more, rasters, shapes, structures, views  # noqa: F401
 from lumenframe.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -132,11 +132,7 @@ def adaptive_mean(spark, sf_dir):
     s AS (SELECT p.image_id, p.x, p.y, sqrt(avg(q.v)) AS s FROM px2 p JOIN px2 q ON q.image_id = p.image_id AND q.x BETWEEN p.x - 7 AND p.x + 7 AND q.y BETWEEN p.y - 7 AND p.y + 7 GROUP BY ALL),
     r AS (SELECT image_id, (max(v) + min(v)) / 2.0::DOUBLE AS r FROM px GROUP BY image_id) SELECT image_id, x, y, round(m * (1 + 0.2::DOUBLE * (s / r - 1)), 5) AS t FROM d JOIN s USING (image_id, x, y) JOIN r USING (image_id)""")
 def adaptive(spark, sf_dir):
-    """Local threshold mean * (1 + k * (deviation / R - 1)); the deviation averages squares of each pixel against its own local mean."""
-    b = raster.box(pixels(spark, sf_dir), 7).selectExpr("image_id", "x", "y", "v", "box_sum / box_n AS m").withColumn("v2", F.expr("(v - m) * (v - m)"))
-    d = raster.box(b, 7, "v2").withColumn("s", F.sqrt(F.col("box_sum") / F.col("box_n")))
-    image = Window.partitionBy("image_id")
-    return d.withColumn("r", (F.max("v").over(image) + F.min("v").over(image)) / 2.0).selectExpr("image_id", "x", "y", "round(m * (1 + 0.2D * (s / r - 1)), 5) AS t")
+    return raster.adaptive_threshold(pixels(spark, sf_dir), 7).selectExpr("image_id", "x", "y", "round(t, 5) AS t")
 
 
 @query("threshold_unsharp_mask", f"WITH {PX} SELECT image_id, x, y, CASE WHEN abs(v - m) >= 5 THEN greatest(0, least(255, CAST(trunc(0.6::DOUBLE * (v - m) + v) AS INTEGER))) ELSE v END AS out FROM ({_box_sql(1, 'avg(q.v) AS m')})")
