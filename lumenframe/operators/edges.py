@@ -63,35 +63,35 @@ def contrasted(df: DataFrame, half: int, k: float = 0.2, value: str = "v") -> Da
     return raster.rescaled(raised, 0, 255, "_v").withColumn("contrast", F.floor(F.round("scaled", 6)).cast("int")).drop("t", "_t", "_v", "scaled")
 
 
-def median_filtered(df: DataFrame, value: str = "v") -> DataFrame:
-    """Adds median: the upper median of the 3 x 3 pixels that are there."""
-    near = raster.neighbours(df, value).withColumn("_a", F.array_sort(F.array_compact(F.array(value, *raster.AROUND))))
+def median_filtered(df: DataFrame, value: str = "v", complete: bool = False) -> DataFrame:
+    """Adds median: the upper median of the 3 x 3 pixels that are there. complete=True: absent pixels are rows of nulls."""
+    near = raster.neighbours(df, value, complete).withColumn("_a", F.array_sort(F.array_compact(F.array(value, *raster.AROUND))))
     return near.withColumn("median", F.expr("_a[size(_a) div 2]")).drop("_a", *raster.AROUND)
 
 
-def _up(coarse: DataFrame, fine: DataFrame) -> DataFrame:
-    """fine with the value `_up` of the coarse pixel that covers each of its pixels."""
-    keys = fine.withColumns({"_x": F.floor(F.col("x") / 2).cast("int"), "_y": F.floor(F.col("y") / 2).cast("int")})
-    return keys.join(coarse.select("image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("v").alias("_up")), ["image_id", "_x", "_y"]).drop("_x", "_y")
-
-
 def median_pyramid(df: DataFrame, levels: int, value: str = "v") -> tuple[list[DataFrame], DataFrame]:
     """Coefficients (image_id, x, y, w) of each level, the first at full size, and the last smooth image (v).
 
-    A level is the median-filtered one before at half the size; its coefficients are what that leaves over.
+    A level is the median-filtered one before at half the size; its coefficients are what that leaves over. Absent pixels
+    are filled in once, as nulls, and left out of the results.
     """
-    now, out = df.select(*PIXEL, F.col(value).cast("int").alias("v")), []
+    now, out = raster.filled(df.select(*PIXEL, F.col(value).cast("int").alias("v")), "v"), []
+    halves = [F.floor(F.col(c) / 2).cast("int").alias(c) for c in "xy"]
     for _ in range(levels):
-        half = raster.binned(median_filtered(now).select(*PIXEL, F.col("median").alias("v")), 2)
-        out.append(_up(half, now).select(*PIXEL, (F.col("v") - F.col("_up")).alias("w")))
-        now = half
-    return out, now
+        bins = Window.partitionBy("image_id", *halves)
+        level = median_filtered(now, complete=True).withColumn("median", F.when(F.col("v").isNotNull(), F.col("median")))
+        level = level.withColumn("_up", F.floor(F.avg("median").over(bins) + 0.5).cast("int"))
+        out.append(level.where("v IS NOT NULL").select(*PIXEL, (F.col("v") - F.col("_up")).alias("w")))
+        now = level.groupBy("image_id", *halves).agg(F.first("_up").alias("v"))
+    return out, now.where("v IS NOT NULL")
 
 
 def pyramid_rebuilt(coefficients: list[DataFrame], smooth: DataFrame) -> DataFrame:
     """The image of a median pyramid, exactly."""
     for w in reversed(coefficients):
-        smooth = _up(smooth, w).select(*PIXEL, (F.col("_up") + F.col("w")).alias("v"))
+        keys = w.withColumns({"_x": F.floor(F.col("x") / 2).cast("int"), "_y": F.floor(F.col("y") / 2).cast("int")})
+        coarse = smooth.select("image_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("v").alias("_up"))
+        smooth = keys.join(coarse, ["image_id", "_x", "_y"]).select(*PIXEL, (F.col("_up") + F.col("w")).alias("v"))
     return smooth
 
 
