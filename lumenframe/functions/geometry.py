@@ -534,3 +534,15 @@ def inflections(curve: np.ndarray, sigmas: list[float]) -> list[tuple[float, int
         k = np.where(np.abs(k) < 1e-12 * max(np.abs(k).max(), 1e-300), 0, k)
         out += [(float(s), int(i)) for i in np.flatnonzero(np.sign(k) * np.sign(np.roll(k, -1)) < 0)]
     return out
+
+
+def cameras_of_fundamental(f: np.ndarray) -> np.ndarray:
+    """The second camera [[e]x F | e] up to a homography of the scene, the first one being [I | 0]; e is the second epipole."""
+    e = np.linalg.svd(f)[0][:, 2]
+    return np.column_stack([np.cross(np.eye(3), e).T @ f, e])
+
+
+def plane_of(points: np.ndarray) -> np.ndarray:
+    """The plane (a, b, c, d) of length 1 nearest to homogeneous points (rows of 4)."""
+    p = np.asarray(points, float)
+    return np.linalg.svd(p / p[:, 3:])[2][3]

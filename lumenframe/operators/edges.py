@@ -160,3 +160,26 @@ def otsu_2d(df: DataFrame, bins: int, value: str = "v") -> DataFrame:
     best = grid.where("n > 0").withColumn("trace", F.expr(f"round({part('qw', 'qa', 'qb')} + {part('w1', 'a1', 'b1')}, 9)"))
     best = best.groupBy("image_id").agg(F.min(F.struct(-F.col("trace"), "i", "j", "lo", "range")).alias("m"))
     return best.select("image_id", F.col("m.i").alias("s"), F.col("m.j").alias("t"), (F.col("m.lo") + (F.col("m.i") + 0.5) * F.col("m.range") / bins).alias("threshold"))
+
+
+def bilinear_at(df: DataFrame, places: DataFrame, value: str = "v") -> DataFrame:
+    """places (image_id, place_id, x, y as doubles) with `value` interpolated between the pixels around.
+
+    A place with a pixel missing among those it needs isn't in the result. Each place meets at most four pixels by key.
+    """
+    share = lambda c: [(F.floor(c), 1 - (F.col(c) - F.floor(c))), (F.floor(c) + 1, F.col(c) - F.floor(c))]
+    corners = F.array(*[F.struct(cx.cast("int").alias("x"), cy.cast("int").alias("y"), (wx * wy).alias("w")) for cx, wx in share("x") for cy, wy in share("y")])
+    needed = places.select("image_id", "place_id", F.explode(F.filter(corners, lambda c: c["w"] > 0)).alias("c")).select("image_id", "place_id", "c.x", "c.y", "c.w")
+    met = needed.join(df.select(*PIXEL, value), PIXEL, "left").groupBy("image_id", "place_id").agg(F.sum(F.col("w") * F.col(value)).alias(value), F.count_if(F.col(value).isNull()).alias("_missing"))
+    return met.where("_missing = 0").drop("_missing")
+
+
+def first_peak_and_minimum(hist: DataFrame, by: str = "image_id") -> DataFrame:
+    """(by, peak, after) of dense histograms (bin, n): the bin before the first fall, and the bin of the first rise after it.
+
+    Without a fall the peak is -1; without a rise after it, `after` is 0.
+    """
+    before = F.lag("n").over(Window.partitionBy(by).orderBy("bin"))
+    steps = hist.select(by, "bin", F.when(F.col("n") < before, -1).when(F.col("n") > before, 1).otherwise(0).alias("step"))
+    steps = steps.withColumn("fall", F.min(F.when(F.col("step") == -1, F.col("bin"))).over(Window.partitionBy(by)))
+    return steps.groupBy(by).agg(F.coalesce(F.min("fall") - 1, F.lit(-1)).alias("peak"), F.coalesce(F.min(F.when((F.col("step") == 1) & (F.col("bin") > F.col("fall")), F.col("bin"))), F.lit(0)).alias("after"))

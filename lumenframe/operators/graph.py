@@ -103,3 +103,10 @@ def border_pixels(df: DataFrame, label: str = "label") -> DataFrame:
     four = [F.lag(label).over(cols), F.lead(label).over(cols), F.lag(label).over(rows), F.lead(label).over(rows)]
     inner = four[0].eqNullSafe(F.col(label)) & four[1].eqNullSafe(F.col(label)) & four[2].eqNullSafe(F.col(label)) & four[3].eqNullSafe(F.col(label))
     return df.withColumn("_inner", inner).where("NOT _inner").drop("_inner")
+
+
+def largest_difference_weights(adjacent: DataFrame, means: DataFrame, sigma: float) -> DataFrame:
+    """Edge weights exp(-d^2 / sigma) of adjacent regions, d being the largest difference of their mean channels."""
+    side = lambda s: means.select("image_id", F.col("label").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("mr", "mg", "mb")])
+    d = F.greatest(*[F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in ("mr", "mg", "mb")])
+    return adjacent.join(side("a"), ["image_id", "a"]).join(side("b"), ["image_id", "b"]).select("image_id", "a", "b", d.alias("d"), F.exp(-d * d / sigma).alias("weight"))

@@ -187,3 +187,49 @@ def average_transformation(df: DataFrame, by: str = "set_id") -> DataFrame:
     t = df.withColumn("_w", wraps).withColumn("turn", F.when(F.col("_w") & (F.col("turn") < 180), F.col("turn") + 360).otherwise(F.col("turn")))
     mean = t.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("turn", "scale", "tx", "ty")], *[F.stddev_samp(c).alias(f"{c}_sd") for c in ("turn", "scale", "tx", "ty")])
     return mean.withColumn("turn", F.when(F.col("turn") > 360, F.col("turn") - 360).otherwise(F.col("turn")))
+
+
+def closed_curves(df: DataFrame, gap: int, least: int = 2, by: str = "curve_id", order: str = "pos") -> DataFrame:
+    """(by, n, closed): whether a curve of `least` points or more ends within `gap` of its beginning in x and in y.
+
+    Of several points at the first or last position the smallest or largest (x, y) counts.
+    """
+    at = F.struct(order, "x", "y")
+    ends = df.groupBy(by).agg(F.count("*").alias("n"), F.min(at).alias("a"), F.max(at).alias("b"))
+    near = lambda c: F.abs(F.col("a")[c] - F.col("b")[c]) <= gap
+    return ends.select(by, "n", ((F.col("n") >= least) & near("x") & near("y")).alias("closed"))
+
+
+def scaled_down(df: DataFrame, scale: float, by: str = "set_id", order: str = "point_id") -> DataFrame:
+    """Points scaled about the centroid of their set and rounded; of those that fall together the last one stays."""
+    centre = df.groupBy(by).agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"))
+    to = lambda c: F.floor(F.round(F.col(f"_c{c}") + scale * (F.col(c) - F.col(f"_c{c}")), 9) + 0.5).cast("int")
+    moved = df.join(centre, by).select(by, order, to("x").alias("x"), to("y").alias("y"))
+    return moved.groupBy(by, "x", "y").agg(F.max(order).alias(order))
+
+
+def circle(radii: DataFrame) -> DataFrame:
+    """(radius, x, y, pos) of whole-numbered circles of radius 1 or more about (0, 0), counter-clockwise from (radius, 0).
+
+    One quarter is sampled at steps of asin(1 / radius) and mirrored; positions follow the angle.
+    """
+    step, half = F.asin(1 / F.col("radius")), F.lit(math.pi / 2)
+    quarter = radii.withColumn("t", F.explode(F.transform(F.sequence(F.lit(0), F.floor(half / step + 1e-9)), lambda k: k * step)))
+    whole = lambda f: F.floor(F.round(F.col("radius") * f("t"), 9) + 0.5).cast("int")
+    quarter = quarter.select("radius", whole(F.cos).alias("x"), whole(F.sin).alias("y"))
+    mirrored = F.array(*[F.struct((sx * F.col("x")).alias("x"), (sy * F.col("y")).alias("y")) for sx in (1, -1) for sy in (1, -1)])
+    ring = quarter.select("radius", F.explode(mirrored).alias("p")).select("radius", "p.x", "p.y").distinct()
+    angle = F.round(F.pmod(F.atan2("y", "x") + F.lit(2 * math.pi), F.lit(2 * math.pi)), 9)
+    return ring.withColumn("pos", F.row_number().over(Window.partitionBy("radius").orderBy(angle, F.col("x"))) - 1)
+
+
+def windows(df: DataFrame, half: int, width: int, height: int, by: list[str]) -> DataFrame:
+    """All points of the square of half-width `half` about each point, within 0..width-1 and 0..height-1."""
+    ends = lambda c, n: F.sequence(F.greatest(F.col(c) - half, F.lit(0)), F.least(F.col(c) + half, F.lit(n - 1)))
+    inside = df.where(F.col("x").between(-half, width - 1 + half) & F.col("y").between(-half, height - 1 + half))
+    return inside.select(*by, ends("x", width).alias("_x"), ends("y", height).alias("_y")).select(*by, F.explode("_x").alias("x"), "_y").select(*by, "x", F.explode("_y").alias("y"))
+
+
+def chord_distance(chord: str, longest: str, length: str, most: str) -> list[tuple[str, str]]:
+    """Step distance: the square of the share of `most` points that isn't matched, plus that of the chord difference over the longest."""
+    return [("distance", f"pow(1 - ({length}) / ({most}), 2) + CASE WHEN {longest} = 0 THEN 0e0 ELSE pow(({chord}) / {longest}, 2) END")]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions import color
 from lumenframe.functions.steps import applied, as_sql
-from lumenframe.operators import edges, filters, histogram
+from lumenframe.operators import edges, filters, graph, histogram, raster
 from lumenframe.plans.curves import _conv_sql, _separable_sql
 from lumenframe.plans.registry import query
 from lumenframe.sources.derived import LABELS_SQL, PIXELS_SQL, labelled, pixels
@@ -144,3 +144,26 @@ def grey_green(spark, sf_dir):
     """Whether the mean colour of a label is grey (all channels less than 40 off their mean) or green (8 above the others)."""
     m = labelled(spark, sf_dir).groupBy("image_id", "label").agg(*[F.floor(F.avg(c) + 0.5).cast("int").alias(c) for c in "rgb"]).withColumn("m", F.expr("(r + g + b) div 3"))
     return m.selectExpr("image_id", "label", "abs(r - m) < 40 AND abs(g - m) < 40 AND abs(b - m) < 40 AS grey", "g - r >= 8 AND g - b >= 8 AS green")
+
+
+@query("raster_bilinear_at", f"WITH {PX}, q AS (SELECT image_id, y * 32 + x AS place_id, x + (y % 4) * 0.25::DOUBLE AS qx, y + (x % 5) * 0.2::DOUBLE AS qy FROM px), c AS (SELECT q.image_id, place_id, (1 - abs(p.x - qx)) * (1 - abs(p.y - qy)) AS w, p.v FROM q JOIN px p ON p.image_id = q.image_id AND p.x > qx - 1 AND p.x < qx + 1 AND p.y > qy - 1 AND p.y < qy + 1) SELECT image_id, place_id, round(sum(w * v), 5) AS v FROM c GROUP BY ALL HAVING sum(w) > 1 - 1e-9")
+def bilinear_at(spark, sf_dir):
+    p = pixels(spark, sf_dir)
+    places = p.selectExpr("image_id", "y * 32 + x AS place_id", "x + (y % 4) * 0.25D AS x", "y + (x % 5) * 0.2D AS y")
+    return edges.bilinear_at(p, places).select("image_id", "place_id", F.round("v", 5).alias("v"))
+
+
+@query("hist_first_peak", f"WITH {PX}, h AS (SELECT i AS image_id, k AS bin, count(v) AS n FROM (SELECT DISTINCT image_id AS i FROM px) CROSS JOIN range(16) r(k) LEFT JOIN px ON px.image_id = i AND v // 16 = k GROUP BY ALL), s AS (SELECT *, n - lag(n) OVER (PARTITION BY image_id ORDER BY bin) AS d FROM h), f AS (SELECT image_id, min(bin) AS fall FROM s WHERE d < 0 GROUP BY image_id) SELECT h.image_id, coalesce(any_value(fall), 0)::INTEGER - 1 AS peak, coalesce(min(s.bin), 0)::INTEGER AS after FROM (SELECT DISTINCT image_id FROM h) h LEFT JOIN f USING (image_id) LEFT JOIN s ON s.image_id = h.image_id AND s.bin > fall AND s.d > 0 GROUP BY h.image_id")
+def first_peak(spark, sf_dir):
+    h = histogram.dense_counts(pixels(spark, sf_dir).withColumn("v16", F.expr("v div 16")), 16, "v16")
+    return edges.first_peak_and_minimum(h)
+
+
+@query("graph_low_threshold_weights", f"WITH l AS ({LABELS_SQL}), m AS (SELECT image_id, label, avg(r) AS r, avg(g) AS g, avg(b) AS b FROM l GROUP BY ALL), e AS (SELECT DISTINCT p.image_id, least(p.label, q.label) AS a, greatest(p.label, q.label) AS b FROM l p JOIN l q ON p.image_id = q.image_id AND abs(p.x - q.x) + abs(p.y - q.y) = 1 WHERE p.label <> q.label), d AS (SELECT e.image_id, e.a, e.b, greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b)) AS d FROM e JOIN m p ON p.image_id = e.image_id AND p.label = e.a JOIN m q ON q.image_id = e.image_id AND q.label = e.b) SELECT image_id, a, b, round(d, 6) AS d, round(exp(-d * d / 800), 6) AS weight FROM d")
+def low_threshold_weights(spark, sf_dir):
+    l = labelled(spark, sf_dir)  # noqa: E741
+    near = raster.shifted(raster.shifted(l.select("image_id", "x", "y", F.col("label").alias("v")), "v", 1, 0, "e"), "v", 0, 1, "s")
+    pairs = near.select("image_id", "v", F.explode(F.array("e", "s")).alias("o")).where("o IS NOT NULL AND o <> v")
+    adjacent = pairs.select("image_id", F.least("v", "o").alias("a"), F.greatest("v", "o").alias("b")).distinct()
+    means = l.groupBy("image_id", "label").agg(F.avg("r").alias("mr"), F.avg("g").alias("mg"), F.avg("b").alias("mb"))
+    return graph.largest_difference_weights(adjacent, means, 800).withColumns({"d": F.round("d", 6), "weight": F.round("weight", 6)})

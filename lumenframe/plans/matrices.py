@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenframe.functions import rotations
-from lumenframe.functions.steps import Steps
+from lumenframe.functions.steps import Steps, applied
 from lumenframe.operators import matrices, points
 from lumenframe.plans.registry import query
-from lumenframe.plans.structures import ANGLES, scalar
+from lumenframe.plans.structures import ANGLES, _numbers, scalar
 from lumenframe.plans.views import VECTOR
 from lumenframe.sources.derived import POINTS_SQL, table
 from lumenframe.sources.derived import points as point_table
@@ -114,9 +114,6 @@ _BACK = [n for n, _ in points.similarity_reversed()]
 @query("transform_reversed", "WITH p AS (SELECT o_orderkey AS id, 0.5::DOUBLE + (o_orderkey % 10) * 0.1::DOUBLE AS scale, (o_orderkey % 60) * 0.1::DOUBLE AS turn, (o_orderkey % 17) - 8.0::DOUBLE AS ox, (o_custkey % 7) - 3.5::DOUBLE AS oy, (o_custkey - 50) * 0.1::DOUBLE AS tx, (o_orderkey % 7) - 3.0::DOUBLE AS ty FROM orders) SELECT id, round(1 / scale, 5) AS back_scale, round(CASE WHEN turn = 0 THEN 0 ELSE 2 * pi() - turn END, 5) AS back_turn, round(ox * scale + tx, 5) + 0e0 AS back_ox, round(oy * scale + ty, 5) + 0e0 AS back_oy, round(-tx / scale, 5) + 0e0 AS back_tx, round(-ty / scale, 5) + 0e0 AS back_ty, round(11 - id % 5, 5) AS x2, round(4 + id % 3, 5) AS y2 FROM p")
 def transform_reversed(spark, sf_dir):
     """The parameters that lead back, and a point there and back."""
-    from lumenframe.functions.steps import applied
-    from lumenframe.plans.structures import _numbers
-
     p = applied(_numbers(spark, sf_dir), [*_PARAMS, ("x", "11e0 - i % 5"), ("y", "4e0 + i % 3"), *points.similarity_steps("", "x", "y", "1"), *points.similarity_reversed(), *points.similarity_steps("back_", "x1", "y1", "2")])
     return p.selectExpr("id", *[f"round({c}, 5) + 0e0 AS {c}" for c in (*_BACK, "x2", "y2")])
 
@@ -153,3 +150,42 @@ def log_likelihood(spark, sf_dir):
     d = point_table(spark, sf_dir).withColumn("d", F.expr("y - (30 + 0.1D * x - 0.002D * x * x)"))
     s = d.groupBy("set_id").agg(F.count("*").alias("n"), F.var_samp("d").alias("v"), F.sum(F.col("d") * F.col("d")).alias("q")).where("n > 1")
     return s.selectExpr("set_id", "round(-0.5D * (n * ln(2 * pi() * v) + q / v), 5) AS log_likelihood")
+
+
+_CURVES = "SELECT l_orderkey AS curve_id, l_linenumber AS pos, l_partkey % 11 AS x, l_suppkey % 7 AS y FROM lineitem"
+
+
+@query("curve_closed", f"WITH c AS ({_CURVES}), e AS (SELECT *, row_number() OVER (PARTITION BY curve_id ORDER BY pos, x, y) AS k, count(*) OVER (PARTITION BY curve_id) AS n FROM c) SELECT a.curve_id, a.n, a.n >= 4 AND abs(a.x - b.x) <= 2 AND abs(a.y - b.y) <= 2 AS closed FROM e a JOIN e b ON b.curve_id = a.curve_id AND b.k = b.n WHERE a.k = 1")
+def closed(spark, sf_dir):
+    c = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS curve_id", "l_linenumber AS pos", "l_partkey % 11 AS x", "l_suppkey % 7 AS y")
+    return points.closed_curves(c, 2, 4)
+
+
+@query("curve_scaled_down", f"WITH c AS (SELECT set_id, avg(x) AS cx, avg(y) AS cy FROM ({POINTS_SQL}) GROUP BY set_id) SELECT set_id, floor(round(cx + 0.25::DOUBLE * (x - cx), 9) + 0.5)::INTEGER AS x, floor(round(cy + 0.25::DOUBLE * (y - cy), 9) + 0.5)::INTEGER AS y, max(point_id) AS point_id FROM ({POINTS_SQL}) p JOIN c USING (set_id) GROUP BY ALL")
+def scaled_down(spark, sf_dir):
+    return points.scaled_down(point_table(spark, sf_dir), 0.25).select("set_id", "x", "y", "point_id")
+
+
+@query("points_circle", "WITH r AS (SELECT DISTINCT p_size AS radius FROM part), q AS (SELECT radius, unnest(range(0, (floor(pi() / 2 / asin(1.0::DOUBLE / radius) + 1e-9) + 1)::BIGINT)) * asin(1.0::DOUBLE / radius) AS t FROM r), p AS (SELECT radius, floor(round(radius * cos(t), 9) + 0.5)::INTEGER AS x, floor(round(radius * sin(t), 9) + 0.5)::INTEGER AS y FROM q), m AS (SELECT radius, x, y FROM p UNION SELECT radius, -x, y FROM p UNION SELECT radius, x, -y FROM p UNION SELECT radius, -x, -y FROM p) SELECT radius, x, y, (row_number() OVER (PARTITION BY radius ORDER BY round(CASE WHEN y < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END, 9), x) - 1)::INTEGER AS pos FROM m")
+def circle(spark, sf_dir):
+    return points.circle(table(spark, sf_dir, "part").select(F.col("p_size").alias("radius")).distinct())
+
+
+@query("points_window", f"SELECT set_id, point_id, i::INTEGER AS x, j::INTEGER AS y FROM ({POINTS_SQL}) JOIN range(48) a(i) ON abs(i - x) <= 2 JOIN range(56) b(j) ON abs(j - y) <= 2")
+def windows(spark, sf_dir):
+    return points.windows(point_table(spark, sf_dir), 2, 48, 56, ["set_id", "point_id"])
+
+
+scalar("shape_chord_distance", [("chord", "abs(ar) / 10"), ("longest", "CASE WHEN i % 9 = 0 THEN 0e0 ELSE 2e0 END"), ("len", "(i % 25) + 1e0"), *points.chord_distance("chord / len", "longest", "len", "25e0")], ["distance"])
+
+# A pixel's direction of length 1 in the camera's frame; and the camera's turn taken back.
+_LENS: Steps = [("u", "320e0 + ar * 10"), ("v", "240e0 + br * 10"), ("fx", "500e0"), ("fy", "510e0"), ("ox", "320e0"), ("oy", "240e0"), ("skewness", "2e0"), *rotations.intrinsics()]
+_UNIT_DIRECTION: Steps = [("norm", "sqrt(cu * cu + cv * cv + 1)"), ("dx", "cu / norm"), ("dy", "cv / norm"), ("dz", "1 / norm")]
+scalar("camera_unit_directions", [*_LENS, *_UNIT_DIRECTION], ["dx", "dy", "dz"])
+_THERE: Steps = [*ANGLES, *rotations.xyz(), *rotations.turned("m", "ar", "ai", "br", "h"), *[(f"k{i}{j}", f"m{j}{i}") for i in range(3) for j in range(3)], *rotations.turned("k", "hx", "hy", "hz", "g")]
+
+
+@query("rotation_inverse", "SELECT o_orderkey AS id, (o_orderkey % 17) - 8.0e0 AS gx, (o_orderkey % 5) - 2.0e0 AS gy, (o_custkey % 7) - 3.5e0 AS gz FROM orders")
+def inverse_rotation(spark, sf_dir):
+    """Vectors turned and, by the transposed matrix, turned back: the vectors."""
+    return applied(_numbers(spark, sf_dir), _THERE).selectExpr("id", *[f"round({c}, 5) + 0e0 AS {c}" for c in ("gx", "gy", "gz")])

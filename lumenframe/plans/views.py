@@ -157,6 +157,27 @@ def _rectified(pdf: pd.DataFrame) -> dict[str, float]:
     return {"x1": abs(e1[0]), "y1": abs(e1[1]), "z1": abs(e1[2]), "x2": abs(e2[0]), "y2": abs(e2[1]), "z2": abs(e2[2])}
 
 
+def _canonical_cameras(pdf: pd.DataFrame) -> dict[str, float]:
+    """F again from the camera pair made of F."""
+    w = world(pdf)
+    f = geometry.fundamental_8(seen(w, 0), seen(w, 1))
+    p = geometry.cameras_of_fundamental(f)
+    again = np.cross(np.eye(3), p[:, 3]).T @ p[:, :3]
+    return {"gap": np.abs(_signed(again) - _signed(f)).max(), "epipole": np.abs(p[:, 3] @ f).max()}
+
+
+_PLANE = np.array([0.3, -0.5, 0.8, -2.0])
+
+
+def _plane(pdf: pd.DataFrame) -> dict[str, float]:
+    """The plane of the points lifted into it, in homogeneous coordinates of any scale."""
+    xy = pdf[["x", "y"]].to_numpy(float) / 30
+    z = -(xy @ _PLANE[:2] + _PLANE[3]) / _PLANE[2]
+    scale = (pdf["point_id"] % 5 + 1).to_numpy(float)[:, None]
+    p = geometry.plane_of(np.column_stack([xy, z, np.ones(len(xy))]) * scale)
+    return dict(zip("abcd", map(float, p * np.sign(p[2])), strict=True))
+
+
 _view("view_homography", _homography, _entries("h", H), 5)
 _view("view_resection", _resection, _lens(K) | _pose(geometry.rotation_zyx(*TURN), np.array(SHIFT)), 3)
 _view("view_planar_calibration", _calibration, _lens(K), 2)
@@ -164,6 +185,8 @@ _view("view_planar_pose", _planar_pose, _pose(geometry.rotation_zyx(*TURN), np.a
 _EPIPOLES = [e / e[2] for e in (K @ _RELATIVE.T @ -_STEP, K @ _STEP)]
 _view("view_fundamental_8", _fundamental, {"gap": 0.0, "det": 0.0, "e1x": _EPIPOLES[0][0].item(), "e1y": _EPIPOLES[0][1].item(), "e2x": _EPIPOLES[1][0].item(), "e2y": _EPIPOLES[1][1].item()}, 2)
 _view("view_fundamental_7", _of_seven, {"gap": 0.0}, 4)
+_view("view_canonical_cameras", _canonical_cameras, {"gap": 0.0, "epipole": 0.0}, 4)
+_view("view_plane", _plane, dict(zip("abcd", (float(v) for v in _PLANE / np.linalg.norm(_PLANE)), strict=True)), 5)
 _view("view_essential_pose", _essential_pose, _pose(_RELATIVE, _STEP), 4)
 _view("view_rectification", _rectified, {"x1": 1.0, "y1": 0.0, "z1": 0.0, "x2": 1.0, "y2": 0.0, "z2": 0.0}, 4)
 
