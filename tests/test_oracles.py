@@ -9,6 +9,7 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 NAMES = ["hist_equalize", "threshold_otsu", "color_delta_e2000", "window_box_mean", "morph_opening", "filter_gaussian_blur", "corner_harris", "series_running_median", "join_radius", "knn_l2", "graph_connected_8", "camera_projection"]
 NAMES += ["io_png_round_trip", "io_curve_lines", "io_dashed_lines", "rotation_slerp", "epipolar_essential", "view_planar_calibration", "view_essential_pose", "matrix_gram", "join_closest_pair"]
+NAMES += ["threshold_otsu_2d", "gradient_delta_e2000", "wavelet_median_pyramid", "region_holes", "matrix_multiply", "transform_similar_groups"]
 
 
 def canonical(rows):
