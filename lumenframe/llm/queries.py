@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm import vector_codes
+from lumenframe.llm.alignment import align
 from lumenframe.llm.audio import store_as_audio
 from lumenframe.llm.exact_dedup import exact_dedup
 from lumenframe.llm.html_extract import extract
@@ -16,6 +18,7 @@ from lumenframe.llm.minhash import near_duplicates
 from lumenframe.llm.mixing import mix
 from lumenframe.llm.packing import pack_texts
 from lumenframe.llm.pii import find_personal_data
+from lumenframe.llm.secrets import find_secrets
 from lumenframe.llm.toxicity import score_toxicity
 
 
@@ -69,6 +72,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"), with_groups=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
@@ -80,9 +95,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_audio": op9_audio,
     "op10_lm_score": op10_lm_score,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_secrets": op12_secrets,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": vector_codes.oracle(),
     "op1_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

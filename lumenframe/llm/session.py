@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths of the checkpoints made since the last release().
-_made: list[str] = []
+#: Paths of the checkpoints and tables made in the innermost released() block, if there is one.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,19 +30,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     path = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
     if path.isDefined():
-        _made.append(path.get())
+        keep(df.sparkSession, path.get())
     return out
 
 
+def keep(spark: SparkSession, path: str) -> str:
+    """path, which the released() block that this call is in deletes at its end."""
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the checkpoints made so far. For callers that have written down all results that read them."""
-    while _made:
-        remove(spark, _made.pop())
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes the checkpoints and tables made inside the block when it ends, and no others. For callers that write down inside the
+    block all results that read them."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
