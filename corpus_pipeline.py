@@ -11,7 +11,7 @@ from lumenframe.llm.langid import keep_identified
 from lumenframe.llm.minhash import drop_near_duplicates
 from lumenframe.llm.mixing import mixed
 from lumenframe.llm.packing import pack_texts
-from lumenframe.llm.session import release, remove, shared_folder
+from lumenframe.llm.session import released, remove, shared_folder
 
 
 # Each stage judges rows by their own texts, so null and repeated keys do no harm, passes extra columns of any name
@@ -56,8 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        release(spark)
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if last:
             remove(spark, last)
         docs, last = spark.read.parquet(path), path
