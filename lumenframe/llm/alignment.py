@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,16 +167,16 @@ def alignments(side_a: str, side_b: str) -> Alignments:
 
 def led(column: pa.Array) -> pa.Array:
     """A blank before each text that isn't empty; null becomes empty."""
-    import pyarrow.compute as pc
-
     filled = pc.fill_null(column, "")
     return pc.if_else(pc.equal(filled, ""), pa.scalar("", filled.type), pc.binary_join_element_wise(pa.scalar("", filled.type), filled, pa.scalar(" ", filled.type)))
 
 
-#: Rows of the written table: documents (b is null), and postings of a B id: places (row - base), A ids and multiplicities as
-#: arrays of 16 bits.
+#: Rows of the written table: documents (b is null), and postings of a B id in a slice of documents: places, A ids and
+#: multiplicities as arrays of 16 bits. A document's row is its slice and, in the low 16 bits, its place.
 _DOCUMENT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string"
-_POSTINGS = "b int, base long, places binary, ids binary, times binary"
+_POSTINGS = "b int, slice long, places binary, ids binary, times binary"
+#: Slices are numbered within partitions of the input.
+SLICES = 24
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
@@ -186,14 +187,26 @@ def _batch(schema: str, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], _KINDS[k]) if c in columns else pa.nulls(n, _KINDS[k]) for c, k in fields], names=[c for c, _ in fields])
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    """The 16-bit numbers of all values of a binary column end to end."""
+def _numbers(column: pa.Array, kind: str = "<u2") -> np.ndarray:
+    """The numbers of all values of a binary column end to end."""
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(data, "<u2", (at[-1] - at[0]) // 2, at[0]) if data is not None and at[-1] > at[0] else np.zeros(0, "<u2")
+    at, width = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1], np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, (at[-1] - at[0]) // width, at[0]) if data is not None and at[-1] > at[0] else np.zeros(0, kind)
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    """How many 16-bit numbers each value of a binary column has."""
+    return pc.binary_length(column).to_numpy() // 2
+
 
+def _binary(numbers: np.ndarray, cuts: np.ndarray, kind: str = "<u2") -> pa.Array:
+    """The numbers as binary values, one from each cut to the next."""
+    width = np.dtype(kind).itemsize
+    offsets = pa.py_buffer((np.append(cuts, len(numbers)) * width).astype(np.int32))
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(numbers.astype(kind))])
 
-def _postings(links: np.ndarray, place: np.ndarray, base: int) -> pa.RecordBatch:
+
+def _postings(links: np.ndarray, place: np.ndarray, part: int) -> pa.RecordBatch:
     """A row per B id, from links and the place of each one's document. Multiplicities above 65535 are several postings."""
     packed, m = np.unique(links.astype(np.uint64) << np.uint64(16) | place.astype(np.uint64), return_counts=True)
     times = np.maximum(-(-m // 65535), 1)
@@ -204,17 +217,16 @@ def _postings(links: np.ndarray, place: np.ndarray, base: int) -> pa.RecordBatch
         m[ends] = last
     b = (packed >> np.uint64(32)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(b, prepend=-1))
-    offsets = pa.py_buffer((np.append(cuts, len(b)) * 2).astype(np.int32))
-    binary = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(x.astype("<u2"))])
-    return _batch(f"{_DOCUMENT}, {_POSTINGS}", {"b": b[cuts], "base": np.full(len(cuts), base), "places": binary(packed), "ids": binary(packed >> np.uint64(16)), "times": binary(m)})
+    made = {"b": b[cuts], "slice": np.full(len(cuts), part), "places": _binary(packed, cuts), "ids": _binary(packed >> np.uint64(16), cuts), "times": _binary(m, cuts)}
+    return _batch(f"{_DOCUMENT}, {_POSTINGS}", made)
 
 
 def _encode(docs: DataFrame, key: str, text: str, side_a: str, side_b: str, with_groups: bool) -> DataFrame:
-    """Documents and postings. Rows are numbered by partition and place."""
+    """Documents and postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, context = alignments(side_a, side_b), TaskContext.get()
-        base = (context.partitionId() if context else 0) << 36
+        part = (context.partitionId() if context else 0) << SLICES
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for lo, hi, raw, offsets in slices(led(batch.column(1))):
@@ -232,15 +244,15 @@ def _encode(docs: DataFrame, key: str, text: str, side_a: str, side_b: str, with
                 names = [table.names[i] for i in index.tolist()]
                 groups = [b";".join(names[x:y]) if links else b"" for x, y, links in zip(cut[:-1], cut[1:], n_links.tolist(), strict=True)]
                 digests = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
-                made = {"row": base + np.arange(n), "doc_id": doc_ids[lo:hi], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digests}
+                made = {"row": (part << 16) + np.arange(n), "doc_id": doc_ids[lo:hi], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digests}
                 yield _batch(f"{_DOCUMENT}, {_POSTINGS}", made | ({"groups": [g.decode() for g in groups]} if with_groups else {}))
                 place, inside = np.repeat(row, length), np.ones(len(flat), bool)
                 for k in range(table.HEAD):
                     inside[at + k] = False
                 inside &= whole[place]
                 if inside.any():
-                    yield _postings(flat[inside], place[inside], base)
-                base += n
+                    yield _postings(flat[inside], place[inside], part)
+                part += 1
 
     bounded_batches(docs)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"{_DOCUMENT}, {_POSTINGS}")
@@ -271,8 +283,7 @@ def _count(postings: DataFrame) -> DataFrame:
 
         for batch in batches:
             ids, m = _numbers(batch.column(1)), _numbers(batch.column(2)).astype(np.int64)
-            size = np.diff(np.asarray(batch.column(1).cast(pa.large_binary()).buffers()[1]).view(np.int64)[: len(batch) + 1]) // 2
-            keys.append(np.repeat(batch.column(0).to_numpy().astype(np.int64) << 16, size) | ids)
+            keys.append(np.repeat(batch.column(0).to_numpy().astype(np.int64) << 16, _sizes(batch.column(1))) | ids)
             n.append(m)
             count.append(np.ones(len(ids), np.int64))
             held += len(ids)
@@ -290,8 +301,12 @@ def _count(postings: DataFrame) -> DataFrame:
     return postings.select("b", "ids", "times").mapInArrow(run, _PAIRS).groupBy("b", "a").agg(F.sum("n").alias("n"), F.sum("postings").alias("postings"))
 
 
+_SUMMED = "slice long, places binary, best binary, total binary"
+
+
 def _contributions(stream: DataFrame) -> DataFrame:
-    """row, n_best, count_sum from rows (b, a, n, base, places, ids, times) sorted by b and share, pair counts (a, n) before postings.
+    """_SUMMED (per slice of documents: places, links with the highest count and sums of counts, 64 bits each) from rows
+    (b, a, n, slice, places, ids, times) sorted by b and share, pair counts (a, n) before postings.
 
     Counts of one B id at a time are kept from batch to batch. A task combines the contributions of COMBINED postings."""
 
@@ -301,36 +316,55 @@ def _contributions(stream: DataFrame) -> DataFrame:
 
         def combined() -> pa.RecordBatch:
             found, sums = _sums(rows, best, total)
-            return _batch("row long, n_best long, count_sum long", {"row": found, "n_best": sums[0], "count_sum": sums[1]})
+            cuts = np.flatnonzero(np.diff(found >> 16, prepend=-1))
+            return _batch(_SUMMED, {"slice": found[cuts] >> 16, "places": _binary(found & 0xFFFF, cuts), "best": _binary(sums[0], cuts, "<i8"), "total": _binary(sums[1], cuts, "<i8")})
 
         for batch in batches:
             b = batch.column(0).to_numpy().astype(np.int64)
-            pair = np.asarray(batch.column(1).is_valid())
-            known = np.concatenate([known, b[pair] << 16 | batch.column(1).filter(pa.array(pair)).to_numpy()])
-            counts = np.concatenate([counts, batch.column(2).filter(pa.array(pair)).to_numpy()])
+            pair = batch.column(1).is_valid()
+            here = np.asarray(pair)
+            known = np.concatenate([known, b[here] << 16 | batch.column(1).filter(pair).to_numpy()])
+            counts = np.concatenate([counts, batch.column(2).filter(pair).to_numpy()])
             known, first = np.unique(known, return_index=True)
             counts = counts[first]
-            blocks = batch.filter(pa.array(~pair))
+            blocks = batch.filter(pc.invert(pair))
             if len(blocks):
                 of = known >> 16
                 cuts = np.flatnonzero(np.diff(of, prepend=-1))
                 most = np.maximum.reduceat(counts, cuts)[np.searchsorted(of[cuts], of)]
                 places, ids, m = (_numbers(blocks.column(k)) for k in (4, 5, 6))
-                size = np.array([len(x) // 2 for x in blocks.column(4).to_pylist()])
-                at = np.searchsorted(known, np.repeat(b[~pair] << 16, size) | ids)
-                rows.append(np.repeat(blocks.column(3).to_numpy(), size) + places)
+                size = _sizes(blocks.column(4))
+                at = np.searchsorted(known, np.repeat(b[~here] << 16, size) | ids)
+                rows.append(np.repeat(blocks.column(3).to_numpy() << 16, size) | places)
                 best.append(m * (counts[at] == most[at]))
                 total.append(m * counts[at])
                 held += len(at)
-            keep_last = known >> 16 == b[-1]
-            known, counts = known[keep_last], counts[keep_last]
+            last = known >> 16 == b[-1]
+            known, counts = known[last], counts[last]
             if held > COMBINED:
                 yield combined()
                 rows, best, total, held = [], [], [], 0
         if held:
             yield combined()
 
-    return stream.mapInArrow(run, "row long, n_best long, count_sum long")
+    return stream.mapInArrow(run, _SUMMED)
+
+
+def _by_document(contributions: DataFrame) -> DataFrame:
+    """row, n_best, count_sum: the sums by document, slice by slice out of sorted partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = "row long, n_best long, count_sum long"
+        keys, best, total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            rows = np.repeat(batch.column(0).to_numpy() << 16, _sizes(batch.column(1))) | _numbers(batch.column(1))
+            keys, (best, total) = _sums([keys, rows], [best, _numbers(batch.column(2), "<i8")], [total, _numbers(batch.column(3), "<i8")])
+            done = int(np.searchsorted(keys, batch.column(0)[-1].as_py() << 16))
+            yield _batch(schema, {"row": keys[:done], "n_best": best[:done], "count_sum": total[:done]})
+            keys, best, total = keys[done:], best[done:], total[done:]
+        yield _batch(schema, {"row": keys, "n_best": best, "count_sum": total})
+
+    return contributions.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "row long, n_best long, count_sum long")
 
 
 def align(docs: DataFrame, key: str = "doc_id", text: str = "text", side_a: str = SIDE_A, side_b: str = SIDE_B, share: int = SHARE, with_groups: bool = True) -> DataFrame:
@@ -354,11 +388,11 @@ def align(docs: DataFrame, key: str = "doc_id", text: str = "text", side_a: str
     pairs = spark.read.schema(_PAIRS).parquet(f"{folder}/pairs")
     # As many rows as side B has ids at most, so they can be broadcast.
     shares = F.broadcast(pairs.groupBy("b").agg(F.ceil(F.sum("postings") / share).cast("int").alias("shares")).where("shares > 1"))
-    dealt = postings.join(shares, "b", "left").withColumn("share", F.pmod(F.xxhash64("base"), F.coalesce("shares", F.lit(1))).cast("int"))
+    dealt = postings.join(shares, "b", "left").withColumn("share", F.pmod(F.xxhash64("slice"), F.coalesce("shares", F.lit(1))).cast("int"))
     counted = pairs.join(shares, "b", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)))
     stream = dealt.unionByName(counted, allowMissingColumns=True).repartition("b", "share").sortWithinPartitions("b", "share", F.col("a").asc_nulls_last())
-    stream = stream.select("b", "a", "n", "base", "places", "ids", "times")
-    sums = _contributions(stream).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    stream = stream.select("b", "a", "n", "slice", "places", "ids", "times")
+    sums = _by_document(_contributions(stream))
     figures = ["n_a", "n_b", "n_groups", "n_links"]
     out = made.where("b IS NULL").select("row", "doc_id", *figures, "groups_sha256", *["groups"] * with_groups).join(sums, "row", "left")
     return out.select(F.col("doc_id").alias(key), *figures, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")], "groups_sha256", *["groups"] * with_groups)
