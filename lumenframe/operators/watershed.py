@@ -34,7 +34,7 @@ def _spread(pixels: DataFrame, level: DataFrame) -> DataFrame:
         done = cut_lineage(done.unionByName(front))
 
 
-def _jumped(pointers: DataFrame) -> DataFrame:
+def jumped(pointers: DataFrame) -> DataFrame:
     """image_id, p, root: where pointers (p, to; roots point to themselves) lead, by doubling."""
     pointers = cut_lineage(pointers)
     while True:
@@ -45,7 +45,7 @@ def _jumped(pointers: DataFrame) -> DataFrame:
             return pointers.withColumnRenamed("to", "root")
 
 
-def _joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """image_id, p, root: the smallest node of each component. Each round points every component's root to the smallest root
     beside it, and jumps to the end of these pointers."""
     roots = nodes.select("image_id", "p", F.col("p").alias("root"))
@@ -56,7 +56,7 @@ def _joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if hooks.isEmpty():
             return roots
         every = roots.where("p = root").select("image_id", "p").join(hooks, ["image_id", "p"], "left").select("image_id", "p", F.coalesce("to", "p").alias("to"))
-        ends = _jumped(every).select("image_id", F.col("p").alias("root"), F.col("root").alias("end"))
+        ends = jumped(every).select("image_id", F.col("p").alias("root"), F.col("root").alias("end"))
         roots = cut_lineage(roots.join(ends, ["image_id", "root"]).select("image_id", "p", F.col("end").alias("root")))
 
 
@@ -76,10 +76,10 @@ def watershed(df: DataFrame) -> DataFrame:
     side = made.select("image_id", F.col("p").alias("q"), F.col("dist").alias("to_dist"))
     edges = cut_lineage(_edges(df).join(made.select("image_id", "p", "dist"), ["image_id", "p"]).join(side, ["image_id", "q"]))
     minima = made.where("dist = 0").select("image_id", "p")
-    basins = _joined(cut_lineage(minima), cut_lineage(edges.where("u = v AND dist = 0").select("image_id", "p", "q")))
+    basins = joined(cut_lineage(minima), cut_lineage(edges.where("u = v AND dist = 0").select("image_id", "p", "q")))
     parents = cut_lineage(edges.where("u < v OR (u = v AND to_dist < dist)").select("image_id", "p", "q"))
     down = parents.groupBy("image_id", "p").agg(F.min("q").alias("to"))
-    roots = cut_lineage(_jumped(down.unionByName(basins.select("image_id", "p", F.col("root").alias("to")))))
+    roots = cut_lineage(jumped(down.unionByName(basins.select("image_id", "p", F.col("root").alias("to")))))
     # A ridge begins where parents differ, and what lies above it belongs to it.
     end = lambda c: roots.select("image_id", F.col("p").alias(c), F.col("root").alias(f"root_{c}"))
     split = parents.join(end("p"), ["image_id", "p"]).join(end("q"), ["image_id", "q"]).where("root_p <> root_q").select("image_id", "p").distinct()
