@@ -55,7 +55,11 @@ MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article(?:[_-]?body)?|main|post(?:[_-]?
 # An open p ends where a block begins; an open li, dd, dt, option, tr, td or th where another begins.
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"/?([A-Za-z][^\s/>\"'<]*)")
+_SPECIAL = re.compile(r"[>\"']")
+# Inline elements whose end tag reaches no further than into these.
+INLINE = frozenset(("p", "b", "i", "span", "a", "em", "strong"))
+BARRIERS = frozenset(("article", "main", "td", "body"))
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 
@@ -76,48 +80,132 @@ def _zone(tag: str, attributes: str, above: str) -> str:
     return above
 
 
+class _Tags:
+    """Where the tags of a page end, in time that grows with the page whatever it holds: what was found is kept for the
+    positions that follow."""
+
+    def __init__(self, page: str):
+        self.page, self.ends = page, {}  # of quotes outside quotes: the end of the tag they stand in
+        self.next: dict[str, tuple[int, int]] = {}
+
+    def find(self, what: str, at: int) -> int:
+        """page.find(what, at); positions asked for must not fall."""
+        asked, found = self.next.get(what, (-1, -2))
+        if found == -2 or (found >= 0 and found < at):
+            asked, found = at, self.page.find(what, at)
+            self.next[what] = (asked, found)
+        return found
+
+    def special(self, at: int) -> int:
+        """The next > or quote; positions asked for must not fall."""
+        asked, found = self.next.get("", (-1, -2))
+        if found == -2 or (found >= 0 and found < at):
+            m = _SPECIAL.search(self.page, at)
+            found = m.start() if m else -1
+            self.next[""] = (at, found)
+        return found
+
+    def end(self, at: int) -> int:
+        """Where the first > outside quotes is from `at` on, or -1."""
+        page, passed, k = self.page, [], self.special(at)
+        while k >= 0 and page[k] != ">" and k not in self.ends:
+            passed.append(k)
+            close = page.find(page[k], k + 1)
+            m = _SPECIAL.search(page, close + 1) if close >= 0 else None
+            k = m.start() if m else -1
+        k = self.ends.get(k, k)
+        self.ends.update(dict.fromkeys(passed, k))
+        return k
+
+
+class _Open:
+    """The open elements and their zones, with the places of each name, of blocks and of barriers, so that no tag walks
+    through elements that it doesn't end."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.zones: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.barriers: list[int] = []
+
+    def zone(self) -> str:
+        return self.zones[-1] if self.zones else "open"
+
+    def push(self, tag: str, zone: str) -> None:
+        k = len(self.tags)
+        self.tags.append(tag)
+        self.zones.append(zone)
+        self.places.setdefault(tag, []).append(k)
+        if tag in BLOCKS:
+            self.blocks.append(k)
+        if tag in BARRIERS:
+            self.barriers.append(k)
+
+    def cut(self, k: int) -> None:
+        """Ends the elements from place k on."""
+        while len(self.tags) > k:
+            self.places[self.tags.pop()].pop()
+            self.zones.pop()
+        for places in (self.blocks, self.barriers):
+            while places and places[-1] >= k:
+                places.pop()
+
+
 def blocks(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of the blocks of a page in order: references decoded, white space one space, trimmed, not empty."""
+    """(zone, text) of the blocks of a page in order: references decoded, white space one space, trimmed, not empty.
+
+    A < that begins no tag (nothing ends it outside quotes) is text.
+    """
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # open elements and their zones
+    stack, tags = _Open(), _Tags(page)
     parts: list[str] = []
-    at = 0
-
-    def zone() -> str:
-        return stack[-1][1] if stack else "open"
+    ends: dict[str, tuple[int, int]] = {}  # of elements with raw content: the next end tag
+    at = seen = 0
 
     def close_block() -> None:
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append((zone(), text))
-
-    def pop_to(k: int) -> None:
-        if any(t in BLOCKS for t, _ in stack[k:]):
-            close_block()
-        del stack[k:]
+            out.append((stack.zone(), text))
 
     while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            parts.append(page[at:])
+        k = page.find("<", seen)
+        if k < 0:
             break
-        parts.append(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if page.startswith(("<!", "<?"), k):
+            comment = page.startswith("<!--", k)
+            end = tags.find("-->", k + 4) if comment else tags.find(">", k + 2)
+            if end < 0 and not comment:
+                seen = k + 1
+                continue
+            parts.append(page[at:k])
+            at = seen = len(page) if end < 0 else end + (3 if comment else 1)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in ("article", "main", "td", "body") and tag in ("p", "b", "i", "span", "a", "em", "strong"):
-                    break
+        m = _NAME.match(page, k + 1)
+        end = tags.end(m.end()) if m else -1
+        if end < 0:
+            seen = k + 1
+            continue
+        parts.append(page[at:k])
+        at = seen = end + 1
+        tag, attributes = m[1].lower(), page[m.end() : end]
+        if page[k + 1] == "/":
+            place = stack.places.get(tag)
+            if place and not (tag in INLINE and stack.barriers and stack.barriers[-1] > place[-1]):
+                if stack.blocks and stack.blocks[-1] >= place[-1]:
+                    close_block()
+                stack.cut(place[-1])
             continue
         if tag in RAW:  # its content isn't text of the page
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else (len(page) if tag in ("script", "style", "title", "textarea") else at)
+            found = ends.get(tag)
+            if found is None or 0 <= found[0] < at:
+                e = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                found = ends[tag] = e.span() if e else (-1, -1)
+            if found[0] >= 0:
+                at = seen = found[1]
+            elif tag in ("script", "style", "title", "textarea"):
+                at = seen = len(page)
             continue
         if tag == "br":
             parts.append(" ")
@@ -128,19 +216,17 @@ def blocks(page: str) -> list[tuple[str, str]]:
             continue
         if tag in BLOCKS:
             close_block()
-            for k in range(len(stack) - 1, -1, -1):  # elements that a block ends without saying so
-                t = stack[k][0]
-                if t == "p":
-                    del stack[k:]
+            while stack.blocks:  # elements that a block ends without saying so
+                place = stack.blocks[-1]
+                t = stack.tags[place]
+                if t != "p" and t not in SAME_ENDS.get(tag, ()):
                     break
-                if t in SAME_ENDS.get(tag, ()):
-                    del stack[k:]
-                    if tag != "tr":
-                        break
-                elif t in BLOCKS:
+                stack.cut(place)
+                if t == "p" or tag != "tr":
                     break
-        if not m[3].rstrip().endswith("/"):
-            stack.append((tag, _zone(tag, m[3], zone())))
+        if not attributes.rstrip().endswith("/"):
+            stack.push(tag, _zone(tag, attributes, stack.zone()))
+    parts.append(page[at:])
     close_block()
     return out
 

@@ -28,7 +28,7 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents per language that the models learn from, those with the smallest hashes.
 SAMPLE_PER_LANGUAGE = 800
 ROUNDS = 3
-#: Words up to here are scored without rescaling; longer ones aren't learned from.
+#: Words up to here are scored without rescaling, many of one length at a time; longer ones in other ways, with the same sums.
 DIRECT_BYTES = 32
 #: Words and positions of longer words whose pieces are looked up at a time.
 LONG_WORDS, LONG_STEP = 256, 256
@@ -98,11 +98,14 @@ class Segmenter:
         return alpha
 
     def expected(self, words: list[bytes], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Expected number of each piece by language, in MASS_UNITs, for words of up to DIRECT_BYTES seen
-        counts[word, language] times."""
+        """Expected number of each piece by language, in MASS_UNITs, for words seen counts[word, language] times."""
         out = np.zeros((self.n + 1, p.shape[1]))
-        for which, table in self.lattices(words):
-            n, size = table[0].shape
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        for k in np.flatnonzero(length > DIRECT_BYTES).tolist():
+            out += self._expected_long(words[k], counts[k], p)
+        short = np.flatnonzero(length <= DIRECT_BYTES)
+        for which, table in self.lattices([words[k] for k in short.tolist()]):
+            which, (n, size) = short[which], table[0].shape
             alpha = self.forward(table, p)
             beta = np.zeros_like(alpha)
             beta[size] = 1
@@ -117,6 +120,37 @@ class Segmenter:
                         out[:, k] += np.bincount(at[:, i], mass[:, k], self.n + 1)
         return out
 
+    def _expected_long(self, word: bytes, counts: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """expected() of one word of any length, in logarithms, position by position forward and backward."""
+        raw, size, most = np.frombuffer(word, np.uint8), len(word), min(self.longest, len(word))
+        table = np.full((most, size), self.n, np.int32)
+        for k in range(1, most + 1):
+            starts = np.arange(size - k + 1)
+            found = self.store.find(range_hashes(raw, starts, starts + k))
+            table[k - 1, : len(starts)] = np.where(found < 0, self.n, found)
+        with np.errstate(divide="ignore"):
+            log_p = np.log(p)
+        ahead, behind = np.zeros((size + 1, p.shape[1])), np.zeros((size + 1, p.shape[1]))
+        steps = np.arange(1, most + 1)
+
+        def summed(terms: np.ndarray) -> np.ndarray:  # every byte is a piece, so one term is finite at least
+            top = terms.max(axis=0)
+            return top + np.log(np.exp(terms - top).sum(axis=0))
+
+        for j in range(1, size + 1):
+            k = steps[: min(j, most)]
+            ahead[j] = summed(ahead[j - k] + log_p[table[k - 1, j - k]])
+        for i in range(size - 1, -1, -1):
+            k = steps[: min(size - i, most)]
+            behind[i] = summed(behind[i + k] + log_p[table[k - 1, i]])
+        out = np.zeros((self.n + 1, p.shape[1]))
+        for k in steps.tolist():
+            at = table[k - 1, : size - k + 1]
+            mass = np.rint(np.exp(ahead[: size - k + 1] + log_p[at] + behind[k:] - ahead[size]) * counts / MASS_UNIT)
+            for lang in range(p.shape[1]):
+                out[:, lang] += np.bincount(at, mass[:, lang], self.n + 1)
+        return out
+
     def log_probabilities(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
         out = np.zeros((len(words), p.shape[1]), np.float32)
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -238,8 +272,6 @@ def training_words(docs: DataFrame, key: str, text: str, lang: str, most: int) -
             langs, counts = b.column(0).to_pylist(), {}
             for lo, _, raw, offsets in slices(pc.utf8_lower(b.column(1))):
                 starts, ends, row = word_bounds(raw, offsets, NOT_LETTER)
-                short = ends - starts <= DIRECT_BYTES
-                starts, ends, row = starts[short], ends[short], row[short]
                 data = raw.tobytes()
                 for a, z, r in zip(starts.tolist(), ends.tolist(), row.tolist(), strict=True):
                     k = (langs[lo + r], data[a:z])

@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.langid import NOT_LETTER, in_training
-from lumenframe.llm.session import bounded_batches
+from lumenframe.llm.session import bounded_batches, checkpointed
 from lumenframe.llm.text import mix64, range_hashes, slices, word_bounds
 
 #: Labelled rows that the scores are learned from, those with the smallest hashes.
 SAMPLE_LABELS = 20_000
 #: Distinct words that a counting task holds before it takes them apart.
 HELD_WORDS = 1 << 17
+#: Trigrams that the character model has a cost of its own for, the most frequent of all texts: a bound on what the driver
+#: gathers and broadcasts. Others, and characters beyond as many, cost what the back-off says.
+MODEL_GRAMS = 1 << 19
 THRESHOLD = 0.7
 #: Labelled texts that each feature has beforehand, at the base rate.
 PRIOR_TEXTS = 3
@@ -60,16 +63,22 @@ _WIDE[0xC2], _WIDE[0xCA:] = True, True
 
 
 class CharacterModel:
-    """Trigram costs of characters within words; ^ begins and $ ends a word."""
-
-    def __init__(self, counts: dict[str, int]):
-        context: dict[str, int] = {}
-        single: dict[str, int] = {}
-        for gram, n in counts.items():
-            context[gram[:2]] = context.get(gram[:2], 0) + n
-            single[gram[2]] = single.get(gram[2], 0) + n
-        total = sum(single.values()) or 1
-        self.costs = {g: -math.log(0.95 * n / context[g[:2]] + 0.05 * single[g[2]] / total) for g, n in counts.items()}
+    """Trigram costs of characters within words; ^ begins and $ ends a word. A trigram that isn't among the counts has the
+    cost of its last character.
+
+    counts may be those of the most frequent trigrams only: then context and single have the sums over all trigrams, by their first
+    two characters and by their last one, and total that of all.
+    """
+
+    def __init__(self, counts: dict[str, int], context: dict[str, int] | None = None, single: dict[str, int] | None = None, total: int = 0):
+        if context is None or single is None:
+            context, single = {}, {}
+            for gram, n in counts.items():
+                context[gram[:2]] = context.get(gram[:2], 0) + n
+                single[gram[2]] = single.get(gram[2], 0) + n
+            total = sum(single.values())
+        total = total or 1
+        self.costs = {g: -math.log(0.95 * n / context[g[:2]] + 0.05 * single.get(g[2], 0) / total) for g, n in counts.items()}
         self.single = {c: -math.log(0.05 * n / total) for c, n in single.items()}
 
     def cost(self, state: str, c: str) -> float:
@@ -230,8 +239,8 @@ def features(raw: np.ndarray, offsets: np.ndarray, longest: int = 0) -> tuple[np
     return np.concatenate(rows), np.concatenate(out), own, words
 
 
-def _character_counts(docs: DataFrame) -> dict[str, int]:
-    """How often each trigram of characters occurs in the words of all texts that are letters only."""
+def _character_counts(docs: DataFrame) -> DataFrame:
+    """gram, n: how often each trigram of characters occurs in the words of all texts that are letters only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
@@ -266,8 +275,19 @@ def _character_counts(docs: DataFrame) -> dict[str, int]:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["gram", "n"])
 
-    got = docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(got["gram"].to_pylist(), got["n"].to_pylist(), strict=True))
+    return docs.select("text").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def character_model(docs: DataFrame, most: int = MODEL_GRAMS) -> CharacterModel:
+    """The model of all texts, with a cost of its own for each of the `most` most frequent trigrams (ties in their order)."""
+    grams = checkpointed(_character_counts(docs))
+    top = grams.orderBy(F.desc("n"), "gram").limit(most).withColumn("context", F.substring("gram", 1, 2))
+    sums = grams.groupBy(F.substring("gram", 1, 2).alias("context")).agg(F.sum("n").alias("of"))
+    rows = top.join(sums, "context").select("gram", "n", "context", "of").toArrow()  # `most` rows at most
+    last = grams.groupBy(F.substring("gram", 3, 1).alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(most).toArrow()
+    columns = [rows[c].to_pylist() for c in ("gram", "n", "context", "of")]
+    single = dict(zip(last["c"].to_pylist(), last["n"].to_pylist(), strict=True))
+    return CharacterModel(dict(zip(columns[0], columns[1], strict=True)), dict(zip(columns[2], columns[3], strict=True)), single, grams.agg(F.sum("n")).first()[0] or 0)
 
 
 class Evidence:
@@ -332,7 +352,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
     rows = docs.where(in_training(F.col(key)) & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     known = labels.where(F.col(label).isNotNull() & in_training(F.col(key))).groupBy(F.col(key).alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most)
-    model = CharacterModel(_character_counts(docs.select(F.col(text).alias("text"))))
+    model = character_model(docs.select(F.col(text).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, bytes] = {}

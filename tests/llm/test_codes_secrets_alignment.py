@@ -254,3 +254,80 @@ def test_pipeline_leaves_held_results_alone(spark, table, tmp_path):
     held = vector_codes.compress(vectors_of(spark, [(k, [k / 8] * 8, k % 2) for k in range(20)]))
     corpus_pipeline.run(spark, str(folder)).count()
     assert held.count() == 20
+
+
+# Repairs of earlier operators ----------------------------------------------------------------------------------
+
+
+def test_expected_counts_of_long_words_are_those_of_short_ones():
+    from lumenframe.llm import langid
+
+    s = langid.segmenter()
+    draw = np.random.default_rng(3)
+    p = draw.random((s.n + 1, 3)) + 0.01
+    p[-1] = 0
+    p /= p.sum(axis=0)
+    for word in (b"international", b"a", "größere".encode()):
+        counts = np.array([3.0, 0.0, 1.0])
+        assert np.abs(s._expected_long(word, counts, p) - s.expected([word], counts[None], p)).max() <= 1
+    long = b"internationalization" * 40
+    found = s.expected([long], np.array([[1.0, 2.0, 0.0]]), p) * langid.MASS_UNIT
+    width = np.array([len(x) for x in langid.pieces()] + [0])
+    assert np.allclose((found * width[:, None]).sum(axis=0), [len(long), 2 * len(long), 0], rtol=1e-3)  # each byte lies in one piece
+    assert np.isfinite(s.expected(["漢字".encode() * 500], np.ones((1, 3)), p)).all()
+
+
+def test_character_model_is_bounded(spark):
+    from lumenframe.llm import toxicity
+
+    docs = spark.createDataFrame([("the cat sat on the mat",), ("die Katze saß",), (None,)], "text string")
+    whole, few = toxicity.character_model(docs), toxicity.character_model(docs, 5)
+    plain = toxicity.CharacterModel({r.gram: r.n for r in toxicity._character_counts(docs).collect()})
+    assert whole.costs == plain.costs and whole.single == plain.single
+    assert len(few.costs) == 5 and all(few.costs[g] == pytest.approx(whole.costs[g], abs=0.3) for g in few.costs)
+    assert few.decode("c4t") == "cat"
+    assert toxicity.character_model(docs.where("false")).costs == {}
+
+
+ODD_PAGES = {
+    "starts of tags": "<a " * 340_000,
+    "open and stray ends": "<b>" * 150_000 + "</i>" * 150_000,
+    "barriers": "<b><article>" + "<i>" * 150_000 + "</b>" * 150_000,
+    "blocks in inline elements": "<b>" * 80_000 + "<div></div>" * 80_000,
+    "open quotes": '<a href="' * 120_000,
+    "quotes of both kinds": "<a x='\"<" * 130_000,
+    "less than": "if a <b and c <d then " * 45_000,
+    "names": "<a" * 500_000,
+    "raw elements without ends": "<option>x<select>" * 60_000,
+    "declarations": "<!x" * 340_000,
+    "questions": "<?x" * 340_000,
+    "attributes": "<p " + "class " * 170_000 + ">text",
+    "lists": "<ul><li>" * 125_000,
+    "rows": "<table>" + "<tr><td>" * 120_000,
+    "one tag of spaces": "<p" + " " * 1_000_000 + ">x",
+    "references": "&amp" * 250_000,
+}
+
+
+@pytest.mark.parametrize("form", ODD_PAGES)
+def test_odd_pages_take_time_in_proportion(form):
+    import time
+
+    from lumenframe.llm.html_extract import blocks
+
+    start = time.time()
+    made = blocks(ODD_PAGES[form])
+    assert time.time() - start < 4  # 1 MB each; about a second on a free core
+    assert all(text for _, text in made)
+
+
+def test_tags_of_pages():
+    from lumenframe.llm.html_extract import blocks
+
+    assert blocks("<p>a < b and c > d<p>1<2") == [("open", "a < b and c > d"), ("open", "1<2")]
+    assert blocks('<div title="x > y">in</div>') == [("open", "in")]
+    assert blocks("<!-- <p>no --><p>yes<!-- rest <p>no") == [("open", "yes")]
+    assert blocks("<article><p>one<div class=ad>no</div><span>two</b></span></article>") == [("main", "one"), ("aside", "no"), ("main", "two")]
+    assert blocks("<script>if (a<b) {}</script>x<style>p>q</style>y<br>z<hr>w") == [("open", "xy z"), ("open", "w")]
+    assert blocks("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table>") == [("open", "a"), ("open", "b"), ("open", "c"), ("open", "d"), ("open", "e")]
+    assert blocks("tail <a href='x") == [("open", "tail <a href='x")]
