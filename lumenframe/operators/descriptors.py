@@ -53,11 +53,17 @@ def gram(df: DataFrame, vector: str) -> DataFrame:
     return df.select(vector).mapInArrow(run, "i long, j long, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
+def in_blocks(base: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row of base with every row of a stated query set, each partition of the one with each of the other: tasks hold
+    a block of queries at a time, however many there are."""
+    return base.crossJoin(queries.hint("shuffle_replicate_nl"))
+
+
 def block_neighbours(queries: DataFrame, base: DataFrame, k: int, distance: Column) -> DataFrame:
-    """The k nearest base rows of each query (columns qid and bid, ties by bid): a stated query set against all rows, by
-    one nested-loop join; partial top-k runs map-side by the window group limit."""
+    """The k nearest base rows of each query (columns qid and bid, ties by bid): a stated query set against all rows, block
+    by block of their partitions (nothing is broadcast); partial top-k runs map-side by the window group limit."""
     order = Window.partitionBy("qid").orderBy("d", "bid")
-    pairs = base.crossJoin(queries).where("qid <> bid").withColumn("d", distance)
+    pairs = in_blocks(base, queries).where("qid <> bid").withColumn("d", distance)
     return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("qid", "bid", "d", "k")
 
 

@@ -70,5 +70,6 @@ def inverse3(m: str = "m", out: str = "n") -> list[tuple[str, str]]:
 
 
 def reversed_bits(value: Column, width: int) -> Column:
-    """The lowest `width` bits of a whole number in the opposite order."""
-    return F.conv(F.reverse(F.lpad(F.right(F.bin(value), F.lit(width)), width, "0")), 2, 10).cast("long")
+    """The lowest `width` bits of a whole number in the opposite order; all 64 of them as text of an unsigned decimal."""
+    made = F.conv(F.reverse(F.lpad(F.right(F.bin(value), F.lit(width)), width, "0")), 2, 10)
+    return made if width > 63 else made.cast("long")

@@ -29,11 +29,8 @@ def png_grey_round_trip(spark, sf_dir):
 @query("io_grey_modes", f"SELECT image_id, x, y, (r + g + b) // 3 AS mean, floor(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b + 0.5::DOUBLE)::INTEGER AS luma, r AS red, g AS green, b AS blue, (r > 0 OR g > 0 OR b > 0)::INTEGER AS bits FROM ({PIXELS_SQL})")
 def grey_modes(spark, sf_dir):
     """The ways to read an image in grey, side by side."""
-    p, out = pixels(spark, sf_dir), None
-    for mode, name in (("mean", "mean"), ("luma", "luma"), ("r", "red"), ("g", "green"), ("b", "blue"), ("binary", "bits")):
-        one = images.grey(p, mode).withColumnRenamed("v", name)
-        out = one if out is None else out.join(one, ["image_id", "x", "y"])
-    return out
+    modes = {"mean": "mean", "luma": "luma", "red": "r", "green": "g", "blue": "b", "bits": "binary"}
+    return pixels(spark, sf_dir).select("image_id", "x", "y", *[images.grey_value(mode).alias(name) for name, mode in modes.items()])
 
 
 @query("io_scaled_to_range", f"WITH m AS (SELECT image_id, min(v) AS low, max(v) AS high FROM ({PIXELS_SQL}) GROUP BY image_id) SELECT image_id, x, y, CASE WHEN high = low THEN 0 ELSE floor((v - low) * 255::DOUBLE / (high - low))::INTEGER END AS v FROM ({PIXELS_SQL}) JOIN m USING (image_id)")
@@ -54,8 +51,7 @@ _STEPS = f"WITH s AS ({_SEGMENTS} FROM ({PIXELS_SQL})), n AS (SELECT *, greatest
 
 
 def _segments(spark, sf_dir):
-    pixels(spark, sf_dir).createOrReplaceTempView("_line_pixels")
-    return spark.sql(f"{_SEGMENTS.replace('INTEGER', 'INT')} FROM _line_pixels")
+    return pixels(spark, sf_dir).selectExpr(*_SEGMENTS.removeprefix("SELECT DISTINCT ").replace("INTEGER", "INT").split(", ")).distinct()
 
 
 @query("io_lines", _STEPS)

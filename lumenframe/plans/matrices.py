@@ -13,9 +13,11 @@ from lumenframe.plans.views import VECTOR
 from lumenframe.sources.derived import POINTS_SQL, table
 from lumenframe.sources.derived import points as point_table
 
-# Entries of two matrices over the line items; quantities are whole numbers.
-A_SQL = "a AS (SELECT (l_suppkey % 50)::INTEGER AS i, (l_partkey % 40)::INTEGER AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL)"
-B_SQL = "b AS (SELECT (l_suppkey % 50)::INTEGER AS i, (l_partkey % 40)::INTEGER AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_linenumber = 3 GROUP BY ALL)"
+# Entries of two matrices over the line items, of even and of odd orders; quantities are whole numbers.
+A_SQL = "a AS (SELECT (l_suppkey % 50)::INTEGER AS i, (l_partkey % 40)::INTEGER AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY ALL)"
+B_SQL = "b AS (SELECT (l_suppkey % 50)::INTEGER AS i, (l_partkey % 40)::INTEGER AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY ALL)"
+
+ALL_SQL = "a AS (SELECT (l_suppkey % 50)::INTEGER AS i, (l_partkey % 40)::INTEGER AS j, sum(l_quantity::BIGINT)::BIGINT AS v FROM lineitem GROUP BY ALL)"
 
 
 def _matrix(spark, sf_dir, rows: str):
@@ -23,11 +25,15 @@ def _matrix(spark, sf_dir, rows: str):
 
 
 def _a(spark, sf_dir):
-    return _matrix(spark, sf_dir, "l_linenumber <= 2")
+    return _matrix(spark, sf_dir, "l_orderkey % 2 = 0")
 
 
 def _b(spark, sf_dir):
-    return _matrix(spark, sf_dir, "l_linenumber = 3")
+    return _matrix(spark, sf_dir, "l_orderkey % 2 = 1")
+
+
+def _all(spark, sf_dir):
+    return _matrix(spark, sf_dir, "true")
 
 
 @query("matrix_subtract", f"WITH {A_SQL}, {B_SQL} SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) - coalesce(b.v, 0) AS v FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j WHERE coalesce(a.v, 0) <> coalesce(b.v, 0)")
@@ -46,19 +52,19 @@ def pointwise(spark, sf_dir):
     return matrices.pointwise(_a(spark, sf_dir), _b(spark, sf_dir))
 
 
-@query("matrix_summary", f"WITH {A_SQL} SELECT count(*) FILTER (WHERE v <> 0) AS nodes, (sum(v) FILTER (WHERE i = j))::DOUBLE AS trace, round(sqrt(sum(v::DOUBLE * v)), 5) AS norm FROM a")
+@query("matrix_summary", f"WITH {ALL_SQL} SELECT count(*) FILTER (WHERE v <> 0) AS nodes, (sum(v) FILTER (WHERE i = j))::DOUBLE AS trace, round(sqrt(sum(v::DOUBLE * v)), 5) AS norm FROM a")
 def summary(spark, sf_dir):
-    return matrices.summary(_a(spark, sf_dir)).withColumn("norm", F.round("norm", 5))
+    return matrices.summary(_all(spark, sf_dir)).withColumn("norm", F.round("norm", 5))
 
 
-@query("matrix_column_sums", f"WITH {A_SQL} SELECT j, sum(v)::BIGINT AS v FROM a GROUP BY j")
+@query("matrix_column_sums", f"WITH {ALL_SQL} SELECT j, sum(v)::BIGINT AS v FROM a GROUP BY j")
 def sums(spark, sf_dir):
-    return matrices.column_sums(_a(spark, sf_dir))
+    return matrices.column_sums(_all(spark, sf_dir))
 
 
-@query("matrix_row_repeated", f"WITH {A_SQL} SELECT r::INTEGER AS i, (j + 40 * c)::INTEGER AS j, v FROM a CROSS JOIN range(3) x(r) CROSS JOIN range(2) y(c) WHERE i = 7")
+@query("matrix_row_repeated", f"WITH {ALL_SQL} SELECT r::INTEGER AS i, (j + 40 * c)::INTEGER AS j, v FROM a CROSS JOIN range(3) x(r) CROSS JOIN range(2) y(c) WHERE i = 7")
 def row_repeated(spark, sf_dir):
-    return matrices.row_repeated(_a(spark, sf_dir), 7, 3, 2, 40)
+    return matrices.row_repeated(_all(spark, sf_dir), 7, 3, 2, 40)
 
 
 @query("matrix_equal_within", f"WITH {A_SQL}, {B_SQL}, d AS (SELECT abs(coalesce(a.v, 0) - coalesce(b.v, 0)) AS d FROM a FULL JOIN b ON a.i = b.i AND a.j = b.j) SELECT max(d) <= 20 AS equal, max(d)::DOUBLE AS gap FROM d")
@@ -75,9 +81,10 @@ _SERIES: Steps = [("number", "0.5e0 + (i % 100) * 1e-2"), ("d", "number - 1e0"),
 scalar("math_log_series", _SERIES, ["series"])
 
 
-@query("bits_reversed", "SELECT o_orderkey AS id, list_sum([((o_orderkey >> k) & 1) << (15 - k) for k in range(16)])::BIGINT AS reversed FROM orders")
+@query("bits_reversed", "SELECT o_orderkey AS id, list_sum([(((o_orderkey >> k) & 1)::HUGEINT << (63 - k)) for k in range(64)])::HUGEINT::VARCHAR AS reversed FROM orders")
 def reversed_bits(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), matrices.reversed_bits(F.col("o_orderkey"), 16).alias("reversed"))
+    """All 64 bits of the keys, as unsigned decimals."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), matrices.reversed_bits(F.col("o_orderkey"), 64).alias("reversed"))
 
 
 # Rotations: unit quaternions of principal axes, vectors as axis and angle, angles of z-x-y rotations, displacement of two.

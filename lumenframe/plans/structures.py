@@ -90,7 +90,7 @@ def knn_cosine(spark, sf_dir):
 def hamming(spark, sf_dir):
     c = descriptors.sign_codes(table(spark, sf_dir, "embeddings"), "embedding", 60)
     q = c.where("vec_id % 100 = 0").selectExpr("vec_id AS qid", "code AS qc")
-    return c.selectExpr("vec_id AS bid", "code").crossJoin(q).where("qid <> bid").select("qid", "bid", descriptors.hamming("code", "qc").alias("d"))
+    return descriptors.in_blocks(c.selectExpr("vec_id AS bid", "code"), q).where("qid <> bid").select("qid", "bid", descriptors.hamming("code", "qc").alias("d"))
 
 
 @query("match_ratio_test", f"WITH {_Q}, d AS (SELECT qid, bid, {_SSD} AS d FROM q CROSS JOIN b WHERE qid <> bid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, bid) AS k FROM d), m AS (SELECT qid, max(bid) FILTER (WHERE k = 1) AS bid, max(d) FILTER (WHERE k = 1) AS d, max(d) FILTER (WHERE k = 2) AS s FROM r GROUP BY qid), g AS (SELECT *, row_number() OVER (PARTITION BY bid ORDER BY d, qid) AS n FROM m WHERE d < 0.985::DOUBLE * s) SELECT qid, bid, round(d, 5) AS d FROM g WHERE n = 1")

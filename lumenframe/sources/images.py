@@ -44,10 +44,15 @@ def to_pixels(images: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "n_channels", "data").mapInArrow(run, PIXEL_SCHEMA)
 
 
-def grey(pixels: DataFrame, mode: str = "mean") -> DataFrame:
-    """Grey values: 'mean' (truncated), 'luma' (rounded), 'r', 'g', 'b', or 'binary' (0 where all channels are 0)."""
+def grey_value(mode: str = "mean"):
+    """Grey value of r, g, b: 'mean' (truncated), 'luma' (rounded), 'r', 'g', 'b', or 'binary' (0 where all channels are 0)."""
     forms = {"mean": "CAST(floor((r + g + b) / 3) AS INT)", "luma": "CAST(floor(0.2126D * r + 0.7152D * g + 0.0722D * b + 0.5D) AS INT)", "r": "r", "g": "g", "b": "b", "binary": "CASE WHEN r + g + b = 0 THEN 0 ELSE 1 END"}
-    return pixels.select("image_id", "x", "y", F.expr(forms[mode]).alias("v"))
+    return F.expr(forms[mode])
+
+
+def grey(pixels: DataFrame, mode: str = "mean") -> DataFrame:
+    """Images in grey, see grey_value()."""
+    return pixels.select("image_id", "x", "y", grey_value(mode).alias("v"))
 
 
 def png(a: np.ndarray) -> bytes:
