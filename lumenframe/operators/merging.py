@@ -32,7 +32,8 @@ def spanning_forest(edges: DataFrame, by: str = "image_id") -> tuple[DataFrame,
         side = lambda c: roots.select(F.col("image_id").alias(by), F.col("p").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
         moved = left.join(side("ca"), [by, "ca"]).join(side("cb"), [by, "cb"]).where("root_ca <> root_cb")
         left = cut_lineage(moved.select(by, "a", "b", "weight", F.col("root_ca").alias("ca"), F.col("root_cb").alias("cb")))
-        nodes = nodes.join(side("root"), [by, "root"]).select(by, "label", F.col("root_root").alias("root"))
+        # Components that have no edge left are whole.
+        nodes = nodes.join(side("root"), [by, "root"], "left").select(by, "label", F.coalesce("root_root", "root").alias("root"))
     names = nodes.groupBy(by, "root").agg(F.min("label").alias("merged"))
     return forest, nodes.join(names, [by, "root"]).select(by, "label", "merged")
 
