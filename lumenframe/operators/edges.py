@@ -130,35 +130,29 @@ def without_single_labels(df: DataFrame, label: str = "label") -> DataFrame:
     return near.withColumn("relabelled", F.when(alone, F.array_min("_s")["label"]).otherwise(F.col(label))).drop("_p", "_s", *raster.AROUND)
 
 
-def window_of(by: str, order: str, forward: bool) -> Window:
-    """Everything up to a row, or from it on."""
-    w = Window.partitionBy("image_id", by).orderBy(order)
-    return w.rowsBetween(Window.unboundedPreceding, 0) if forward else w.rowsBetween(0, Window.unboundedFollowing)
-
-
 def otsu_2d(df: DataFrame, bins: int, value: str = "v") -> DataFrame:
     """(image_id, s, t, threshold): the bins of value and of 3 x 3 mean that part an image's pixels best.
 
     Classes are the pixels below both bins and those from both on; the trace of the matrix between them decides, of equal
-    ones the first (s, t). The threshold is the middle of bin s. An image needs bins^2 rows, however many pixels it has.
+    ones the first (s, t). The threshold is the middle of bin s. An image needs bins^2 counts in one array, however many pixels it has.
     """
     near = raster.box(df.select(*PIXEL, value), 1, value)
     ends = near.groupBy("image_id").agg(F.min(value).alias("lo"), (F.max(value) - F.min(value) + 1).alias("range"))
     binned = near.join(ends, "image_id").selectExpr("image_id", "lo", "range", f"CAST((({value} - lo) * {bins}) div range AS INT) AS i", f"CAST(((box_sum - lo * box_n) * {bins}) div (box_n * range) AS INT) AS j")
-    counts = binned.groupBy("image_id", "i", "j").agg(F.count("*").alias("n"))
-    every = F.sequence(F.lit(0), F.lit(bins - 1))
-    grid = ends.withColumn("i", F.explode(every)).withColumn("j", F.explode(every)).join(counts, ["image_id", "i", "j"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "ni": F.expr("coalesce(n, 0) * i"), "nj": F.expr("coalesce(n, 0) * j")})
-    sums = {"n": "w", "ni": "a", "nj": "b"}
-    grid = grid.withColumns({f"_{new}{k}": F.sum(c).over(window_of("i", "j", k == 0)) for c, new in sums.items() for k in (0, 1)})
-    grid = grid.withColumns({f"{new}{k}": F.sum(f"_{new}{k}").over(window_of("j", "i", k == 0)) for new in sums.values() for k in (0, 1)})
+    counts = binned.groupBy("image_id", "i", "j").agg(F.count("*").alias("n"), F.first("lo").alias("lo"), F.first("range").alias("range"))
+    listed = counts.groupBy("image_id").agg(
+        F.collect_list(F.struct("i", "j", "n")).alias("cells"), F.first("lo").alias("lo"), F.first("range").alias("range"), F.sum("n").alias("_n"), F.sum(F.expr("n * i")).alias("_a"), F.sum(F.expr("n * j")).alias("_b")
+    )
+    each = listed.withColumn("c", F.explode("cells"))
+    added = "named_struct('w', 0L, 'a', 0L, 'b', 0L), (s, q) -> named_struct('w', s.w + q.n, 'a', s.a + q.n * q.i, 'b', s.b + q.n * q.j)"
     # The lower class ends one bin before (s, t), at bin 0 for the first ones.
-    grid = grid.withColumns({f"p{new}": F.coalesce(F.lag(f"{new}0").over(Window.partitionBy("image_id", "i").orderBy("j")), F.col(f"{new}0")) for new in sums.values()})
-    grid = grid.withColumns({f"q{new}": F.coalesce(F.lag(f"p{new}").over(Window.partitionBy("image_id", "j").orderBy("i")), F.col(f"p{new}")) for new in sums.values()})
-    whole = Window.partitionBy("image_id")
-    grid = grid.withColumns({"_n": F.sum("n").over(whole), "_a": F.sum("ni").over(whole), "_b": F.sum("nj").over(whole)})
-    part = lambda w, a, b: f"CASE WHEN {w} = 0 THEN 0D ELSE {w} / _n * (pow({a} / {w} - _a / _n, 2) + pow({b} / {w} - _b / _n, 2)) END"
-    best = grid.where("n > 0").withColumn("trace", F.expr(f"round({part('qw', 'qa', 'qb')} + {part('w1', 'a1', 'b1')}, 9)"))
-    best = best.groupBy("image_id").agg(F.min(F.struct(-F.col("trace"), "i", "j", "lo", "range")).alias("m"))
+    each = each.withColumns({
+        "q": F.expr(f"aggregate(filter(cells, q -> q.i <= greatest(c.i - 1, 0) AND q.j <= greatest(c.j - 1, 0)), {added})"),
+        "r": F.expr(f"aggregate(filter(cells, q -> q.i >= c.i AND q.j >= c.j), {added})"),
+    })
+    part = lambda x: f"CASE WHEN {x}.w = 0 THEN 0D ELSE {x}.w / _n * (pow({x}.a / {x}.w - _a / _n, 2) + pow({x}.b / {x}.w - _b / _n, 2)) END"
+    best = each.withColumn("trace", F.expr(f"round({part('q')} + {part('r')}, 9)"))
+    best = best.groupBy("image_id").agg(F.min(F.struct(-F.col("trace"), "c.i", "c.j", "lo", "range")).alias("m"))
     return best.select("image_id", F.col("m.i").alias("s"), F.col("m.j").alias("t"), (F.col("m.lo") + (F.col("m.i") + 0.5) * F.col("m.range") / bins).alias("threshold"))
 
 

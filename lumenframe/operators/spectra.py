@@ -49,35 +49,42 @@ def _combined(x: DataFrame, weights: np.ndarray) -> DataFrame:
     return each.groupBy("i", "c").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
-def _orthonormal(x: DataFrame, size: int) -> DataFrame:
-    """The same column space with orthonormal columns; directions that the block doesn't have are left out."""
+def _orthonormal(x: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The same column space with orthonormal columns, and how many; directions that the block doesn't have are columns of 0."""
     for _ in range(2):  # the second pass mends what rounding left
         values, vectors = np.linalg.eigh(_inner(x, x, size))
         keep = values > 1e-13 * values.max()
         weights = np.zeros((size, size))
         weights[:, keep] = vectors[:, keep] / np.sqrt(values[keep])
         x = cut_lineage(_combined(x, weights))
-    return x
+    return x, int(keep.sum())
 
 
-def leading(a: DataFrame, k: int, squarings: int = 6, within: float = 1e-10, most_rounds: int = 30) -> tuple[list[float], DataFrame]:
+def leading(a: DataFrame, k: int, squarings: int = 6, within: float = 1e-10, most_rounds: int = 30, every: bool = True) -> tuple[list[float], DataFrame]:
     """The k eigenvalues of largest size, in descending order of size, and their unit eigenvectors (i, c, x; c numbers them; the first entry that isn't
     near 0 is positive).
 
     The block has twice k columns and starts from values by rule. Rounds end once no value moves by more than `within` of the
-    largest.
+    largest. Where a power leaves fewer than k directions, lower ones are taken instead (unless every is false: then values
+    of the others are 0). A matrix of a lower rank has fewer vectors.
     """
     a = cut_lineage(a)
     n = a.select("i").distinct().count()
     size = min(2 * k + 2, n)
-    power = a
+    powers = [a]
     for _ in range(squarings):
-        power = squared(power)
+        powers.append(squared(powers[-1]))
     starts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda c: (F.pmod(F.xxhash64(F.col("i"), c), F.lit(2001)) - 1000) / 1000.0)
     x = a.select("i").distinct().select("i", F.posexplode(starts).alias("c", "x"))
-    x, last = _orthonormal(x, size), None
+    start, _ = _orthonormal(x, size)
+    while True:
+        power, last = powers[squarings], None
+        x, live = _orthonormal(cut_lineage(product(power, start)), size)
+        if live >= k or not squarings or not every:
+            break
+        squarings //= 2
     for _ in range(most_rounds):
-        x = _orthonormal(cut_lineage(product(power, x)), size)
+        x, _ = _orthonormal(cut_lineage(product(power, x)), size)
         image = cut_lineage(product(a, x))
         h = _inner(x, image, size)
         values, vectors = np.linalg.eigh((h + h.T) / 2)
@@ -112,6 +119,6 @@ def null_space(a: DataFrame, most: int, squarings: int = 14) -> DataFrame:
     if not n:
         return a.select("i", F.lit(0).alias("c"), F.lit(0.0).alias("x"))
     turned = a.select("i", "j", (-F.col("v")).alias("v")).unionByName(sums.select("i", F.col("i").alias("j"), F.lit(float(bound)).alias("v"))).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    values, vectors = leading(turned, min(most, n), squarings)
+    values, vectors = leading(turned, min(most, n), squarings, every=False)
     near = [c for c, v in enumerate(values) if bound - v <= n * 1e-12 * bound]
     return vectors.where(F.col("c").isin(near)) if near else vectors.where("false")

@@ -130,6 +130,7 @@ def lch64(spark, sf_dir):
     return histogram.counts(applied(pixels(spark, sf_dir), [*_LCH, ("bin64", "c8 * 8 + h8")]), "bin64")
 
 
+# Bounds of the colours of the sun's centre.
 _SUN = [*color.hsv(), ("sun", "CASE WHEN r < 15 AND g < 15 AND b < 15 THEN FALSE ELSE (sat < 0.4e0 AND bright > 0.25e0 AND hue <= 0.18e0) OR (sat < 0.05e0 AND bright > 0.95e0) END")]
 
 
@@ -139,6 +140,7 @@ def sun(spark, sf_dir):
     return applied(pixels(spark, sf_dir), _SUN).select("image_id", "x", "y", "sun")
 
 
+# How far channels of grey are off their mean, and how far green is above the others.
 @query("color_group_grey_green", f"WITH l AS ({LABELS_SQL}), m AS (SELECT image_id, label, floor(avg(r) + 0.5)::INTEGER AS r, floor(avg(g) + 0.5)::INTEGER AS g, floor(avg(b) + 0.5)::INTEGER AS b FROM l GROUP BY ALL) SELECT image_id, label, list_max(list_transform([r, g, b], lambda c: abs(c - (r + g + b) // 3))) < 40 AS grey, g - greatest(r, b) >= 8 AS green FROM m")
 def grey_green(spark, sf_dir):
     """Whether the mean colour of a label is grey (all channels less than 40 off their mean) or green (8 above the others)."""

@@ -169,15 +169,24 @@ def mode_color(spark, sf_dir):
 _K = {f"g{s}_{o}": filters.gaussian(s, o) for s in (0.7, 1.0, 2.0) for o in (0, 1, 2)} | {f"b{n}_{o}": filters.binomial(n, o) for n in (2, 4) for o in (0, 1)}
 
 
-@query("kernel_tables", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {len(v)}, round({num(sum(v))}, 9), round({num(max(v))}, 9))" for k, v in _K.items()) + ") t(kernel, taps, total, peak)")
+_KERNELS_SQL = "(VALUES " + ", ".join(f"('{k}', [{', '.join(num(w) for w in v)}])" for k, v in _K.items()) + ") t(kernel, w)"
+
+
+@query("kernel_tables", f"WITH r AS (SELECT image_id, list(v ORDER BY x) AS vs FROM ({PIXELS_SQL}) WHERE y = 16 GROUP BY image_id HAVING count(*) = 32) SELECT image_id, kernel, len(w) AS taps, round(list_sum(w), 9) AS total, round(list_max(w), 9) AS peak, round(list_sum(list_transform(list_zip(w, vs[1:len(w)]), lambda z: z[1] * z[2])), 5) AS response FROM r CROSS JOIN {_KERNELS_SQL}")
 def kernels(spark, sf_dir):
-    rows = spark.createDataFrame([(k, [float(w) for w in v]) for k, v in _K.items()], "kernel string, w array<double>")
-    return rows.select("kernel", F.size("w").alias("taps"), F.round(F.aggregate("w", F.lit(0.0), lambda s, w: s + w), 9).alias("total"), F.round(F.array_max("w"), 9).alias("peak"))
+    """The kernels, and what each makes of the beginning of the middle row of every whole image."""
+    rows = pixels(spark, sf_dir).where("y = 16").groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "v"))), lambda s: s["v"]).alias("vs")).where("size(vs) = 32")
+    kernel = spark.createDataFrame([(k, [float(w) for w in v]) for k, v in _K.items()], "kernel string, w array<double>")  # one row a kernel
+    both = rows.crossJoin(F.broadcast(kernel))
+    response = F.expr("aggregate(zip_with(w, slice(vs, 1, size(w)), (a, b) -> a * b), 0D, (s, t) -> s + t)")
+    return both.select("image_id", "kernel", F.size("w").alias("taps"), F.round(F.aggregate("w", F.lit(0.0), lambda s, w: s + w), 9).alias("total"), F.round(F.array_max("w"), 9).alias("peak"), F.round(response, 5).alias("response"))
 
 
-@query("trig_tables", "SELECT d, round(cos(radians(d)), 9) + 0e0 AS c, round(sin(radians(d)), 9) + 0e0 AS s FROM (SELECT unnest(range(360)) AS d)")
+@query("trig_tables", "SELECT d, count(*) AS n, round(cos(radians(d)), 9) + 0e0 AS c, round(sin(radians(d)), 9) + 0e0 AS s FROM (SELECT o_orderkey % 360 AS d FROM orders) GROUP BY d")
 def trig(spark, sf_dir):
-    return spark.range(360).selectExpr("id AS d", "round(cos(radians(id)), 9) + 0e0 AS c", "round(sin(radians(id)), 9) + 0e0 AS s")
+    """Sines and cosines of the directions (in whole degrees) that the orders' keys have, and how many have them."""
+    found = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey % 360").alias("d")).agg(F.count("*").alias("n"))
+    return found.selectExpr("d", "n", "round(cos(radians(d)), 9) + 0e0 AS c", "round(sin(radians(d)), 9) + 0e0 AS s")
 
 
 _HALTON = [("u", scalars.radical_inverse("i", 2)), ("w", scalars.radical_inverse("i", 3))]

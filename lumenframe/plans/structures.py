@@ -36,6 +36,12 @@ def connected8(spark, sf_dir):
     return graph.connected_per_image(_binary(spark, sf_dir), "v", True, 3)
 
 
+@query("graph_connected_values", _components_sql("abs(p.x - q.x) + abs(p.y - q.y) = 1"))
+def connected_values(spark, sf_dir):
+    """As graph_connected_4, for rasters of any size: the smallest name spreads along runs of rows and columns."""
+    return graph.connected_values(_binary(spark, sf_dir), "v", False, 3)
+
+
 _LB = f"l AS (SELECT image_id, CAST((x // 5) + 7 * (y // 6) + (v // 128) AS INTEGER) AS label, x, y, r, g, b FROM ({PIXELS_SQL}))"
 _ADJ = "adj AS (SELECT DISTINCT p.image_id, least(p.label, q.label) AS a, greatest(p.label, q.label) AS b FROM l p JOIN l q ON p.image_id = q.image_id AND abs(p.x - q.x) + abs(p.y - q.y) = 1 WHERE p.label <> q.label)"
 

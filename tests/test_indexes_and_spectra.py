@@ -153,3 +153,53 @@ def test_kmeans_finds_planted_groups(spark):
     assert all(g.n == 1 and g.m == 100 for g in groups)
     few = spark.createDataFrame([(1, [1.0]), (2, [1.0])], "id long, vector array<double>")
     assert len(clusters.kmeans(few, 4)[0]) == 1 and len(clusters.seeds(few.where("false"), 3)) == 0
+
+
+# Reconstruction ----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("missing", [0, 5])
+def test_affine_reconstruction_puts_points_back(spark, missing):
+    from lumenframe.operators import reconstruction
+
+    draw = np.random.default_rng(7)
+    space, cameras = draw.normal(0, 3, (60, 3)), draw.normal(size=(5, 2, 4))
+    rows = []
+    for v in range(5):
+        for k in range(60):
+            if not missing or (k + v) % missing:
+                x, y = cameras[v, :, :3] @ space[k] + cameras[v, :, 3]
+                rows.append((v, k, float(x), float(y)))
+    if missing:  # points that all views see
+        more = draw.normal(0, 3, (8, 3))
+        rows += [(v, 1000 + k, *map(float, cameras[v, :, :3] @ p + cameras[v, :, 3])) for v in range(5) for k, p in enumerate(more)]
+    seen = spark.createDataFrame(rows, "view int, point long, x double, y double").repartition(3)
+    motion, points = reconstruction.affine(seen)
+    got = reconstruction.errors(reconstruction.reprojected(seen, motion, points)).collect()
+    assert len(got) == 5 and max(r.worst for r in got) < (1e-5 if not missing else 1e-2)
+    # The points are the planted ones but for an affine change of space.
+    made = {r.point: r.s for r in points.collect()}
+    a = np.array([[*made[k], 1.0] for k in range(60)])
+    fitted = a @ np.linalg.lstsq(a, space, rcond=None)[0]
+    assert np.abs(fitted - space).max() < (1e-4 if not missing else 5e-2)
+
+
+# Canonical frames --------------------------------------------------------------------------------------------
+
+
+def test_frames_of_turned_regions_agree(spark):
+    """A long bar with a ramp along it, upright and lying: the same cells but for the frame's direction."""
+    from lumenframe.operators import canonical
+
+    lying = [(1, 0, x, y, 10 * x) for x in range(24) for y in range(6)]
+    upright = [(2, 0, x, y, 10 * y) for x in range(6) for y in range(24)]
+    df = spark.createDataFrame(lying + upright + [(3, 0, 0, 0, 5)], "image_id long, label int, x int, y int, v int").repartition(3)
+    found = {r.image_id: r for r in canonical.frames(df).collect()}
+    assert set(found) == {1, 2} and found[1].theta == pytest.approx(0) and found[2].theta == pytest.approx(math.pi / 2)
+    assert found[1].a == pytest.approx(found[2].a) == pytest.approx(2 * math.sqrt((24**2 - 1) / 12))
+    cells = {}
+    for r in canonical.resampled(canonical.frames(df), df).collect():
+        cells.setdefault(r.image_id, {})[r.cu, r.cv] = r.value
+    assert set(cells[1]) == set(cells[2]) and all(v == pytest.approx(cells[2][k]) for k, v in cells[1].items())
+    blocks = canonical.block_histograms(canonical.resampled(canonical.frames(df), df)).collect()
+    assert {(r.image_id, r.block, r.bin) for r in blocks} == {(i, b, 0) for i in (1, 2) for b in range(4)} and all(r.share == 1 for r in blocks)

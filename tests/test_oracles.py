@@ -11,6 +11,9 @@ NAMES = ["hist_equalize", "threshold_otsu", "color_delta_e2000", "window_box_mea
 NAMES += ["io_png_round_trip", "io_curve_lines", "io_dashed_lines", "rotation_slerp", "epipolar_essential", "view_planar_calibration", "view_essential_pose", "matrix_gram", "join_closest_pair"]
 NAMES += ["threshold_otsu_2d", "gradient_delta_e2000", "wavelet_median_pyramid", "region_holes", "matrix_multiply", "transform_similar_groups"]
 
+NAMES += ["knn_index", "edge_curves", "edge_closed_curves", "watershed_of_points", "object_locations", "corner_scale_tracks", "fit_robust_parabola", "packing_of_intersection", "label_merge_least_gradient"]
+NAMES += ["matrix_eigen_values", "cluster_vectors_round", "region_block_histograms", "reconstruct_affine_views", "graph_connected_values", "bits_reversed", "kernel_tables", "trig_tables"]
+
 
 def canonical(rows):
     return sorted(tuple(f"{round(float(v), 5) + 0.0:.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in rows)
