@@ -121,3 +121,35 @@ def test_curve_files_keep_their_order(spark, tmp_path):
     (tmp_path / "c.txt").write_text("x,y\n3.5,1\n\n-2,4e1\n0,7\n")
     got = images.read_curves(spark, str(tmp_path / "c.txt")).orderBy("pos").collect()
     assert [(r.pos, r.x, r.y) for r in got] == [(0, 3.5, 1), (1, -2, 40), (2, 0, 7)]
+
+
+def peak_of(f):
+    """The result of f and the most megabytes that its arrays took."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def scene(n):
+    """n points before two cameras, their pixels in each, and the second camera's pose."""
+    world = np.random.default_rng(3).uniform(-20, 20, (n, 3))
+    r, t = geometry.rotation_zyx(0.1, -0.2, 0.3), np.array([1.5, -0.5, 90.0])
+    k = np.array([[500.0, 0, 320], [0, 510, 240], [0, 0, 1]])
+    return world, geometry.project(k, np.eye(3), np.array([0, 0, 80.0]), world), geometry.project(k, r, t, world), k, r, t
+
+
+def test_fundamental_matrix_and_pose_of_many_points_in_little_memory():
+    world, a, b, k, r, t = scene(3000)
+    f, most = peak_of(lambda: geometry.fundamental_8(a, b))
+    assert most < 20  # a square matrix of 3,000 rows takes 72
+    assert np.sqrt(geometry.sampson(f, a, b)).max() < 1e-6
+    (found, step), most = peak_of(lambda: geometry.pose_from_essential(geometry.essential(f, k, k), geometry.to_camera(k, a), geometry.to_camera(k, b)))
+    want = t - r @ np.array([0, 0, 80.0])
+    assert most < 20 and found == pytest.approx(r, abs=1e-6) and step == pytest.approx(want / np.linalg.norm(want), abs=1e-6)
+    cameras = [geometry.camera(k, np.eye(3), np.array([0, 0, 80.0])), geometry.camera(k, r, t)]
+    assert geometry.triangulate_all(cameras, [a, b]) == pytest.approx(world, abs=1e-6)
+    assert np.abs(geometry.sampson(geometry.fundamental_8(a[:8], b[:8]), a[:8], b[:8])).max() < 1e-9
