@@ -153,3 +153,11 @@ def test_fundamental_matrix_and_pose_of_many_points_in_little_memory():
     cameras = [geometry.camera(k, np.eye(3), np.array([0, 0, 80.0])), geometry.camera(k, r, t)]
     assert geometry.triangulate_all(cameras, [a, b]) == pytest.approx(world, abs=1e-6)
     assert np.abs(geometry.sampson(geometry.fundamental_8(a[:8], b[:8]), a[:8], b[:8])).max() < 1e-9
+
+
+def test_plane_of_many_points_in_little_memory():
+    xy = np.random.default_rng(4).uniform(-1, 1, (6000, 2))
+    p = np.column_stack([xy, 2 - xy @ [0.5, -1.5], np.ones(6000)]) * np.arange(1, 6001)[:, None]
+    plane, most = peak_of(lambda: geometry.plane_of(p))
+    assert most < 20 and plane / plane[2] == pytest.approx([0.5, -1.5, 1, -2])
+    assert np.abs(p[:3] @ geometry.plane_of(p[:3])).max() < 1e-9
