@@ -161,3 +161,10 @@ def test_plane_of_many_points_in_little_memory():
     plane, most = peak_of(lambda: geometry.plane_of(p))
     assert most < 20 and plane / plane[2] == pytest.approx([0.5, -1.5, 1, -2])
     assert np.abs(p[:3] @ geometry.plane_of(p[:3])).max() < 1e-9
+
+
+def test_camera_of_many_points_in_little_memory():
+    world, _, b, k, r, t = scene(3000)
+    camera, most = peak_of(lambda: geometry.resection(world, b))
+    found = geometry.decomposed(camera)
+    assert most < 40 and found[0] == pytest.approx(k, abs=1e-4) and found[1] == pytest.approx(r, abs=1e-6) and found[2] == pytest.approx(t, abs=1e-4)
