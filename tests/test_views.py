@@ -168,3 +168,10 @@ def test_camera_of_many_points_in_little_memory():
     camera, most = peak_of(lambda: geometry.resection(world, b))
     found = geometry.decomposed(camera)
     assert most < 40 and found[0] == pytest.approx(k, abs=1e-4) and found[1] == pytest.approx(r, abs=1e-6) and found[2] == pytest.approx(t, abs=1e-4)
+
+
+def test_homography_of_many_points_in_little_memory():
+    p, h = np.random.default_rng(5).uniform(0, 50, (3000, 2)), np.array([[1.1, 0.2, 5], [-0.1, 0.9, 3], [1e-3, 2e-3, 1]])
+    found, most = peak_of(lambda: geometry.homography(p, geometry.apply(h, p)))
+    assert most < 40 and found == pytest.approx(h, abs=1e-7)
+    assert geometry.homography(p[:4], geometry.apply(h, p[:4])) == pytest.approx(h, abs=1e-6)
