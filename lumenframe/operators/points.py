@@ -166,18 +166,25 @@ def similarity_reversed() -> list[tuple[str, str]]:
 def similar_transformations(df: DataFrame, scale: str, turn: str, share: float = 0.1, degrees: int = 20, by: str = "set_id", key: str = "point_id") -> DataFrame:
     """(by, key, likes): how many others of a group are alike in scale (both within `share` of their mean) and turn.
 
-    Pairs are sought in cells of the turn as wide as `degrees` (a divisor of 360) and of the logarithm of the scale, so a
-    row meets those of nine cells only; the counts are added up, no pair is kept.
+    Rows of the same scale and turn are counted first. Pairs of these classes are sought in cells of the turn as wide as
+    `degrees` (a divisor of 360) and of the logarithm of the scale, so a class meets those of nine cells only; the counts are
+    added up and handed to the rows, less the rows of the key itself. No pair is kept.
     """
     ratio = (1 + share) / (1 - share)
-    cells = df.select(by, key, scale, turn).withColumns({"_t": F.floor(F.pmod(F.col(turn), F.lit(360)) / degrees).cast("int"), "_s": F.floor(F.log(F.col(scale)) / math.log(ratio * (1 + 1e-9))).cast("int")})
+    rows = df.select(by, key, scale, turn)
+    classes = rows.groupBy(by, scale, turn).agg(F.count("*").alias("_n"))
+    cells = classes.withColumns({"_t": F.floor(F.pmod(F.col(turn), F.lit(360)) / degrees).cast("int"), "_s": F.floor(F.log(F.col(scale)) / math.log(ratio * (1 + 1e-9))).cast("int")})
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    near = cells.select(by, F.col(key).alias("_o"), F.col(scale).alias("_scale"), F.col(turn).alias("_turn"), "_t", "_s", F.explode(step).alias("_dt")).withColumn("_ds", F.explode(step))
-    near = near.withColumns({"_t": F.pmod(F.col("_t") + F.col("_dt"), F.lit(360 // degrees)), "_s": F.col("_s") + F.col("_ds")})
+    other = [F.col(scale).alias("_scale"), F.col(turn).alias("_turn")]
+    near = cells.select(by, F.col("_n").alias("_m"), *other, "_t", "_s", F.explode(step).alias("_dt")).withColumn("_ds", F.explode(step))
+    near = near.select(by, "_m", "_scale", "_turn", F.pmod(F.col("_t") + F.col("_dt"), F.lit(360 // degrees)).alias("_t"), (F.col("_s") + F.col("_ds")).alias("_s"))
     gap = F.abs(F.col(turn) - F.col("_turn"))
     # Half the difference within a share of half the sum; rounded, so that the limit itself counts.
-    alike = (F.round(F.abs(F.col(scale) - F.col("_scale")) - share * (F.col(scale) + F.col("_scale")), 9) <= 0) & (F.least(gap, 360 - gap) <= degrees) & (F.col(key) != F.col("_o"))
-    return cells.join(near, [by, "_t", "_s"]).groupBy(by, key).agg(F.count_if(alike).alias("likes"))
+    alike = (F.round(F.abs(F.col(scale) - F.col("_scale")) - share * (F.col(scale) + F.col("_scale")), 9) <= 0) & (F.least(gap, 360 - gap) <= degrees)
+    likes = cells.join(near.hint("merge"), [by, "_t", "_s"]).groupBy(by, scale, turn).agg(F.sum(F.when(alike, F.col("_m")).otherwise(0)).alias("_likes"))
+    mine = rows.join(rows.select(by, key, *other).hint("merge"), [by, key]).groupBy(by, key).agg(F.count_if(alike).alias("_mine"))
+    every = rows.join(likes.hint("merge"), [by, scale, turn]).groupBy(by, key).agg(F.sum("_likes").alias("_likes"))
+    return every.join(mine.hint("merge"), [by, key]).select(by, key, (F.col("_likes") - F.col("_mine")).alias("likes"))
 
 
 def average_transformation(df: DataFrame, by: str = "set_id") -> DataFrame:
