@@ -50,6 +50,17 @@ def _in_company(a: DataFrame, by: str) -> DataFrame:
     return a.join(several, by, "left_semi")
 
 
+def _two_at_each_place(a: DataFrame, by: str) -> DataFrame:
+    """Of the points at each place of a set the two with the smallest ids."""
+    order = Window.partitionBy(by, "x", "y").orderBy("point_id")
+    return a.select(by, "point_id", "x", "y").distinct().withColumn("_k", F.row_number().over(order)).where("_k <= 2").drop("_k")
+
+
+def _places(firsts: DataFrame, by: str) -> DataFrame:
+    """(by, x, y, _low, _next): the two smallest ids of each place, the same one twice where there is no other."""
+    return firsts.groupBy(by, "x", "y").agg(F.min("point_id").alias("_low"), F.max("point_id").alias("_next"))
+
+
 def nearest(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
     """Every point's nearest other point in its set, however far; ties by id. The radius is where the search begins."""
     rows = _in_company(a, by)
@@ -57,15 +68,22 @@ def nearest(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
 
 
 def closest_pair(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
-    """Every set's closest pair of different points, however far; ties by ids. The radius is where the search begins."""
+    """Every set's closest pair of different points, however far; ties by ids. The radius is where the search begins.
+
+    Points at one place are the closest pair of their set without a search, which only other sets need.
+    """
     rows = _in_company(a, by)
 
+    pair = lambda pairs: pairs.groupBy(by).agg(F.min(F.struct("d2", "id1", "id2")).alias("m")).select(by, "m.id1", "m.id2", "m.d2")
+
     def search(left: DataFrame, r: float) -> DataFrame:
         mine = rows.join(left, by, "left_semi")
-        pairs = radius_join(mine, mine, r, by).where("id1 < id2")
-        return pairs.groupBy(by).agg(F.min(F.struct("d2", "id1", "id2")).alias("m")).select(by, "m.id1", "m.id2", "m.d2")
+        return pair(radius_join(mine, mine, r, by).where("id1 < id2"))
 
-    return _widening(rows.select(by).distinct(), [by], radius, search)
+    together = _places(_two_at_each_place(rows, by), by).where("_low < _next")
+    met = cut_lineage(pair(together.select(by, F.lit(0.0).alias("d2"), F.col("_low").alias("id1"), F.col("_next").alias("id2"))))
+    apart = rows.select(by).distinct().join(met.select(by), by, "left_anti")
+    return met.unionByName(_widening(cut_lineage(apart), [by], radius, search))
 
 
 def mutual_matches(a: DataFrame, b: DataFrame, radius: float, by: str = "set_id") -> DataFrame:

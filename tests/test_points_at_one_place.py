@@ -46,3 +46,14 @@ def test_alike_transformations_are_counted_by_class(spark):
             want[g, k] += g == h and k != m and round(abs(s - u) - 0.1 * (s + u), 9) <= 0 and min(gap, 360 - gap) <= 20
     assert {(r.set_id, r.point_id): r.likes for r in found.collect()} == want
     assert re.search(r"Aggregate \[set_id#\d+, scale#\d+, turn#\d+\]", found._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_closest_pair_needs_no_search_where_points_share_a_place(spark, monkeypatch):
+    df, rows = crowd(spark, 200, 20)
+    seen = recorded(monkeypatch)
+    want = {}
+    for s, i, j, d in gaps(rows):
+        if i < j:
+            want[s] = min(want.get(s, (d, i, j)), (d, i, j))
+    assert {r.set_id: (r.d2, r.id1, r.id2) for r in points.closest_pair(df, 5).collect()} == want
+    assert seen[0] == 2
