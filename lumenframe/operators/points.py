@@ -86,12 +86,22 @@ def closest_pair(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
     return met.unionByName(_widening(cut_lineage(apart), [by], radius, search))
 
 
+def _foremost(a: DataFrame, by: str) -> DataFrame:
+    """The points with the smallest id at their place, and all those whose id is at several places."""
+    at, of = Window.partitionBy(by, "x", "y"), Window.partitionBy(by, "point_id")
+    moves = (F.min("x").over(of) < F.max("x").over(of)) | (F.min("y").over(of) < F.max("y").over(of))
+    return a.select(by, "point_id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").withColumns({"_low": F.min("point_id").over(at), "_moves": moves}).where("point_id = _low OR _moves").drop("_low", "_moves")
+
+
 def mutual_matches(a: DataFrame, b: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
-    """Pairs that are each other's nearest within the radius."""
-    pairs = radius_join(a, b, radius, by)
-    forth = F.row_number().over(Window.partitionBy(by, "id1").orderBy("d2", "id2"))
-    back = F.row_number().over(Window.partitionBy(by, "id2").orderBy("d2", "id1"))
-    return pairs.withColumn("_f", forth).withColumn("_b", back).where("_f = 1 AND _b = 1").drop("_f", "_b")
+    """Pairs that are each other's nearest within the radius, ties by id.
+
+    Of the points at one place only the one with the smallest id can be the nearest of another, so no others are paired.
+    """
+    pairs = cut_lineage(radius_join(_foremost(a, by), _foremost(b, by), radius, by))
+    forth = pairs.groupBy(by, "id1").agg(F.min(F.struct("d2", "id2")).alias("m")).select(by, "id1", "m.id2", "m.d2")
+    back = pairs.groupBy(by, "id2").agg(F.min(F.struct("d2", "id1")).alias("m")).select(by, "m.id1", "id2")
+    return forth.join(back.hint("merge"), [by, "id1", "id2"])
 
 
 def f_measure(found: Column, n1: Column, n2: Column, beta: float = 1.0) -> Column:

@@ -57,3 +57,19 @@ def test_closest_pair_needs_no_search_where_points_share_a_place(spark, monkeypa
             want[s] = min(want.get(s, (d, i, j)), (d, i, j))
     assert {r.set_id: (r.d2, r.id1, r.id2) for r in points.closest_pair(df, 5).collect()} == want
     assert seen[0] == 2
+
+
+def test_mutual_matches_pair_places(spark, monkeypatch):
+    df, rows = crowd(spark, 200, 20)
+    rows = [(s, i, x, y + i % 2) for s, i, x, y in rows]  # so that not all match at distance 0
+    df = df.selectExpr("set_id", "point_id", "x", "CAST(y + point_id % 2 AS INT) AS y")
+    seen = recorded(monkeypatch)
+    pairs = [p for p in gaps(rows) if p[1] % 2 == 0 and p[2] % 2 == 1 and p[3] <= 100]
+    forth, back = {}, {}
+    for s, i, j, d in pairs:
+        forth[s, i] = min(forth.get((s, i), (d, j)), (d, j))
+        back[s, j] = min(back.get((s, j), (d, i)), (d, i))
+    want = {(s, i, j, d) for (s, i), (d, j) in forth.items() if back[s, j] == (d, i)}
+    found = points.mutual_matches(df.where("point_id % 2 = 0"), df.where("point_id % 2 = 1"), 10)
+    assert found.columns == ["set_id", "id1", "id2", "d2"] and sorted(map(tuple, found.collect())) == sorted(want) and want
+    assert seen[0] < 100  # of 300 points a side
