@@ -62,9 +62,18 @@ def _places(firsts: DataFrame, by: str) -> DataFrame:
 
 
 def nearest(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:
-    """Every point's nearest other point in its set, however far; ties by id. The radius is where the search begins."""
-    rows = _in_company(a, by)
-    return _widening(rows.withColumn("id1", F.col("point_id")), [by, "id1"], radius, lambda left, r: nearest_within(left, rows, r, by))
+    """Every point's nearest other point in its set, however far; ties by id. The radius is where the search begins.
+
+    Points with others at their place have one of these, and only the rest search, among the two smallest ids of each place:
+    the work grows with the places, not with the pairs of points.
+    """
+    rows = _in_company(a, by).select(by, "point_id", "x", "y").distinct()
+    firsts = cut_lineage(_two_at_each_place(rows, by))
+    together = rows.join(_places(firsts, by).where("_low < _next").hint("merge"), [by, "x", "y"])
+    other = F.when(F.col("point_id") == F.col("_low"), F.col("_next")).otherwise(F.col("_low"))
+    met = cut_lineage(together.groupBy(by, F.col("point_id").alias("id1")).agg(F.min(other).alias("id2")).withColumn("d2", F.lit(0.0)))
+    alone = cut_lineage(rows.withColumn("id1", F.col("point_id")).join(met.select(by, "id1").hint("merge"), [by, "id1"], "left_anti"))
+    return met.unionByName(_widening(alone, [by, "id1"], radius, lambda left, r: nearest_within(left, firsts, r, by)))
 
 
 def closest_pair(a: DataFrame, radius: float, by: str = "set_id") -> DataFrame:

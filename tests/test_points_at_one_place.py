@@ -73,3 +73,14 @@ def test_mutual_matches_pair_places(spark, monkeypatch):
     found = points.mutual_matches(df.where("point_id % 2 = 0"), df.where("point_id % 2 = 1"), 10)
     assert found.columns == ["set_id", "id1", "id2", "d2"] and sorted(map(tuple, found.collect())) == sorted(want) and want
     assert seen[0] < 100  # of 300 points a side
+
+
+def test_nearest_points_are_sought_by_places(spark, monkeypatch):
+    df, rows = crowd(spark, 200, 20)
+    seen = recorded(monkeypatch)
+    want = {}
+    for s, i, j, d in gaps(rows):
+        want[s, i] = min(want.get((s, i), (d, j)), (d, j))
+    found = points.nearest(df, 5)
+    assert {(r.set_id, r.id1): (r.d2, r.id2) for r in found.collect()} == want and found.count() == len(want)
+    assert seen[0] < 200  # of 617 points
