@@ -84,3 +84,11 @@ def test_nearest_points_are_sought_by_places(spark, monkeypatch):
     found = points.nearest(df, 5)
     assert {(r.set_id, r.id1): (r.d2, r.id2) for r in found.collect()} == want and found.count() == len(want)
     assert seen[0] < 200  # of 617 points
+
+
+def test_join_by_distance_broadcasts_no_side(spark):
+    df, rows = crowd(spark, 30, 20)
+    found = points.radius_join(df, df, 5)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    same = [(s, i, i, float((x - u) ** 2 + (y - v) ** 2)) for s, i, x, y in rows for t, j, u, v in rows if s == t and i == j]
+    assert sorted(map(tuple, found.collect())) == sorted(p for p in [*gaps(rows), *same] if p[3] <= 25)
