@@ -203,3 +203,19 @@ def test_frames_of_turned_regions_agree(spark):
     assert set(cells[1]) == set(cells[2]) and all(v == pytest.approx(cells[2][k]) for k, v in cells[1].items())
     blocks = canonical.block_histograms(canonical.resampled(canonical.frames(df), df)).collect()
     assert {(r.image_id, r.block, r.bin) for r in blocks} == {(i, b, 0) for i in (1, 2) for b in range(4)} and all(r.share == 1 for r in blocks)
+
+
+def test_sum_xor_equals_its_sql_on_edges(spark, tmp_path):
+    """Floats whose hundredfold rounds up to a whole number, nulls, and vectors of fewer than two components."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    file = tmp_path / "embeddings.parquet"
+    vectors = "[0.29, 1.0], 1), ([0.57, 0.58, -0.29], 1), ([NULL, 2.0, 3.0], 2), ([1.0, NULL], 3), ([4.0], 4), ([]::FLOAT[], 4), (NULL, 4), ([1.0, 2.0], 4), ([5.0], 5"
+    duckdb.connect().execute(f"COPY (SELECT row_number() OVER () AS vec_id, v::FLOAT[] AS embedding, label FROM (VALUES ({vectors})) t(v, label)) TO '{file}' (FORMAT parquet)")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{file}'")
+    want = db.execute(entry.oracle_sql()["sum_xor"]).fetchall()
+    found = entry.queries()["sum_xor"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == sorted(want) and dict(want)[1] == (29 ^ 100) + (57 ^ 58) + (58 ^ -29)
