@@ -1,7 +1,10 @@
+import functools
+
 import numpy as np
 import pytest
 
 from lumenframe.functions import search
+from lumenframe.operators import descriptors
 from lumenframe.streaming import series
 
 
@@ -46,3 +49,18 @@ def test_stream_matches_batch(spark, tmp_path):
     got = {(r.user_id, r.start): (r.n, r.mean) for r in spark.sql("SELECT * FROM got").collect()}
     want = {(r.user_id, r.start): (r.n, r.mean) for r in series.windowed_summary(df, "ts", "value", "user_id").collect()}
     assert got == want and len(got) == 15
+
+
+def test_nearest_vectors_in_blocks_against_brute_force(spark):
+    """Ties, copies and vectors far from the origin; what tasks hand on are k rows a query and block, not all pairs."""
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(150, 6)), rng.integers(0, 2, (150, 6)), 1e6 + rng.integers(0, 2, (60, 6)) / 8])
+    rows = [(int(i) // 3, int(i) % 3, v.tolist()) for i, v in enumerate(vectors)]
+    base = spark.createDataFrame(rows, "grp long, id int, vector array<double>").repartition(3)
+    found = descriptors.nearest_vectors(base, base.where("grp % 10 = 0"), 4)
+    want = set()
+    for g, s, q in rows:
+        if g % 10 == 0:
+            near = sorted((functools.reduce(lambda s, p: s + (p[0] - p[1]) * (p[0] - p[1]), zip(b, q), 0.0), h, t) for h, t, b in rows if h != g)[:4]
+            want |= {(g, s, h, t, d, k + 1) for k, (d, h, t) in enumerate(near)}
+    assert {tuple(r) for r in found.select("qgrp", "qid", "grp", "id", "d2", "k").collect()} == want
