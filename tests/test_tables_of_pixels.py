@@ -167,3 +167,20 @@ def test_planted_object_is_located(spark, turn):
     a, b = rows(objects.features(of(5, template))), rows(objects.features(of(9, scene)))
     want = sum((x[4] ^ y[4]).bit_count() <= objects.MOST for x in a for y in b)
     assert found.count() == want
+
+
+def test_watershed_broadcasts_nothing(spark, monkeypatch):
+    """Tables of a round's pixels aren't gathered in the driver, however few they are."""
+    plans, cut = [], watershed.cut_lineage
+
+    def recorded(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(watershed, "cut_lineage", recorded)
+    rows = [(k, x, y, (x * 7 + y * 5 + k) % 4) for k in range(2) for x in range(6) for y in range(6)]
+    made = watershed.watershed(table_of(spark, rows, "image_id long, x int, y int, v int"))
+    made.collect()
+    plans.append(made._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 8 and not [p for p in plans if "BroadcastExchange" in p]
