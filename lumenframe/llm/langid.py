@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm.session import bounded_batches, checkpointed
+from lumenframe.llm.session import bounded_batches, checkpointed, frugal
 from lumenframe.llm.text import HashStore, WordTable, range_hashes, slices, word_bounds
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -241,7 +241,7 @@ def fit(seen: DataFrame, langs: list[str], rounds: int = ROUNDS, vocabulary: str
             piece, lang = np.nonzero(mass)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(lang), pa.array(mass[piece, lang].astype(np.int64))], names=["piece", "lang", "mass"])
 
-        got = words.mapInArrow(run, "piece long, lang long, mass long").groupBy("piece", "lang").agg(F.sum("mass").alias("mass")).toArrow()
+        got = words.mapInArrow(frugal(run), "piece long, lang long, mass long").groupBy("piece", "lang").agg(F.sum("mass").alias("mass")).toArrow()
         shared.unpersist()
         p = np.zeros(p.shape)
         p[got["piece"].to_numpy(), got["lang"].to_numpy()] = got["mass"].to_numpy() * MASS_UNIT
@@ -280,7 +280,7 @@ def training_words(docs: DataFrame, key: str, text: str, lang: str, most: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in counts]), pa.array([x[1] for x in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
 
     few = labelled.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
-    return few.select("lang", "text").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return few.select("lang", "text").mapInArrow(frugal(run), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray | None]:
@@ -352,7 +352,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    return docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", key)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text).alias("text")).mapInArrow(frugal(run), "doc_id long, held_out boolean, lang_pred string, score double").withColumnRenamed("doc_id", key)
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = LEAST_SCORE, most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -370,4 +370,4 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
             names, score = _predictor(token, shared)(b.column(place))
             yield b.filter(pa.array((score >= least) & np.array([x != "und" for x in names], bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.components import components
-from lumenframe.llm.session import bounded_batches, checkpointed, fresh, likely
+from lumenframe.llm.session import bounded_batches, checkpointed, fresh, frugal, likely
 from lumenframe.llm.text import mix64, range_hashes, slices, stream64, word_bounds
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
             if out:
                 yield _batch(out, SKETCH)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), SKETCH)
 
 
 _ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
@@ -148,7 +148,7 @@ def second_pass(docs: DataFrame, wanted: DataFrame, key: str, text: str, words:
                 yield _batch(out, schema)
 
     read = likely(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id", wanted)
-    found = read.where("likely").select("doc_id", "text").mapInArrow(run, schema)
+    found = read.where("likely").select("doc_id", "text").mapInArrow(frugal(run), schema)
     return checkpointed(found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "set_id"]))
 
 
@@ -175,7 +175,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = pairs.join(full.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("shingles").alias("sb")), "b")
     both = left.join(full.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("shingles").alias("sa")), "a")
     near = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return both.where(near).select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a long, b long")
+    return both.where(near).select("a", "b", "sa", "sb").mapInArrow(frugal(_similar(percent)), "a long, b long")
 
 
 def _native_estimate(x: str, y: str):

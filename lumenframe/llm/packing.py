@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.session import bounded_batches
+from lumenframe.llm.session import bounded_batches, frugal
 from lumenframe.llm.text import IS_SPACE, WordTable, slices, word_bounds
 
 SEQUENCE_TOKENS = 4096
@@ -314,5 +314,5 @@ def pack_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabul
             yield batch()
 
     bounded_batches(docs)
-    packed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    packed = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(frugal(run), SCHEMA)
     return packed if with_ids else packed.drop("ids")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,3 +101,31 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     if size not in conf.getAll:
         conf.set(size, str(BATCH_BYTES))
     return df
+
+
+def release() -> None:
+    """Gives the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call, it keeps the memory
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Batches after which a task gives memory back.
+RELEASED_EACH = 16
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with memory given back every few batches and at the task's end: workers stay beside the executor's heap for
+    tasks to come, and would keep what their largest batch took."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for k, made in enumerate(run(batches), 1):
+                yield made
+                if k % RELEASED_EACH == 0:
+                    del made
+                    release()
+        finally:
+            release()
+
+    return wrapped

@@ -42,3 +42,28 @@ def test_stages_on_odd_tables(spark, tmp_path):
             assert {t for _, t, *_ in rows if t} == {t for t in got if t}
         docs = out
     assert docs.count() > 0
+
+
+def test_a_task_gives_its_memory_back():
+    import os
+    from pathlib import Path
+
+    import numpy as np
+
+    from lumenframe.llm.session import frugal
+
+    held = []
+
+    def mb() -> float:
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+    def run(batches):
+        for b in batches:
+            large = [np.ones(8000) for _ in range(4000)]  # 244 MB in pieces that malloc keeps
+            held.append(large[-1])  # at the end of them, so that the heap can't shrink by itself
+            del large
+            held.append(mb())
+            yield b
+
+    assert list(frugal(run)(iter([1, 2]))) == [1, 2]
+    assert mb() < max(x for x in held if isinstance(x, float)) - 150
