@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.operators import filters
+from lumenframe.operators.graph import cut_lineage
 
 #: Bins of the histogram of curvatures, up to twice their third quartile.
 BINS = 16
@@ -26,7 +27,7 @@ def thresholds(curvatures: DataFrame, by: str = "curve_id") -> DataFrame:
 def candidates(curves: DataFrame, sigma: float, factor: float = 2.0, by: str = "curve_id", order: str = "pos") -> DataFrame:
     """by, order, k: where |curvature| at this blur has a maximum that reaches the curve's threshold and exceeds `factor` times the
     minimum before or after it (both ends of the curve count as no minimum)."""
-    k = filters.curvature(curves, sigma, by, order).select(by, order, F.abs("k").alias("k"))
+    k = cut_lineage(filters.curvature(curves, sigma, by, order).select(by, order, F.abs("k").alias("k")))  # read three times
     w = Window.partitionBy(by).orderBy(order)
     before, after = F.lag("k").over(w), F.lead("k").over(w)
     kind = F.when((F.col("k") > before) & (F.col("k") > after), 1).when((F.col("k") < before) & (F.col("k") < after), 0)
@@ -42,7 +43,8 @@ def tracked(curves: DataFrame, sigmas: tuple[float, ...], factor: float = 2.0, b
     within the coarser blur (ties to the earlier one). Where there is none it stays, and `lost` counts that; k is its
     curvature where it was last seen.
 
-    A fold of range joins, each an equi-join on stretches of the curve as long as the reach.
+    A fold of range joins, each an equi-join on stretches of the curve as long as the reach; a corner's row carries what it keeps, so that no
+    scale is computed again for the next one.
     """
     sigmas = tuple(sorted(sigmas, reverse=True))
     now = candidates(curves, sigmas[0], factor, by, order).select(by, F.col(order).alias("corner"), F.col(order).alias("pos"), "k", F.lit(0).alias("lost"))
@@ -50,7 +52,7 @@ def tracked(curves: DataFrame, sigmas: tuple[float, ...], factor: float = 2.0, b
         reach = math.ceil(coarse)
         spot = candidates(curves, fine, factor, by, order).select(by, F.col(order).alias("to"), F.col("k").alias("to_k"), F.floor(F.col(order) / reach).alias("cell"))
         asks = now.withColumn("cell", F.explode(F.array(*[F.floor(F.col("pos") / reach) + d for d in (-1, 0, 1)])))
-        near = asks.join(spot, [by, "cell"]).withColumn("d", F.abs(F.col("to") - F.col("pos"))).where(F.col("d") <= reach)
-        best = near.groupBy(by, "corner").agg(F.min(F.struct("d", "to", "to_k")).alias("m"))
-        now = now.join(best, [by, "corner"], "left").select(by, "corner", F.coalesce("m.to", "pos").alias("pos"), F.coalesce("m.to_k", "k").alias("k"), (F.col("lost") + F.col("m").isNull().cast("int")).alias("lost"))
+        met = asks.join(spot, [by, "cell"], "left").withColumn("d", F.abs(F.col("to") - F.col("pos")))
+        best = met.groupBy(by, "corner").agg(F.min(F.when(F.col("d") <= reach, F.struct("d", "to", "to_k"))).alias("m"), *[F.first(c).alias(c) for c in ("pos", "k", "lost")])
+        now = best.select(by, "corner", F.coalesce("m.to", "pos").alias("pos"), F.coalesce("m.to_k", "k").alias("k"), (F.col("lost") + F.col("m").isNull().cast("int")).alias("lost"))
     return now

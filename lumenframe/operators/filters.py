@@ -7,9 +7,14 @@ no row per kernel weight. Borders reflect (index -i-1 and 2n-i-1); closed curves
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def gaussian(sigma: float, order: int = 0, reach: float = 0.001) -> list[float]:
@@ -98,9 +103,53 @@ def a_trous(df: DataFrame, levels: int, kernel: list[float] = TRIANGLE, value: s
     return out
 
 
+#: Points of curves that are convolved at a time.
+POINTS = 1 << 18
+
+
+def _derivatives(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, sigma: float, closed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """x' y'' - y' x'' and x'^2 + y'^2 of curves that lie one after another (sizes: their points), tap by tap as in _convolved."""
+    n = np.repeat(sizes, sizes)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    place = np.arange(len(x)) - start
+    kernels = [[(-1) ** d * w for w in gaussian(sigma, d)] for d in (1, 2)]
+    half, out = len(kernels[0]) // 2, np.zeros((4, len(x)))
+    for j, weights in enumerate(zip(*kernels, strict=True)):
+        at = (place + j - half) % (n if closed else 2 * n)
+        at = start + (at if closed else np.where(at < n, at, 2 * n - 1 - at))
+        for k, (v, w) in enumerate((v[at], w) for v in (x, y) for w in weights):
+            out[k] += w * v
+    x1, x2, y1, y2 = out
+    return x1 * y2 - y1 * x2, x1 * x1 + y1 * y1
+
+
 def curvature(df: DataFrame, sigma: float, by: str = "curve_id", order: str = "pos", closed: bool = False) -> DataFrame:
-    """k = (x' y'' - y' x'') / (x'^2 + y'^2)^1.5 of curves (x, y) with Gaussian derivatives; 0 where undefined."""
-    for c in "xy":
-        for d in (1, 2):
-            df = convolve(df, [(-1) ** d * w for w in gaussian(sigma, d)], [by], order, c, f"_{c}{d}", closed)
-    return df.withColumn("k", F.expr("coalesce((_x1 * _y2 - _y1 * _x2) / nullif(pow(_x1 * _x1 + _y1 * _y1, 1.5D), 0D), 0D)")).drop("_x1", "_x2", "_y1", "_y2")
+    """k = (x' y'' - y' x'') / (x'^2 + y'^2)^1.5 of curves (x, y) with Gaussian derivatives; 0 where undefined.
+
+    A curve is gathered once for the four derivatives; many are convolved at a time.
+    """
+    others = [c for c in df.columns if c != by]
+    points = F.sort_array(F.collect_list(F.struct(order, *[c for c in others if c != order]))).alias("_s")
+    rows = df.groupBy(by).agg(points).select(by, "_s", *[F.expr(f"transform(_s, e -> CAST(e.{c} AS DOUBLE))").alias(f"_{c}") for c in "xy"])
+    schema = StructType([*rows.select(by, "_s").schema.fields, *[StructField(c, ArrayType(DoubleType())) for c in ("_n", "_d")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo, sizes = 0, pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - sizes[lo] + POINTS, "right")))
+                b = batch.slice(lo, hi - lo)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[lo:hi])]), pa.int32())
+                flat = [b.column(k).flatten() for k in (2, 3)]
+                made = _derivatives(*[v.to_numpy(zero_copy_only=False) for v in flat], sizes[lo:hi], sigma, closed)
+                gaps = None
+                if any(v.null_count for v in flat):  # what a null takes part in is undefined
+                    holes = [np.where(v.is_null().to_numpy(zero_copy_only=False), np.nan, 0.0) for v in flat]
+                    gaps = np.isnan(_derivatives(*holes, sizes[lo:hi], sigma, closed)[1])
+                made = [pa.ListArray.from_arrays(offsets, pa.array(v, mask=gaps)) for v in made]
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], names=schema.names)
+                lo = hi
+
+    made = rows.mapInArrow(run, schema).select(by, F.explode(F.arrays_zip("_s", "_n", "_d")).alias("_z"))
+    return made.select(by, *[F.col(f"_z._s.{c}").alias(c) for c in others], F.expr("coalesce(_z._n / nullif(pow(_z._d, 1.5D), 0D), 0D)").alias("k")).select(*df.columns, "k")

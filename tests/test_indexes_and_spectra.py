@@ -219,3 +219,24 @@ def test_sum_xor_equals_its_sql_on_edges(spark, tmp_path):
     want = db.execute(entry.oracle_sql()["sum_xor"]).fetchall()
     found = entry.queries()["sum_xor"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, found)) == sorted(want) and dict(want)[1] == (29 ^ 100) + (57 ^ 58) + (58 ^ -29)
+
+
+def test_tracking_computes_each_scale_once(spark):
+    curves = spark.createDataFrame([(1, k, float(k), float(k * k % 7)) for k in range(50)], "curve_id long, pos int, x double, y double")
+    plan = corners.tracked(curves, (4.0, 2.8, 2.0, 1.4))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ExistingRDD") + plan.count("LogicalRDD") <= 4 * 3  # a scale's maxima and its threshold, with and without the quartile
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_curvature_is_that_of_the_convolutions(spark, closed):
+    from lumenframe.operators import filters
+
+    rows = [(c, k, float(k), None if (c, k) == (2, 5) else float(k * k % 7)) for c, n in ((1, 3), (2, 50), (3, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "curve_id long, pos int, x double, y double")
+    want = df
+    for c in "xy":
+        for d in (1, 2):
+            want = filters.convolve(want, [(-1) ** d * w for w in filters.gaussian(1.4, d)], ["curve_id"], "pos", c, f"_{c}{d}", closed)
+    want = want.selectExpr("curve_id", "pos", "coalesce((_x1 * _y2 - _y1 * _x2) / nullif(pow(_x1 * _x1 + _y1 * _y1, 1.5D), 0D), 0D) AS k")
+    got = filters.curvature(df, 1.4, closed=closed).select("curve_id", "pos", "k")
+    assert sorted(got.collect()) == sorted(want.collect())
