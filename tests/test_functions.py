@@ -157,3 +157,17 @@ def test_shapes():
     assert geometry.cubic_roots(1, -6, 11, -6) == pytest.approx([1, 2, 3])
     scale, angle, d = geometry.similarity(circle, 2 * circle @ np.array([[0.8, 0.6], [-0.6, 0.8]]) + (1, 2))
     assert (scale, angle) == pytest.approx((2, np.arctan2(0.6, 0.8))) and d == pytest.approx([1, 2])
+
+
+def test_bundle_adjustment_of_many_points():
+    """Several blocks of points, not all seen by all cameras; the work grows with the points, not with their square."""
+    import time
+
+    rng = np.random.default_rng(3)
+    k = geometry.intrinsic(500, 320, 240)
+    world = rng.uniform(-2, 2, (9000, 3)) + (0, 0, 10)
+    poses = np.array([[0, 0, 0, 0, 0, 0], [0.02, 0.1, 0.03, -1.0, 0.1, 0.2], [-0.05, 0.2, 0.0, -2.0, 0.0, 0.3]])
+    seen = [(c, i, *xy) for c, p in enumerate(poses) for i, xy in enumerate(geometry.project(k, geometry.rodrigues(p[:3]), p[3:], world)) if (i + c) % 5]
+    began = time.process_time()
+    _, _, error = geometry.bundle_adjust(k, poses + 0.01 * np.array([[0], [1], [-1]]), world + 0.02 * np.sin(np.arange(world.size)).reshape(world.shape), seen[::-1], 8)
+    assert error < 1e-4 and time.process_time() - began < 20
