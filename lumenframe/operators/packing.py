@@ -24,20 +24,20 @@ def packed(df: DataFrame, limit: int, by: str = "image_id") -> DataFrame:
 
     In each round a point is chosen whose priority (a hash of its set and id) is below those of all undecided ones near it, and the
     ones near it drop out. The result is that of taking points by priority one after another, in a number of rounds
-    that grows with the logarithm of the points.
+    that grows with the logarithm of the points. A pair is kept once, with the point that waits and the one of lower priority that it waits
+    for, and goes as soon as one of them is out; priorities aren't needed after that.
     """
-    rank = F.struct(F.md5(F.concat_ws(":", F.col(by).cast("string"), F.col("id").cast("string"))).alias("h"), "id")
-    left = cut_lineage(df.select(by, "id", rank.alias("rank")))
-    pairs = cut_lineage(near_pairs(df, limit, by))
+    rank = lambda c: F.struct(F.unhex(F.md5(F.concat_ws(":", F.col(by).cast("string"), F.col(c).cast("string")))), F.col(c))
+    left = cut_lineage(df.select(by, "id"))
+    pairs = cut_lineage(near_pairs(df, limit, by).where(rank("q") < rank("p")))
     chosen, k = None, 0
     while not left.isEmpty():
         k += 1
-        other = left.select(by, F.col("id").alias("q"), F.col("rank").alias("best"))
-        live = cut_lineage(pairs.join(left.select(by, F.col("id").alias("p")), [by, "p"], "left_semi").join(other, [by, "q"]))
-        least = live.groupBy(by, F.col("p").alias("id")).agg(F.min("best").alias("best"))
-        new = cut_lineage(left.join(least, [by, "id"], "left").where("best IS NULL OR rank < best").select(by, "id").withColumn("round", F.lit(k)))
-        out = live.join(new.select(by, F.col("id").alias("q")), [by, "q"], "left_semi").select(by, F.col("p").alias("id")).unionByName(new.select(by, "id"))
-        left = cut_lineage(left.join(out, [by, "id"], "left_anti"))
-        pairs = live.select(by, "p", "q")
+        new = cut_lineage(left.join(pairs.select(by, F.col("p").alias("id")).distinct(), [by, "id"], "left_anti").withColumn("round", F.lit(k)))
+        picked = new.select(by, F.col("id").alias("q"))
+        out = cut_lineage(pairs.join(picked, [by, "q"], "left_semi").select(by, F.col("p").alias("id")).distinct())
+        left = cut_lineage(left.join(new, [by, "id"], "left_anti").join(out, [by, "id"], "left_anti"))
+        gone = out.select(by, F.col("id").alias("p"))
+        pairs = cut_lineage(pairs.join(gone, [by, "p"], "left_anti").join(gone.withColumnRenamed("p", "q"), [by, "q"], "left_anti"))
         chosen = new if chosen is None else chosen.unionByName(new)
     return df.join(chosen, [by, "id"]) if chosen is not None else df.withColumn("round", F.lit(0)).where("false")

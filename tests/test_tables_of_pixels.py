@@ -184,3 +184,12 @@ def test_watershed_broadcasts_nothing(spark, monkeypatch):
     made.collect()
     plans.append(made._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 8 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_packing_keeps_each_pair_once(spark, monkeypatch):
+    kept = []
+    real = packing.cut_lineage
+    monkeypatch.setattr(packing, "cut_lineage", lambda df: kept.append(real(df)) or kept[-1])
+    packing.packed(table_of(spark, [(1, k, k, 0) for k in range(12)], "image_id long, id long, x int, y int"), 3)
+    pairs = [{(r.p, r.q) for r in df.collect()} for df in kept if {"p", "q"} <= set(df.columns)]
+    assert pairs[0] and all((q, p) not in found for found in pairs for p, q in found)
