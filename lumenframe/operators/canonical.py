@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lumenframe.functions.steps import Steps, applied
+from lumenframe.operators.descriptors import bounded
 
 #: Cells of a side of a frame, cells of a side of a block, and bins of directions over half a turn.
 CELLS, BLOCK, BINS = 8, 4, 8
@@ -116,7 +117,7 @@ def resampled(framed: DataFrame, image: DataFrame) -> DataFrame:
                 ids = of["image_id"].take(pa.array(np.full(len(row), k)))
                 yield pa.RecordBatch.from_arrays([ids, of["f_label"][k].values.take(pa.array(row)), pa.array(cu, pa.int32()), pa.array(cv, pa.int32()), pa.array(value, mask=np.isnan(value))], names=schema.names)
 
-    return met.mapInArrow(run, schema)
+    return bounded(met).mapInArrow(run, schema)
 
 
 def block_histograms(cells: DataFrame) -> DataFrame:

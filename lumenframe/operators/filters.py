@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from lumenframe.operators.descriptors import bounded
+
 
 def gaussian(sigma: float, order: int = 0, reach: float = 0.001) -> list[float]:
     """Kernel of the Gaussian (order 0, sums to 1), or its first or second derivative, down to `reach` of the peak."""
@@ -151,5 +153,5 @@ def curvature(df: DataFrame, sigma: float, by: str = "curve_id", order: str = "p
                 yield pa.RecordBatch.from_arrays([*b.columns[:2], *made], names=schema.names)
                 lo = hi
 
-    made = rows.mapInArrow(run, schema).select(by, F.explode(F.arrays_zip("_s", "_n", "_d")).alias("_z"))
+    made = bounded(rows).mapInArrow(run, schema).select(by, F.explode(F.arrays_zip("_s", "_n", "_d")).alias("_z"))
     return made.select(by, *[F.col(f"_z._s.{c}").alias(c) for c in others], F.expr("coalesce(_z._n / nullif(pow(_z._d, 1.5D), 0D), 0D)").alias("k")).select(*df.columns, "k")
