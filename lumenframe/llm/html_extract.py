@@ -14,6 +14,7 @@ is found by a shuffle of hashes: of the runs that could be covered, the same run
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -57,11 +58,18 @@ SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 
 _NAME = re.compile(r"/?([A-Za-z][^\s/>\"'<]*)")
 _SPECIAL = re.compile(r"[>\"']")
+#: A whole tag: its name, and its attributes up to the first > outside quotes. Longer ones than TAG_WINDOW are left to _Tags.
+_TAG = re.compile(r"/?([A-Za-z][^\s/>\"'<]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>")
+TAG_WINDOW = 512
 # Inline elements whose end tag reaches no further than into these.
 INLINE = frozenset(("p", "b", "i", "span", "a", "em", "strong"))
 BARRIERS = frozenset(("article", "main", "td", "body"))
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_SPACE = re.compile(r"\s+")
+
+
+@functools.lru_cache(maxsize=1 << 12)  # of short tags: at most TAG_WINDOW characters each
+def _short_zone(tag: str, attributes: str, above: str) -> str:
+    return _zone(tag, attributes, above)
 
 
 def _zone(tag: str, attributes: str, above: str) -> str:
@@ -164,7 +172,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
     at = seen = 0
 
     def close_block() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+        text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
         parts.clear()
         if text:
             out.append((stack.zone(), text))
@@ -182,14 +190,20 @@ def blocks(page: str) -> list[tuple[str, str]]:
             parts.append(page[at:k])
             at = seen = len(page) if end < 0 else end + (3 if comment else 1)
             continue
-        m = _NAME.match(page, k + 1)
-        end = tags.end(m.end()) if m else -1
-        if end < 0:
-            seen = k + 1
-            continue
-        parts.append(page[at:k])
+        m = _TAG.match(page, k + 1, k + 1 + TAG_WINDOW)
+        if m:
+            end, attributes, zone_of = m.end() - 1, m[2], _short_zone
+        else:
+            m = _NAME.match(page, k + 1)
+            end = tags.end(m.end()) if m else -1
+            if end < 0:
+                seen = k + 1
+                continue
+            attributes, zone_of = page[m.end() : end], _zone
+        if at < k:
+            parts.append(page[at:k])
         at = seen = end + 1
-        tag, attributes = m[1].lower(), page[m.end() : end]
+        tag = m[1].lower()
         if page[k + 1] == "/":
             place = stack.places.get(tag)
             if place and not (tag in INLINE and stack.barriers and stack.barriers[-1] > place[-1]):
@@ -225,7 +239,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
                 if t == "p" or tag != "tr":
                     break
         if not attributes.rstrip().endswith("/"):
-            stack.push(tag, _zone(tag, attributes, stack.zone()))
+            stack.push(tag, zone_of(tag, attributes, stack.zone()))
     parts.append(page[at:])
     close_block()
     return out
@@ -302,7 +316,7 @@ def run_hashes(texts: list[str], salt: np.ndarray) -> tuple[np.ndarray, np.ndarr
     salt, out, v = np.repeat(salt, n), [], np.zeros(len(h), np.uint64)
     for k in range(REPEAT_TOKENS):
         v = v * np.uint64(0x9E3779B97F4A7C15)
-        v[: len(h) - k] += h[k:]
+        v[: max(len(h) - k, 0)] += h[k:]
         out.append(mix64(v ^ salt ^ np.uint64(k + 1)))
     return np.cumsum(n) - n, n, out
 
@@ -332,23 +346,18 @@ def decided(zones: list[str]) -> list[bool]:
 def choose(pages: list[tuple[list[str], list[str]]], salt: int = 0, shared: np.ndarray | None = None) -> list[str]:
     """The text of each page of a group of one host, from its (zones, texts of blocks); shared has the (salted) hashes
     of runs, and of main blocks that are asides, that other groups of the host have."""
-    names: dict[str, int] = {}
-    streams, owner, ends, words = [], [], [], []
-    at = 0
-    for p, (_, texts) in enumerate(pages):
-        for t in texts:
-            w = t.split(" ")
-            words.append(w)
-            ids = [names.setdefault(x, len(names)) for x in w]
-            streams.append(np.array([*ids, -1 - len(streams)], np.int64))
-            at += len(ids)
-            owner += [p] * (len(ids) + 1)
-            ends += [at] * (len(ids) + 1)
-            at += 1
-    if not streams:
+    every = [t for _, texts in pages for t in texts]
+    if not every:
         return ["" for _ in pages]
-    tokens = [np.where(s < 0, len(names) - 1 - s, s) for s in streams]
-    hit = covered(tokens, np.array(owner), np.array(ends))
+    size = np.array([t.count(" ") + 1 for t in every], np.int64)
+    words = " ".join(every).split(" ")  # of all blocks, laid end to end
+    ids, names = pd.factorize(np.array(words, object))
+    last = np.cumsum(size + 1) - 1  # a block's tokens are those of its words, and one of its own
+    tokens = np.empty(last[-1] + 1, np.int64)
+    tokens[np.arange(len(ids)) + np.repeat(np.arange(len(size)), size)] = ids
+    tokens[last] = len(names) + np.arange(len(size))
+    owner = np.repeat(np.repeat(np.arange(len(pages)), [len(texts) for _, texts in pages]), size + 1)
+    hit = covered([tokens], owner, np.repeat(last, size + 1))
     aside_there: set[str] = set()
     if shared is not None and len(shared):
         flat = [(z, t, d) for zones, texts in pages for z, t, d in zip(zones, texts, decided(zones), strict=True)]
@@ -368,18 +377,19 @@ def choose(pages: list[tuple[list[str], list[str]]], salt: int = 0, shared: np.n
         for z, t in zip(zones, texts, strict=True):
             if z == "aside":
                 elsewhere.setdefault(t, set()).add(p)
-    out, k, at = [], 0, 0
+    sums = np.append(0, np.cumsum(hit))
+    hits = (sums[last] - sums[last - size]).tolist()  # covered words of each block
+    sizes, starts, out, k = size.tolist(), (last - size).tolist(), [], 0
     for p, (zones, texts) in enumerate(pages):
         kept = []
         for z, t, by_array in zip(zones, texts, decided(zones), strict=True):
-            w = words[k]
-            mine = hit[at : at + len(w)]
+            n, gone = sizes[k], hits[k]
             if z == "main":
-                if not (len(w) >= REPEAT_TOKENS and (t in aside_there or (mine.all() and elsewhere.get(t, set()) - {p}))):
+                if not (n >= REPEAT_TOKENS and (t in aside_there or (gone == n and elsewhere.get(t, set()) - {p}))):
                     kept.append(t)
-            elif by_array and not mine.all():
-                kept.append(" ".join(x for x, c in zip(w, mine, strict=True) if not c) if mine.any() else t)
-            k, at = k + 1, at + len(w) + 1
+            elif by_array and gone < n:
+                kept.append(" ".join(words[starts[k] - k + i] for i in np.flatnonzero(~hit[starts[k] : starts[k] + n]).tolist()) if gone else t)
+            k += 1
         out.append("\n\n".join(kept))
     return out
 

@@ -321,6 +321,51 @@ def test_odd_pages_take_time_in_proportion(form):
     assert all(text for _, text in made)
 
 
+def test_long_tags_and_short_ones_end_alike(monkeypatch):
+    import random
+
+    from lumenframe.llm import html_extract
+
+    draw = random.Random(8)
+    bits = ["<", ">", '"', "'", "/", " ", "<p>", "<div class=nav>", "</div>", "<article>", '<a href="x>y">', "<img alt='>'/>", "<script>", "</script>", "<!--", "-->", "&amp;", "\x1c", "\x85", "word", "two words"]
+    bits += ["<span " + "x" * html_extract.TAG_WINDOW + ">", '<a title="' + "q > " * html_extract.TAG_WINDOW + '">', "<nav " + " " * html_extract.TAG_WINDOW]
+    pages = ["".join(draw.choice(bits) for _ in range(draw.randint(1, 40))) for _ in range(3000)]
+    made = [html_extract.blocks(p) for p in pages]
+    monkeypatch.setattr(html_extract, "TAG_WINDOW", 0)  # all tags are found by the scanner
+    assert [html_extract.blocks(p) for p in pages] == made
+
+
+def test_page_blocks_cost():
+    """Many tags and words in a page: numbered and parsed without a regular expression a quote or a list a word."""
+    import time
+
+    from lumenframe.llm import html_extract
+
+    page = "<article>" + "".join(f'<p class="a b" id=\'c{k % 50}\'>word{k % 97} two <b>three</b></p>' for k in range(20_000)) + "</article>"
+    made, plain = [], []
+    for window, times in ((html_extract.TAG_WINDOW, made), (0, plain)):
+        html_extract.TAG_WINDOW, kept = window, html_extract.TAG_WINDOW
+        try:
+            for _ in range(3):
+                start = time.process_time()
+                html_extract.blocks(page)
+                times.append(time.process_time() - start)
+        finally:
+            html_extract.TAG_WINDOW = kept
+    assert min(made) < min(plain)
+
+
+def test_hashes_of_few_words():
+    import numpy as np
+
+    from lumenframe.llm.html_extract import coverable, run_hashes
+
+    for texts in (["one"], ["a b"], ["a b", "c d e"]):  # fewer words than a run has
+        first, n, hashes = run_hashes(texts, np.zeros(len(texts), np.uint64))
+        start, length, h = coverable(first, n, hashes)
+        assert start.tolist() == first.tolist() and length.tolist() == n.tolist() and len(np.unique(h)) == len(texts)
+
+
 def test_tags_of_pages():
     from lumenframe.llm.html_extract import blocks
 
