@@ -15,7 +15,7 @@ from lumenframe.operators.chains import AROUND, name
 from lumenframe.operators.graph import cut_lineage
 
 
-def _met(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def met(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """A join that shuffles both sides: fronts and pointers of a round may be taken for small, and would pass through the driver."""
     return a.join(b.hint("merge"), on, how)
 
@@ -24,7 +24,7 @@ def _edges(df: DataFrame) -> DataFrame:
     """image_id, p, q, v, u: neighbouring pixels and their values."""
     asks = F.explode(F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in AROUND])).alias("c")
     near = df.select("image_id", name().alias("p"), "v", asks).select("image_id", "p", "v", F.expr("c.y * 1048576L + c.x").alias("q"))
-    return _met(near, df.select("image_id", name().alias("q"), F.col("v").alias("u")), ["image_id", "q"]).select("image_id", "p", "q", "v", "u")
+    return met(near, df.select("image_id", name().alias("q"), F.col("v").alias("u")), ["image_id", "q"]).select("image_id", "p", "q", "v", "u")
 
 
 def _spread(pixels: DataFrame, level: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def _spread(pixels: DataFrame, level: DataFrame) -> DataFrame:
     done, front, step = pixels, pixels, 1
     while True:
         step += 1
-        new = _met(_met(level, front.select("image_id", F.col("p").alias("q")), ["image_id", "q"]).select("image_id", "p").distinct(), done, ["image_id", "p"], "left_anti")
+        new = met(met(level, front.select("image_id", F.col("p").alias("q")), ["image_id", "q"]).select("image_id", "p").distinct(), done, ["image_id", "p"], "left_anti")
         front = cut_lineage(new.withColumn("dist", F.lit(step)))
         if front.isEmpty():
             return done
@@ -44,7 +44,7 @@ def jumped(pointers: DataFrame) -> DataFrame:
     pointers = cut_lineage(pointers)
     while True:
         far = pointers.select("image_id", F.col("p").alias("to"), F.col("to").alias("further"))
-        new = cut_lineage(_met(pointers, far, ["image_id", "to"]).select("image_id", "p", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
+        new = cut_lineage(met(pointers, far, ["image_id", "to"]).select("image_id", "p", F.col("further").alias("to"), (F.col("further") != F.col("to")).alias("moved")))
         pointers = new.select("image_id", "p", "to")
         if new.where("moved").isEmpty():
             return pointers.withColumnRenamed("to", "root")
@@ -56,13 +56,13 @@ def joined(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = nodes.select("image_id", "p", F.col("p").alias("root"))
     while True:
         side = lambda c: roots.select("image_id", F.col("p").alias(c), F.col("root").alias(f"root_{c}"))  # noqa: B023, E731
-        across = _met(_met(edges, side("p"), ["image_id", "p"]), side("q"), ["image_id", "q"]).where("root_q < root_p")
+        across = met(met(edges, side("p"), ["image_id", "p"]), side("q"), ["image_id", "q"]).where("root_q < root_p")
         hooks = cut_lineage(across.groupBy("image_id", F.col("root_p").alias("p")).agg(F.min("root_q").alias("to")))
         if hooks.isEmpty():
             return roots
-        every = _met(roots.where("p = root").select("image_id", "p"), hooks, ["image_id", "p"], "left").select("image_id", "p", F.coalesce("to", "p").alias("to"))
+        every = met(roots.where("p = root").select("image_id", "p"), hooks, ["image_id", "p"], "left").select("image_id", "p", F.coalesce("to", "p").alias("to"))
         ends = jumped(every).select("image_id", F.col("p").alias("root"), F.col("root").alias("end"))
-        roots = cut_lineage(_met(roots, ends, ["image_id", "root"]).select("image_id", "p", F.col("end").alias("root")))
+        roots = cut_lineage(met(roots, ends, ["image_id", "root"]).select("image_id", "p", F.col("end").alias("root")))
 
 
 def lower_complete(df: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def lower_complete(df: DataFrame) -> DataFrame:
     level = edges.where("u = v").select("image_id", "p", "q")
     slopes = edges.where("u < v").select("image_id", "p").distinct().withColumn("dist", F.lit(1))
     found = _spread(cut_lineage(slopes), level)
-    return _met(df.select("image_id", name().alias("p"), "v"), found, ["image_id", "p"], "left").select("image_id", "p", "v", F.coalesce("dist", F.lit(0)).alias("dist"))
+    return met(df.select("image_id", name().alias("p"), "v"), found, ["image_id", "p"], "left").select("image_id", "p", "v", F.coalesce("dist", F.lit(0)).alias("dist"))
 
 
 def watershed(df: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def watershed(df: DataFrame) -> DataFrame:
     parents lead; label is the same, or 0 on the watershed (so the basin of pixel 0 is named 0 in both: tell it by `ridge`)."""
     made = cut_lineage(lower_complete(df))
     side = made.select("image_id", F.col("p").alias("q"), F.col("dist").alias("to_dist"))
-    edges = cut_lineage(_met(_met(_edges(df), made.select("image_id", "p", "dist"), ["image_id", "p"]), side, ["image_id", "q"]))
+    edges = cut_lineage(met(met(_edges(df), made.select("image_id", "p", "dist"), ["image_id", "p"]), side, ["image_id", "q"]))
     minima = made.where("dist = 0").select("image_id", "p")
     basins = joined(cut_lineage(minima), cut_lineage(edges.where("u = v AND dist = 0").select("image_id", "p", "q")))
     parents = cut_lineage(edges.where("u < v OR (u = v AND to_dist < dist)").select("image_id", "p", "q"))
@@ -87,11 +87,11 @@ def watershed(df: DataFrame) -> DataFrame:
     roots = cut_lineage(jumped(down.unionByName(basins.select("image_id", "p", F.col("root").alias("to")))))
     # A ridge begins where parents differ, and what lies above it belongs to it.
     end = lambda c: roots.select("image_id", F.col("p").alias(c), F.col("root").alias(f"root_{c}"))
-    split = _met(_met(parents, end("p"), ["image_id", "p"]), end("q"), ["image_id", "q"]).where("root_p <> root_q").select("image_id", "p").distinct()
+    split = met(met(parents, end("p"), ["image_id", "p"]), end("q"), ["image_id", "q"]).where("root_p <> root_q").select("image_id", "p").distinct()
     ridge = front = cut_lineage(split)
     while not front.isEmpty():
-        front = cut_lineage(_met(_met(parents, front.select("image_id", F.col("p").alias("q")), ["image_id", "q"]).select("image_id", "p").distinct(), ridge, ["image_id", "p"], "left_anti"))
+        front = cut_lineage(met(met(parents, front.select("image_id", F.col("p").alias("q")), ["image_id", "q"]).select("image_id", "p").distinct(), ridge, ["image_id", "p"], "left_anti"))
         ridge = cut_lineage(ridge.unionByName(front))
-    out = _met(_met(made, roots, ["image_id", "p"]), ridge.withColumn("ridge", F.lit(True)), ["image_id", "p"], "left")
+    out = met(met(made, roots, ["image_id", "p"]), ridge.withColumn("ridge", F.lit(True)), ["image_id", "p"], "left")
     out = out.withColumn("ridge", F.coalesce("ridge", F.lit(False)))
     return out.select("image_id", F.expr("CAST(p & 1048575 AS INT)").alias("x"), F.expr("CAST(p >> 20 AS INT)").alias("y"), "v", "dist", F.col("root").alias("basin"), F.when(F.col("ridge"), 0).otherwise(F.col("root")).alias("label"), "ridge")
