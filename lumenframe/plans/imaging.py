@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry
 from lumenframe.operators import images
+from lumenframe.operators.descriptors import bounded
 from lumenframe.plans.registry import query
 from lumenframe.sources.derived import curves, pixels
 from lumenframe.sources.derived import points as point_table
@@ -82,27 +84,44 @@ def inflections(spark, sf_dir):
     return curves(spark, sf_dir).groupBy("curve_id").applyInPandas(run, "curve_id long, sigma double, pos int")
 
 
+#: Points of an outline, shortest run of them that is matched, and pairs of outlines that are matched at a time.
+_OUTLINE, _RUN, _PAIRS = 24, 8, 128
+
+
+def _outlines(batches):
+    """curve_id and the points of the outline, one after another, of curves (curve_id, values in order)."""
+    for batch in batches:
+        made = []
+        for v in batch.column(1):
+            v = v.values.to_numpy(zero_copy_only=False)
+            t = 2 * np.pi * np.arange(len(v)) / len(v)
+            r = 1 + v / 500
+            made.append(geometry.resampled(np.column_stack([r * np.cos(t), r * np.sin(t)]), _OUTLINE).reshape(-1))
+        flat = pa.array(np.concatenate(made) if made else np.zeros(0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(made) + 1, dtype=np.int32) * 2 * _OUTLINE, flat)], names=["curve_id", "outline"])
+
+
+def _matches(batches):
+    """The best match of each pair of outlines."""
+    names = ["a", "b", "cost", "start", "turn", "length"]
+    for batch in batches:
+        for lo in range(0, len(batch), _PAIRS):
+            both = batch.column(0).slice(lo, _PAIRS).flatten()
+            ids = both.field(0).to_numpy().reshape(-1, 2)
+            made = np.array([geometry.chord_angles(p) for p in both.field(1).flatten().to_numpy().reshape(-1, _OUTLINE, 2)])
+            cost, *at = geometry.partial_matches(made[::2], made[1::2], _RUN)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(cost), *[pa.array(x.astype(np.int32)) for x in at]], names=names)
+
+
 @query("shape_chord_angle_match")
 def shape_match(spark, sf_dir):
     """Each curve's outline against the next one's: best partial match of the chord-angle matrices."""
-    import pandas as pd
-
-    def run(pdf):
-        out = []
-        names = sorted(pdf["curve_id"].unique())
-        made = {}
-        for c in names:
-            p = pdf[pdf["curve_id"] == c].sort_values("pos")
-            t = 2 * np.pi * p["pos"].to_numpy() / len(p)
-            r = 1 + p["v"].to_numpy() / 500
-            made[c] = geometry.chord_angles(geometry.resampled(np.column_stack([r * np.cos(t), r * np.sin(t)]), 24))
-        for a, b in zip(names, names[1:], strict=False):
-            out.append((int(a), int(b), *geometry.partial_match(made[a], made[b], 8)))
-        return pd.DataFrame(out, columns=["a", "b", "cost", "start", "turn", "length"])
-
     c = curves(spark, sf_dir)
-    pairs = c.withColumn("pair", F.explode(F.array("curve_id", F.col("curve_id") - 1)))
-    return pairs.groupBy("pair").applyInPandas(run, "a long, b long, cost double, start int, turn int, length int")
+    rows = c.groupBy("curve_id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    outlines = bounded(rows.select("curve_id", F.expr("transform(p, e -> cast(e.v AS double))").alias("v"))).mapInArrow(_outlines, "curve_id long, outline array<double>")
+    pairs = outlines.where("curve_id IS NOT NULL").select(F.explode(F.array("curve_id", F.col("curve_id") - 1)).alias("pair"), "curve_id", "outline")
+    met = pairs.groupBy("pair").agg(F.sort_array(F.collect_list(F.struct("curve_id", "outline"))).alias("s")).where("size(s) = 2")
+    return met.select("s").mapInArrow(_matches, "a long, b long, cost double, start int, turn int, length int")
 
 
 @query("ransac_similarity")
