@@ -1,63 +1,92 @@
 """Affine reconstruction of points from many views: a measurement table factored by alternating least squares.
 
-Observations are rows (view, point, x, y); a view need not see all points. Views are few (their products are formed per point
-that all of them see, to begin with); points may be many. The normal equations of a view are sums over its points and those
-of a point sums over its views, so each half round is one grouped aggregate.
+Observations are rows (view, point, x, y); a view need not see all points. They are gathered by point once. Points may be many;
+views are few: their cameras, and sums of the products of their coordinates, are figures that the driver hands to the tasks. The
+equations of a point are sums over its views and those of a view sums over all points, so a round is one pass over the points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from lumenframe.operators import spectra
+from lumenframe.operators.descriptors import bounded
 from lumenframe.operators.graph import cut_lineage
 
+#: Rows of `o` of a batch: first observation of each point, view (its number), coordinates, and which of these are there.
+Seen = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def _equations(regressors: list[Column], y: Column) -> list[Column]:
-    """Sums of the normal equations: the upper triangle row by row, then the right side."""
-    n = len(regressors)
-    return [F.sum(regressors[i] * regressors[j]) for i in range(n) for j in range(i, n)] + [F.sum(r * y) for r in regressors]
 
+def _seen(batch: pa.RecordBatch, views: np.ndarray) -> Seen:
+    o = batch.column(1)
+    n, flat = o.value_lengths().to_numpy(), o.flatten()
+    w = np.column_stack([flat.field(k).to_numpy(zero_copy_only=False) for k in (1, 2)])
+    there = ~np.isnan(w)
+    return np.cumsum(n) - n, np.searchsorted(views, flat.field(0).to_numpy()), np.where(there, w, 0.0), there
 
-def _solved(grouped: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """keys and `s`, the least-squares solution (of smallest length where it isn't unique), from rows (keys, sums)."""
-    kinds = dict(grouped.dtypes)
-    names = [*keys, "s"]
-    upper = np.triu_indices(n)
+
+def _summed(gathered: DataFrame, views: np.ndarray, size: int, add: Callable[[Seen, np.ndarray], None]) -> np.ndarray:
+    """So many sums over all points: a task adds up its batches, the sums of the tasks are added by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
         for b in batches:
-            sums = b.column(len(keys)).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
-            a = np.zeros((len(b), n, n))
-            a[:, upper[0], upper[1]] = sums[:, : len(upper[0])]
-            a[:, upper[1], upper[0]] = sums[:, : len(upper[0])]
-            s = np.einsum("kij,kj->ki", np.linalg.pinv(a, rcond=1e-12, hermitian=True), sums[:, len(upper[0]) :])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(s.tolist(), pa.list_(pa.float64()))], names=names)
-
-    return grouped.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", s array<double>")
-
-
-def _axes(observed: DataFrame) -> DataFrame:
-    """view, axis, point, w: a row a coordinate."""
-    return observed.select("view", "point", F.posexplode(F.array(F.col("x").cast("double"), F.col("y").cast("double"))).alias("axis", "w"))
-
-
-def _first_motion(rows: DataFrame) -> DataFrame:
-    """view, axis, m (three numbers and the mean): the leading eigenvectors of the products of the centred coordinates of points
-    that all views see."""
-    views = rows.select("view").distinct().count()
-    whole = rows.join(rows.groupBy("point").agg(F.countDistinct("view").alias("n")).where(F.col("n") == views).select("point"), "point", "left_semi")
-    mean = whole.groupBy("view", "axis").agg(F.avg("w").alias("t"))
-    centred = whole.join(F.broadcast(mean), ["view", "axis"]).select("point", (F.col("view") * 2 + F.col("axis")).alias("i"), (F.col("w") - F.col("t")).alias("w"))
-    g = centred.join(centred.select("point", F.col("i").alias("j"), F.col("w").alias("u")), "point").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("u")).alias("v"))
-    _, vectors = spectra.leading(g, 3, squarings=8)
-    listed = vectors.groupBy("i").agg(F.array(*[F.coalesce(F.max(F.when(F.col("c") == c, F.col("x"))), F.lit(0.0)) for c in range(3)]).alias("m"))
-    return mean.withColumn("i", F.col("view") * 2 + F.col("axis")).join(listed, "i").select("view", "axis", F.concat("m", F.array("t")).alias("m"))
+            if len(b):
+                add(_seen(b, views), total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["k", "v"])
+
+    out = np.zeros(size)
+    for r in gathered.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r["k"]] = r["v"]
+    return out
+
+
+def _solved_points(seen: Seen, motion: np.ndarray) -> np.ndarray:
+    """The least-squares place of each point (of smallest length where it isn't unique), motion being (views, 2, 4)."""
+    starts, k, w, there = seen
+    m = motion[k]
+    a = np.einsum("nai,naj->nij", m[..., :3] * there[..., None], m[..., :3])
+    b = np.einsum("nai,na->ni", m[..., :3], (w - m[..., 3]) * there)
+    a, b = (np.add.reduceat(x, starts, axis=0) for x in (a, b))
+    return np.einsum("pij,pj->pi", np.linalg.pinv(a, rcond=1e-12, hermitian=True), b)
+
+
+def _first_motion(gathered: DataFrame, views: np.ndarray) -> np.ndarray | None:
+    """The leading eigenvectors of the products of the centred coordinates of points that all views see, and the means of these; None where
+    no point is."""
+    n = 2 * len(views)
+
+    def rows(seen: Seen, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates less the mean, and how many there are, of the points that all views see."""
+        starts, k, w, there = seen
+        point = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(k))))
+        out, count = np.zeros((len(starts), len(views), 2)), np.zeros((len(starts), len(views), 2))
+        np.add.at(out, (point, k), (w - mean[k]) * there)
+        np.add.at(count, (point, k), there)
+        whole = (count > 0).all(axis=(1, 2))
+        return out[whole].reshape(-1, n), count[whole].reshape(-1, n)
+
+    def means(seen: Seen, total: np.ndarray) -> None:
+        total += np.concatenate([x.sum(axis=0) for x in rows(seen, np.zeros((len(views), 2)))])
+
+    def products(seen: Seen, total: np.ndarray) -> None:
+        w, _ = rows(seen, mean)
+        total += (w.T @ w).reshape(-1)
+
+    sums = _summed(gathered, views, 2 * n, means)
+    if not sums[n:].all():
+        return None
+    mean = (sums[:n] / sums[n:]).reshape(-1, 2)
+    values, vectors = np.linalg.eigh(_summed(gathered, views, n * n, products).reshape(n, n))
+    lead = np.zeros((n, 3))
+    top = np.flatnonzero(values > 1e-13 * values[-1])[::-1][:3]
+    lead[:, : len(top)] = vectors[:, top]
+    return np.concatenate([lead.reshape(-1, 2, 3), mean[..., None]], axis=2)
 
 
 def affine(observed: DataFrame, rounds: int = 30, within: float = 1e-9) -> tuple[DataFrame, DataFrame]:
@@ -65,21 +94,47 @@ def affine(observed: DataFrame, rounds: int = 30, within: float = 1e-9) -> tuple
 
     Both are known up to an affine change of the space that leaves all reprojections as they are. Rounds end once the
     sum of squared errors falls by less than `within` of itself. Points that fewer than two views see have the smallest solution.
+    Coordinates that are null or NaN count as not seen; where no point is seen by all views both are empty.
     """
-    rows, last = cut_lineage(_axes(observed)), None
-    motion = cut_lineage(_first_motion(rows))
-    for _ in range(rounds):
-        met = rows.join(motion, ["view", "axis"])
-        m = [F.get("m", F.lit(k)) for k in range(4)]
-        points = cut_lineage(_solved(met.groupBy("point").agg(F.array(*_equations(m[:3], F.col("w") - m[3])).alias("sums")), ["point"], 3))
-        seen = rows.join(points, "point")
-        s = [*[F.get("s", F.lit(k)) for k in range(3)], F.lit(1.0)]
-        motion = cut_lineage(_solved(seen.groupBy("view", "axis").agg(F.array(*_equations(s, F.col("w"))).alias("sums")), ["view", "axis"], 4).withColumnRenamed("s", "m"))
-        now = reprojected(observed, motion, points).agg(F.sum(F.pow(F.col("px") - F.col("x"), 2) + F.pow(F.col("py") - F.col("y"), 2))).first()[0] or 0.0
+    rows = observed.where("view IS NOT NULL AND point IS NOT NULL").select("view", "point", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    gathered = cut_lineage(bounded(rows.groupBy("point").agg(F.collect_list(F.struct("view", "x", "y")).alias("o"))))
+    ids = sorted(r[0] for r in gathered.select(F.explode("o.view")).distinct().collect())
+    views = np.array(ids)
+    motion = used = _first_motion(gathered, views) if ids else None
+    shape, last = (len(ids), 2, 4, 5), None
+
+    def run(seen: Seen, total: np.ndarray) -> None:
+        starts, k, w, there = seen
+        s = np.column_stack([_solved_points(seen, used), np.ones(len(starts))])
+        s = np.repeat(s, np.diff(np.append(starts, len(k))), axis=0)
+        total[-1] += (((np.einsum("nai,ni->na", used[k], s) - w) * there) ** 2).sum()
+        sides = np.concatenate([np.broadcast_to(s[:, None], (len(s), 2, 4)), w[..., None]], axis=2)
+        each = np.einsum("ni,naj,na->naij", s, sides, there).reshape(len(s), -1)
+        order = np.argsort(k, kind="stable")
+        found, first = np.unique(k[order], return_index=True)
+        total[:-1].reshape(len(ids), -1)[found] += np.add.reduceat(each[order], first, axis=0)
+
+    for _ in range(rounds if motion is not None else 0):
+        used = motion
+        sums = _summed(gathered, views, int(np.prod(shape)) + 1, run)
+        both = sums[:-1].reshape(shape)
+        motion = np.einsum("vaij,vaj->vai", np.linalg.pinv(both[..., :4], rcond=1e-12, hermitian=True), both[..., 4])
+        step = motion - used
+        now = max(sums[-1] - np.einsum("vai,vaij,vaj->", step, both[..., :4], step), 0.0)  # squared errors after this step
         if last is not None and last - now <= within * last:
             break
         last = now
-    return motion, points
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b) and used is not None:
+                s = _solved_points(_seen(b, views), used)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.tolist(), pa.list_(pa.float64()))], names=["point", "s"])
+
+    points = gathered.mapInArrow(places, StructType([gathered.schema["point"], StructField("s", ArrayType(DoubleType()))]))
+    cameras = [(v, a, m.tolist()) for v, both in zip(ids, motion, strict=True) for a, m in enumerate(both)] if motion is not None else []
+    made = observed.sparkSession.createDataFrame(cameras, StructType([observed.schema["view"], StructField("axis", IntegerType()), StructField("m", ArrayType(DoubleType()))]))
+    return made, points
 
 
 def reprojected(observed: DataFrame, motion: DataFrame, points: DataFrame) -> DataFrame:
