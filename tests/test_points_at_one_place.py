@@ -92,3 +92,19 @@ def test_join_by_distance_broadcasts_no_side(spark):
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     same = [(s, i, i, float((x - u) ** 2 + (y - v) ** 2)) for s, i, x, y in rows for t, j, u, v in rows if s == t and i == j]
     assert sorted(map(tuple, found.collect())) == sorted(p for p in [*gaps(rows), *same] if p[3] <= 25)
+
+
+def test_join_by_distance_compares_places(spark, monkeypatch):
+    """Of many points at two places near each other lists are shuffled, in shares; nulls, equal ids and a place by itself too."""
+    monkeypatch.setattr(points, "SHARE", 7)
+    rows = [("a", i, i % 2, 0) for i in range(60)] + [("a", 3, 1, 0), ("a", None, 1, 0), ("b", 1, 1, 0), ("b", 2, None, 0), (None, 3, 1, 0)]
+    df = spark.createDataFrame(rows, "set_id string, point_id long, x int, y int")
+    found = points.radius_join(df, df, 1).cache()
+    place = [r for r in rows if r[0] and r[2] is not None]
+    want = [(s, i, j, float((x - u) ** 2)) for s, i, x, _ in place for t, j, u, _ in place if s == t and abs(x - u) <= 1]
+    key = lambda p: tuple((v is None, v) for v in p)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+    met, near = [], points._near
+    monkeypatch.setattr(points, "_near", lambda a, b, *rest: met.append((a.count(), b.count())) or near(a, b, *rest))
+    points.radius_join(df, df, 1)
+    assert met == [(13, 13)]
