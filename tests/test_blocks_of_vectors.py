@@ -78,3 +78,19 @@ def test_index_ties_of_struct_ids_and_groups_without_a_name(spark):
         near = sorted(((v[0] - w[0]) ** 2, j) for j, h, w in rows if h != g)[:6]
         want += [(i, n + 1, j, d) for n, (d, j) in enumerate(near)]
     assert sorted(got) == sorted(want)
+
+
+def test_queries_are_not_written_once_a_cell(spark, monkeypatch):
+    """Beyond the nearest cells a block of queries says which cells its queries want; rows near a border of cells are found."""
+    rng = np.random.default_rng(9)
+    rows = [(i, i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))]
+    df = spark.createDataFrame(rows, "id long, grp long, vector array<double>")
+    made, blocks = [], vector_index.blocks
+    monkeypatch.setattr(vector_index, "blocks", lambda d, keys, columns, *rest: made.append((columns, d)) or blocks(d, keys, columns, *rest))
+    quick, whole = vector_index.searched(vector_index.build(df, vector_index.fit(df, cells=16)), df.where("id < 40"), 5, 2)
+    vectors = np.array([v for *_, v in rows])
+    order = lambda i: sorted((float(((vectors[i] - w) ** 2).sum()), j) for j, w in enumerate(vectors) if j != i)[:5]
+    assert {(r.qid, r.k, r.id) for r in whole.collect()} == {(i, n + 1, j) for i in range(40) for n, (_, j) in enumerate(order(i))}
+    assert quick.count() <= 200
+    asked = [d.count() for columns, d in made if "wants" in columns]
+    assert len(asked) == 1 and 0 < asked[0] <= 40
